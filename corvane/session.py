@@ -33,12 +33,17 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared scratch folder."""
+    return f"{scratch_root(spark)}/corvane/{uuid.uuid4().hex}/{name}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread of files, not a rerun of what made them.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/corvane/{uuid.uuid4().hex}/{name}"
+    path = scratch_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
