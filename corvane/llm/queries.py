@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import mixing, quality, sharding, url_filter
+from corvane.llm import mixing, quality, secrets, sharding, url_filter, warc
 from corvane.llm.common import table
+from corvane.session import scratch_folder
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +21,19 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = scratch_folder(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), archive)
+    return warc.read_records(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_source_mixing, op5_url_filter, op8_sharding)}
-ORACLES = {"op4_source_mixing": mixing.ORACLE, "op5_url_filter": url_filter.ORACLE}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_source_mixing, op5_url_filter, op6_warc_archive, op8_sharding, op9_secret_scan)}
+ORACLES = {"op4_source_mixing": mixing.ORACLE, "op5_url_filter": url_filter.ORACLE, "op6_warc_archive": warc.ORACLE}
