@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import embedding_dedup, line_dedup, mixing, quality, secrets, sharding, simhash, url_filter, warc
+from corvane.llm import bpe, embedding_dedup, line_dedup, mixing, quality, secrets, sharding, simhash, url_filter, warc
 from corvane.llm.common import table
 from corvane.session import scratch_folder
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_embeddings(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op3_quality_rules, op4_source_mixing, op5_url_filter, op6_warc_archive, op7_line_dedup, op8_sharding, op9_secret_scan, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash_dedup, op3_quality_rules, op4_source_mixing, op5_url_filter, op6_warc_archive, op7_line_dedup, op8_sharding, op9_secret_scan, op10_embedding_dedup)}
 ORACLES = {"op4_source_mixing": mixing.ORACLE, "op5_url_filter": url_filter.ORACLE, "op6_warc_archive": warc.ORACLE}
