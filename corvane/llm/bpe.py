@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corvane.llm.common import frames, text_key
+from corvane.llm.common import frames, objects, text_key
 from corvane.session import staged
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -82,7 +82,7 @@ def _counted(path: str):
             counts: Counter[str] = Counter()
             for text in batch["text"]:
                 counts.update(split_words(text, path))
-            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())}, columns=["word", "n"])
+            yield pd.DataFrame({"word": objects(list(counts)), "n": np.array(list(counts.values()), np.int64)})
 
     return run
 
@@ -99,7 +99,7 @@ def _encoded(path: str):
             words = batch["word"].tolist()
             found = _tokenizer(path).encode_batch(words, add_special_tokens=False)
             hashes = _word_hash(words)
-            yield batch.assign(ids=[e.ids for e in found], h1=hashes[:, 0], h2=hashes[:, 1])
+            yield batch.reset_index(drop=True).assign(ids=objects([e.ids for e in found]), h1=hashes[:, 0], h2=hashes[:, 1])
 
     return run
 
@@ -177,7 +177,7 @@ def _holes(path: str, broadcast):
             row = np.repeat(np.arange(len(counts)), counts)[hole]
             place = hole - (np.cumsum(counts) - counts)[row]
             n1, n2 = batch["n1"].to_numpy()[row], batch["n2"].to_numpy()[row]
-            yield pd.DataFrame({"n1": n1, "n2": n2, "place": place.astype(np.int32), "word": [distinct[c] for c in code[hole]]})
+            yield pd.DataFrame({"n1": n1, "n2": n2, "place": place.astype(np.int32), "word": objects([distinct[c] for c in code[hole]])})
 
     return run
 
@@ -214,7 +214,7 @@ def _packed(path: str, broadcast):
             ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
             compress = zstandard.ZstdCompressor(level=3).compress
             out += [compress(raw[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return pd.Series(out, dtype=object)
+        return objects(out)
 
     return run
 
@@ -238,7 +238,7 @@ def _filled(broadcast):
             total[~inside] = hot["ids"][_spread(starts[~hole], n[~hole])]
             total[inside] = own
             out.append(total)
-        return pd.Series(out, dtype=object)
+        return objects(out)
 
     return run
 
@@ -283,7 +283,7 @@ def _decoded(path: str):
             row = np.asarray([] if row is None else row, np.int64)
             row = row[(row >= 0) & (row < len(starts) - 1)]
             out.append(flat[_spread(starts[row], starts[row + 1] - starts[row])].tobytes().decode("utf-8", "replace"))
-        return pd.Series(out, dtype=object)
+        return objects(out)
 
     return run
 

@@ -44,3 +44,8 @@ def frames(batches: Iterator[pd.DataFrame], rows: int = 2048) -> Iterator[pd.Dat
     for batch in batches:
         for start in range(0, len(batch), rows):
             yield batch.iloc[start : start + rows]
+
+
+def objects(values: list) -> pd.Series:
+    """A column of strings, bytes or lists, also where there are no rows (of which pandas would make floats)."""
+    return pd.Series(values, dtype=object)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import frames
+from corvane.llm.common import frames, objects
 from corvane.llm.components import components
 from corvane.session import staged
 
@@ -85,7 +85,7 @@ def _entries(lists: int):
                 tops, values = top_lists(unit, lists)
                 at = np.repeat(np.arange(len(group)), TOP)
                 columns = {"dim": dim, "list": tops.ravel(), "node": group["node"].to_numpy()[at]}
-                yield pd.DataFrame(columns | {"tops": list(tops[at]), "shown": list(values[at]), "unit": list(unit[at])})
+                yield pd.DataFrame(columns | {"tops": objects(list(tops[at])), "shown": objects(list(values[at])), "unit": objects(list(unit[at]))})
 
     return run
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import ROW, WORD, packed, text_key
+from corvane.llm.common import ROW, WORD, objects, packed, text_key
 from corvane.session import staged
 
 MIN_WORDS = 20
@@ -157,7 +157,7 @@ def _cuts(mine: pd.Series, theirs: pd.Series, words: pd.Series, places: pd.Serie
             if two == one + 1:
                 cut.update(range(int(at[one]), int(at[two])))
         out.append(sorted(cut))
-    return pd.Series(out, dtype=object)
+    return objects(out)
 
 
 def _key(id_col: Column, text: Column) -> Column:
