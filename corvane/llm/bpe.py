@@ -1,15 +1,17 @@
-"""Byte-level BPE by a table of distinct words.
-
-Texts are split into words (the pre-tokens of the vocabulary's pattern). Spark makes the table of all distinct
-words, and each is encoded once. The most frequent words, bounded in number and length, travel to all tasks; a
-text becomes a string of their ranks, with holes for all other words. Ids of the words in the holes come back to
-their places by joins: a place with the table by its word, then all places with their text. Decoding joins each
-id with the table of pieces, which has a row for each id of the vocabulary.
+"""Byte-level BPE by tables of distinct words.
+
+Texts are split into words (the pre-tokens of the vocabulary's pattern), and each distinct word is encoded once. The
+words that are frequent in a bounded sample of documents make one table, bounded too, which travels to all tasks; a
+text becomes a string of its words' numbers there, with holes for all other words. The words in the holes are
+dealt out by word, so that all places of a word meet: it is encoded once, and its ids go back by a join of
+places with their text. The sample decides only which way a word takes, not its ids. Decoding joins each id with
+the table of pieces, which has a row for each id of the vocabulary.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,9 +30,11 @@ from corvane.llm.common import frames, objects, text_key
 from corvane.session import staged
 
 VOCABULARY = "byte_bpe_50k.json"
-HOT_WORDS = 1 << 20  # so many words at most travel to all tasks, the most frequent ones,
+SAMPLE_ROWS = 40_000  # documents, by a hash, whose words are counted to find the frequent ones
+HOT_WORDS = 1 << 19  # so many words at most travel to all tasks,
 HOT_BYTES = 64  # none longer than this
 BATCH_ROWS = 512
+ENCODE_ROWS = 4_096
 
 # The pattern of the vocabulary's words, and the same for texts whose letters are all in LETTERS.
 SPACE = r"\p{White_Space}"
@@ -51,6 +55,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 @cache
 def _tokenizer(path: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are parallel already
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
@@ -93,21 +98,41 @@ def _word_hash(words: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join([digest(w.encode()) for w in words]), "<i8").reshape(-1, 2)
 
 
+def _ids(words: list[str], path: str) -> list[list[int]]:
+    out: list[list[int]] = []
+    for at in range(0, len(words), ENCODE_ROWS):
+        out += [e.ids for e in _tokenizer(path).encode_batch(words[at : at + ENCODE_ROWS], add_special_tokens=False)]
+    return out
+
+
 def _encoded(path: str):
+    """Words that are distinct already, with their ids and hashes."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             words = batch["word"].tolist()
-            found = _tokenizer(path).encode_batch(words, add_special_tokens=False)
             hashes = _word_hash(words)
-            yield batch.reset_index(drop=True).assign(ids=objects([e.ids for e in found]), h1=hashes[:, 0], h2=hashes[:, 1])
+            yield pd.DataFrame({"h1": hashes[:, 0], "h2": hashes[:, 1], "n": batch["n"].to_numpy(), "ids": objects(_ids(words, path))})
 
     return run
 
 
-def word_table(texts: DataFrame, path: str) -> DataFrame:
-    """word, n, ids, h1, h2: every distinct word of the column text, its count, its ids, encoded once, and its hash."""
-    counted = texts.select("text").mapInPandas(_counted(path), "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).mapInPandas(_encoded(path), "word string, n long, ids array<int>, h1 long, h2 long")
+def _encoded_places(path: str):
+    """Places in order of their word: each word is encoded where it first comes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: tuple[str, list[int]] | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            number, distinct = pd.factorize(batch["word"].to_numpy())
+            words = distinct.tolist()
+            known = last is not None and words[0] == last[0]
+            ids = ([last[1]] if known else []) + _ids(words[1:] if known else words, path)
+            last = words[-1], ids[-1]
+            yield batch[["n1", "n2", "place"]].reset_index(drop=True).assign(ids=objects([ids[i] for i in number]))
+
+    return run
 
 
 def _grade(n: Column) -> Column:
@@ -115,19 +140,20 @@ def _grade(n: Column) -> Column:
     return F.floor(F.log2(n) * 16).cast("int")
 
 
-def hot_words(words: DataFrame) -> dict[str, np.ndarray]:
-    """The most frequent words as arrays: hashes in order, ranks, and ids by rank. At most HOT_WORDS come to the driver.
+def hot_words(texts: DataFrame, path: str) -> dict[str, np.ndarray]:
+    """The frequent words of the column text as arrays: hashes in order, ranks, and ids by rank. At most HOT_WORDS.
 
-    Grades of counts are taken from the top as long as all of a grade fits.
+    Grades of counts are taken from the top as long as all of a grade fits; only then are words encoded.
     """
-    short = words.where(F.octet_length("word") <= HOT_BYTES)
+    counted = texts.select("text").mapInPandas(_counted(path), "word string, n long").where(F.octet_length("word") <= HOT_BYTES)
+    short = staged(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
     grades = sorted(short.groupBy(_grade(F.col("n")).alias("grade")).count().collect(), reverse=True)
-    least, held = None, 0
+    least, held = 10_000, 0
     for grade, n in grades:
         if held + n > HOT_WORDS:
             break
         least, held = grade, held + n
-    hot = short.where(_grade(F.col("n")) >= (10_000 if least is None else least)).select("h1", "h2", "n", "ids").toArrow()
+    hot = short.where(_grade(F.col("n")) >= least).mapInPandas(_encoded(path), "h1 long, h2 long, n long, ids array<int>").toArrow()
     h1, h2, n = (hot[c].to_numpy() for c in ("h1", "h2", "n"))
     lists = hot["ids"].combine_chunks()
     flat, ends = lists.flatten().to_numpy().astype(np.int32), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))]) if len(n) else np.zeros(1, np.int64)
@@ -253,10 +279,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     k1, k2 = text_key(text)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), k1, k2)
     rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "k1", "k2").alias("n1"), F.xxhash64("k2", "doc_id", "k1").alias("n2"))
-    words = staged(word_table(rows, path), "words")
-    broadcast = docs.sparkSession.sparkContext.broadcast(hot_words(words))
+    n_rows = docs.count()
+    sample = rows.where(F.pmod("n1", F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE_ROWS / max(1, n_rows))) + 1)
+    broadcast = docs.sparkSession.sparkContext.broadcast(hot_words(sample, path))
     holes = rows.select("n1", "n2", "text").mapInPandas(_holes(path, broadcast), "n1 long, n2 long, place int, word string")
-    back = holes.join(words.select("word", "ids"), "word").groupBy("n1", "n2").agg(F.sort_array(F.collect_set(F.struct("place", "ids"))).alias("s"))
+    places = holes.repartition("word").sortWithinPartitions("word").mapInPandas(_encoded_places(path), "n1 long, n2 long, place int, ids array<int>")
+    back = places.groupBy("n1", "n2").agg(F.sort_array(F.collect_set(F.struct("place", "ids"))).alias("s"))
     back = back.select("n1", "n2", F.transform("s", lambda s: F.size(s["ids"])).alias("lengths"), F.flatten(F.transform("s", lambda s: s["ids"])).alias("found"))
     packed = rows.select("doc_id", "n1", "n2", F.pandas_udf(_packed(path, broadcast), "binary")("text").alias("packed"))
     joined = packed.join(back, ["n1", "n2"], "left")
