@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from corvane.plans import retrieval, texts
+
+QUERIES: dict = {**retrieval.QUERIES, **texts.QUERIES}
+ORACLES: dict = {**retrieval.ORACLES, **texts.ORACLES}
