@@ -13,17 +13,19 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from corvane.llm.common import frames, objects, text_key
@@ -175,15 +177,22 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total)
 
 
-def _ranks(texts: pd.Series, path: str, hot: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Words per text, rank of every word in turn, the batch's distinct words, and each word's number among them."""
-    numbers: dict[str, int] = {}
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(start, BATCH_ROWS)
+
+
+def _ranks(texts: list[str], path: str, hot: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Words per text, rank of every word in turn, the distinct words, and each word's number among them."""
+    numbers: defaultdict[str, int] = defaultdict()
+    numbers.default_factory = numbers.__len__  # a new word takes the next number
     codes: list[int] = []
     counts = []
     for text in texts:
         words = split_words(text, path)
         counts.append(len(words))
-        codes += [numbers.setdefault(w, len(numbers)) for w in words]
+        codes += map(numbers.__getitem__, words)
     distinct, code = list(numbers), np.array(codes, np.int64)
     if not distinct or not len(hot["h1"]):
         return np.array(counts, np.int64), np.zeros(len(code), np.int32), distinct, code
@@ -196,14 +205,15 @@ def _ranks(texts: pd.Series, path: str, hot: dict[str, np.ndarray]) -> tuple[np.
 def _holes(path: str, broadcast):
     """name, place and word of every word that isn't hot."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in frames(batches, BATCH_ROWS):
-            counts, ranks, distinct, code = _ranks(batch["text"], path, broadcast.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            counts, ranks, distinct, code = _ranks(part.column("text").to_pylist(), path, broadcast.value)
             hole = np.flatnonzero(ranks == 0)
             row = np.repeat(np.arange(len(counts)), counts)[hole]
             place = hole - (np.cumsum(counts) - counts)[row]
-            n1, n2 = batch["n1"].to_numpy()[row], batch["n2"].to_numpy()[row]
-            yield pd.DataFrame({"n1": n1, "n2": n2, "place": place.astype(np.int32), "word": objects([distinct[c] for c in code[hole]])})
+            names = [part.column(c).take(pa.array(row)) for c in ("n1", "n2")]
+            words = pa.array([distinct[c] for c in code[hole]], pa.string())
+            yield pa.RecordBatch.from_arrays([*names, pa.array(place, pa.int32()), words], ["n1", "n2", "place", "word"])
 
     return run
 
@@ -232,39 +242,45 @@ def unpack(packed: np.ndarray) -> np.ndarray:
 
 
 def _packed(path: str, broadcast):
-    def run(texts: pd.Series) -> pd.Series:
-        out: list[bytes] = []
-        for start in range(0, len(texts), BATCH_ROWS):
-            counts, ranks, _, _ = _ranks(texts.iloc[start : start + BATCH_ROWS], path, broadcast.value)
+    """Each text as its words' packed ranks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for part in _slices(batches):
+            counts, ranks, _, _ = _ranks(part.column("text").to_pylist(), path, broadcast.value)
             raw, sizes = pack(ranks)
             ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-            compress = zstandard.ZstdCompressor(level=3).compress
-            out += [compress(raw[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return objects(out)
+            packed = pa.array([compress(raw[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "n1", "n2")), packed], ["doc_id", "n1", "n2", "packed"])
 
     return run
 
 
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the lists, null counting as empty, and all their items in turn."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return lengths.astype(np.int64), column.flatten().to_numpy(zero_copy_only=False)
+
+
 def _filled(broadcast):
-    """The ids of a text from its ranks and, for the holes in turn, from the ids that came back."""
-
-    def run(packed: pd.Series, lengths: pd.Series, found: pd.Series) -> pd.Series:
-        hot, out = broadcast.value, []
-        expand = zstandard.ZstdDecompressor().decompress
-        for raw, sizes, own in zip(packed, lengths, found, strict=True):
-            ranks = unpack(np.frombuffer(expand(raw), np.uint8))
-            starts, n = hot["starts"][ranks], hot["starts"][ranks + 1] - hot["starts"][ranks]
-            if sizes is None:
-                out.append(hot["ids"][_spread(starts, n)])
-                continue
-            hole = ranks == 0
-            n[hole] = sizes
-            total = np.empty(int(n.sum()), np.int32)
+    """The ids of each text: of its ranks and, for the holes in turn, what came back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, expand = broadcast.value, zstandard.ZstdDecompressor().decompress
+        for part in _slices(batches):
+            raw = [np.frombuffer(expand(x), np.uint8) for x in part.column("packed").to_pylist()]
+            ranks = unpack(np.concatenate(raw))
+            words = np.array([int((r < 128).sum()) for r in raw], np.int64)
+            lengths, (_, found) = _flat(part.column("lengths"))[1], _flat(part.column("found"))
+            starts, n, hole = hot["starts"][ranks], hot["starts"][ranks + 1] - hot["starts"][ranks], ranks == 0
+            n[hole] = lengths
             inside = np.repeat(hole, n)
-            total[~inside] = hot["ids"][_spread(starts[~hole], n[~hole])]
-            total[inside] = own
-            out.append(total)
-        return objects(out)
+            ids = np.empty(int(n.sum()), np.int32)
+            ids[~inside] = hot["ids"][_spread(starts[~hole], n[~hole])]
+            ids[inside] = found
+            ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(words)])]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
 
     return run
 
@@ -282,13 +298,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     n_rows = docs.count()
     sample = rows.where(F.pmod("n1", F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE_ROWS / max(1, n_rows))) + 1)
     broadcast = docs.sparkSession.sparkContext.broadcast(hot_words(sample, path))
-    holes = rows.select("n1", "n2", "text").mapInPandas(_holes(path, broadcast), "n1 long, n2 long, place int, word string")
+    holes = rows.select("n1", "n2", "text").mapInArrow(_holes(path, broadcast), "n1 long, n2 long, place int, word string")
     places = holes.repartition("word").sortWithinPartitions("word").mapInPandas(_encoded_places(path), "n1 long, n2 long, place int, ids array<int>")
     back = places.groupBy("n1", "n2").agg(F.sort_array(F.collect_set(F.struct("place", "ids"))).alias("s"))
     back = back.select("n1", "n2", F.transform("s", lambda s: F.size(s["ids"])).alias("lengths"), F.flatten(F.transform("s", lambda s: s["ids"])).alias("found"))
-    packed = rows.select("doc_id", "n1", "n2", F.pandas_udf(_packed(path, broadcast), "binary")("text").alias("packed"))
-    joined = packed.join(back, ["n1", "n2"], "left")
-    return joined.select("doc_id", F.pandas_udf(_filled(broadcast), "array<int>")("packed", "lengths", "found").alias("ids"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    packed = rows.mapInArrow(_packed(path, broadcast), f"doc_id {id_type}, n1 long, n2 long, packed binary")
+    joined = packed.join(back, ["n1", "n2"], "left").select("doc_id", "packed", "lengths", "found")
+    return joined.mapInArrow(_filled(broadcast), f"doc_id {id_type}, ids array<int>")
 
 
 @cache
@@ -303,24 +320,36 @@ def pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
 
 
-def _decoded(path: str):
-    def run(ids: pd.Series) -> pd.Series:
-        flat, starts = pieces(path)
-        out = []
-        for row in ids:
-            row = np.asarray([] if row is None else row, np.int64)
-            row = row[(row >= 0) & (row < len(starts) - 1)]
-            out.append(flat[_spread(starts[row], starts[row + 1] - starts[row])].tobytes().decode("utf-8", "replace"))
-        return objects(out)
-
-    return run
+def decode_lists(column: pa.ListArray, path: str) -> pa.Array:
+    """The text of each list of ids."""
+    table, starts = pieces(path)
+    lengths, ids = _flat(column)
+    ids = np.where((ids >= 0) & (ids < len(starts) - 1), ids, len(starts) - 1) if len(ids) else np.zeros(0, np.int64)
+    first, n = np.append(starts[:-1], 0)[ids], np.append(np.diff(starts), 0)[ids]
+    raw = table[_spread(first, n)].tobytes()
+    ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(lengths)])]
+    return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """``encoded`` with a column ``decoded``: the text of the ids, special tokens kept. Ids that the vocabulary
-    doesn't have count for nothing, bytes that are no UTF-8 become U+FFFD; null decodes to the empty text.
+    doesn't have, and nulls among them, count for nothing; bytes that are no UTF-8 become U+FFFD; a null list
+    decodes to the empty text.
     """
-    return encoded.withColumn("decoded", F.pandas_udf(_decoded(path or vocabulary_path()), "string")(F.col(f"`{ids_col}`")))
+    path = path or vocabulary_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            column = part.column(ids_col)
+            plain = pa.ListArray.from_arrays(*_offsets(column))
+            yield pa.RecordBatch.from_arrays([*part.columns, decode_lists(plain, path)], [*part.schema.names, "decoded"])
+
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
+
+
+def _offsets(column: pa.ListArray) -> tuple[pa.Array, pa.Array]:
+    lengths, _ = _flat(column)
+    return pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), column.flatten().fill_null(-1)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
