@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.plans import retrieval, texts
+from corvane.plans import corpus, retrieval, texts
 
-QUERIES: dict = {**retrieval.QUERIES, **texts.QUERIES}
-ORACLES: dict = {**retrieval.ORACLES, **texts.ORACLES}
+QUERIES: dict = {**retrieval.QUERIES, **texts.QUERIES, **corpus.QUERIES}
+ORACLES: dict = {**retrieval.ORACLES, **texts.ORACLES, **corpus.ORACLES}
