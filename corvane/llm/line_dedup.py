@@ -4,8 +4,8 @@ Passages count from MIN_WORDS words on. Every line starts a run: itself and the
 words. A run's hash is rare enough to tell where a passage was taken from, and its owner is the first document
 that has it. A document is paired with the owners of its runs, so pairs number no more than lines, however
 many documents share a passage, and a passage that any earlier document has is always found. Each pair is
-aligned by patience diff on the hashes of lines, and aligned blocks of MIN_WORDS words or more are deleted
-from the later document. The first document to have a line never loses it.
+aligned by patience diff on its runs, and the aligned blocks, all of MIN_WORDS words or more, are deleted from
+the later document. The first document to have a run never loses it.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from corvane.llm.common import ROW, WORD, objects, packed, text_key
 from corvane.session import staged
 
 MIN_WORDS = 20
-LINES = "places array<int>, hashes array<long>, words array<int>, runs array<long>"
+LINES = "places array<int>, words array<int>, runs array<long>"
 
 
 def line_table(text: str | None) -> tuple[int, list[int], list[int], list[int]]:
@@ -116,41 +116,37 @@ def _rising(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def copied_lines(a: Sequence[int], b: Sequence[int], words: Sequence[int], least: int = MIN_WORDS) -> list[int]:
-    """The lines of ``b`` in blocks of ``least`` words or more that align with ``a``.
+def copied_lines(a_runs: Sequence[int], b_runs: Sequence[int], b_words: Sequence[int], least: int = MIN_WORDS) -> list[int]:
+    """The lines of a later document in blocks of ``least`` words or more that an earlier one has too.
 
-    Aligned again without them until nothing more is found, so passages that moved or repeat are found too.
+    The documents' runs are aligned, so that short lines in common can't draw the alignment away from a
+    passage; then again without what was found, until nothing is left: passages that moved or repeat are found too.
     """
+    stops, total, stop = [], 0, 0
+    for start in range(len(b_runs)):
+        while total < least:
+            total += b_words[stop]
+            stop += 1
+        stops.append(stop)
+        total -= b_words[start]
     gone: set[int] = set()
-    while True:
-        rest = [j for j in range(len(b)) if j not in gone]
-        block: list[int] = []
-        found: list[int] = []
-        last = (-2, -2)
-        for i, k in [*patience(a, [b[j] for j in rest]), (-9, -1)]:
-            j = rest[k] if k >= 0 else -9
-            if (i, j) != (last[0] + 1, last[1] + 1):
-                if sum(words[x] for x in block) >= least:
-                    found += block
-                block = []
-            block.append(j)
-            last = (i, j)
-        if not found:
-            return sorted(gone)
-        gone.update(found)
+    live: list[int | None] = list(b_runs)
+    while pairs := patience(a_runs, live):
+        for _, j in pairs:
+            gone.update(range(j, stops[j]))
+        live = [None if all(k in gone for k in range(j, stops[j])) else run for j, run in enumerate(live)]
+    return sorted(gone)
 
 
 def _lines(texts: pd.Series) -> pd.DataFrame:
     tables = [line_table(t)[1:] for t in texts]
-    out = pd.DataFrame(tables, columns=["places", "hashes", "words"])
-    out["runs"] = [run_hashes(t[1], t[2]) for t in tables]
-    return out
+    return pd.DataFrame({"places": objects([t[0] for t in tables]), "words": objects([t[2] for t in tables]), "runs": objects([run_hashes(t[1], t[2]) for t in tables])})
 
 
-def _cuts(mine: pd.Series, theirs: pd.Series, words: pd.Series, places: pd.Series) -> pd.Series:
-    """The places of lines to cut from the later document (``theirs``), with the blank lines inside blocks."""
+def _cuts(earlier: pd.Series, later: pd.Series, words: pd.Series, places: pd.Series) -> pd.Series:
+    """The places of lines to cut from the later document, with the blank lines inside blocks."""
     out = []
-    for a, b, n, at in zip(mine, theirs, words, places, strict=True):
+    for a, b, n, at in zip(earlier, later, words, places, strict=True):
         copied = copied_lines(a.tolist(), b.tolist(), n.tolist())
         cut = {int(at[j]) for j in copied}
         for one, two in zip(copied, copied[1:], strict=False):
@@ -172,12 +168,12 @@ def line_cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     found = F.pandas_udf(_lines, LINES)(text)
     lines = docs.select(_key(doc, text).alias("key"), found.alias("found")).select("key", "found.*")
     # equal rows (id and text) are one document
-    lines = staged(lines.groupBy("key").agg(*[F.first(c).alias(c) for c in ("places", "hashes", "words", "runs")]), "lines")
+    lines = staged(lines.groupBy("key").agg(*[F.first(c).alias(c) for c in ("places", "words", "runs")]), "lines")
     runs = lines.select("key", F.explode(F.array_distinct("runs")).alias("run"))
     owners = runs.groupBy("run").agg(F.min("key").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "owner")
     pairs = runs.join(owners, "run").where("key <> owner").select(F.col("key").alias("later"), "owner").distinct()
-    a = lines.select(F.col("key").alias("owner"), F.col("hashes").alias("a"))
-    b = lines.select(F.col("key").alias("later"), F.col("hashes").alias("b"), "words", "places")
+    a = lines.select(F.col("key").alias("owner"), F.col("runs").alias("a"))
+    b = lines.select(F.col("key").alias("later"), F.col("runs").alias("b"), "words", "places")
     both = pairs.join(b, "later").join(a, "owner")
     cuts = both.select("later", F.col("owner.id").alias("owner_id"), F.pandas_udf(_cuts, "array<int>")("a", "b", "words", "places").alias("cut"))
     cuts = cuts.where(F.size("cut") > 0).groupBy(F.col("later").alias("key"))

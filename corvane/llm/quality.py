@@ -23,7 +23,7 @@ from corvane.session import staged
 
 SYMBOLS = "#*$%&|<>"
 STRATA = ("en", "fr", "de", "es")  # every other language, and null, is the stratum "other"
-RISK = 0.02  # the most good documents that all rules together may turn away, by stratum
+RISK = 0.05  # the most good documents that all rules together may turn away, by stratum
 DELTA = 0.05  # the chance that this fails in any stratum
 GRID = 64
 COST = 50  # bad documents that losing a good one outweighs
@@ -32,9 +32,7 @@ COST = 50  # bad documents that losing a good one outweighs
 RULES: dict[str, tuple[str, float]] = {
     "symbols": ("n_symbols / greatest(n_words, 1)", 2.0),
     "shouting": ("n_upper / greatest(word_chars, 1)", 1.0),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", 1.0),
     "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", 1.0),
-    "long_words": ("word_chars / greatest(n_words, 1) / 20", 2.0),
 }
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_lines long"
 BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
