@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from corvane.functions import ids, text
 from corvane.operators import documents, evaluate, evidence, lifecycle, memory, search
-from corvane.plans import retrieval, sql
+from corvane.plans import retrieval, sql, texts
 from corvane.session import scratch_folder
 from corvane.sources.tables import source_path, spread, table
 from corvane.streaming import memory as stream_memory
@@ -319,6 +319,12 @@ _QA = """pairs AS (SELECT conv_id, turn, text AS question, answer FROM (
 _LEDGER = """firsts AS (SELECT sha256(text) AS file_hash, min(doc_id) AS doc_id, arg_min(source, doc_id) AS collection FROM documents GROUP BY 1),
 ledger AS (SELECT file_hash, 'doc/' || doc_id AS file_path, CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'success' END AS status, collection, CASE WHEN doc_id % 3 = 0 THEN 'broken' END AS error_msg FROM firsts WHERE doc_id % 2 = 0)"""
 ORACLES = {
+    "list_documents": f"""{_P},
+first AS (SELECT doc_id, source_path, lang AS doc_type, count(*)::BIGINT AS chunk_count, arg_min(substr(text, 1, 2000), chunk_index) AS text FROM chunks GROUP BY doc_id, source_path, lang)
+SELECT doc_id, source_path, doc_type, chunk_count, {texts.TITLE} AS title FROM first""",
+    "document_summary": rf"""{_P},
+said AS (SELECT doc_id, chunk_index, {_S.format("text")} AS line FROM chunks)
+SELECT doc_id, substr(coalesce(arg_min(line, chunk_index) FILTER (line <> '' AND NOT regexp_matches(line, '^#{{1,6}}\s')), ''), 1, 500) AS summary, count(*)::BIGINT AS chunk_count FROM said GROUP BY doc_id""",
     "list_collections": f"{_P} SELECT source AS collection, count(*)::BIGINT AS n_chunks FROM chunks GROUP BY source",
     "document_outline": rf"""{_P},
 marked AS (SELECT doc_id, chunk_index, CASE WHEN chunk_index % 5 = 3 THEN '## ' || substr(text, 1, 30) ELSE text END AS text FROM chunks),

@@ -70,7 +70,7 @@ def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).where("lang = 'en'").select("doc_id", F.array_join(text.rule_tags(F.col("text")), "|").alias("tags"))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(text.rule_tags(F.col("text")), "|").alias("tags"))
 
 
 def page_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,9 +180,14 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS_EN) + "]"
 _TITLE_FIRST = r"regexp_split_to_array(text, '[.!?]\s+')[1]"
 _TITLE_SENTENCE = rf"regexp_replace({sql.STRIP.format(_TITLE_FIRST)}, '[.!?]+$', '')"
 _TITLE_LINE = sql.STRIP.format("string_split(text, chr(10))[1]")
+#: The title by rule of a column ``text``.
+TITLE = rf"""CASE WHEN coalesce(text, '') = '' THEN 'Untitled'
+  WHEN regexp_matches(text, '^#{{1,6}}\s+[^\n]+') THEN {sql.STRIP.format(r"regexp_extract(text, '^#{1,6}\s+([^\n]+)', 1)")}
+  WHEN {_TITLE_LINE} <> '' AND length({_TITLE_LINE}) <= 100 AND NOT regexp_matches({_TITLE_LINE}, '[.,;]$') THEN {_TITLE_LINE}
+  WHEN {_TITLE_FIRST} <> '' THEN CASE WHEN length({_TITLE_SENTENCE}) <= 150 THEN {_TITLE_SENTENCE} ELSE substr({_TITLE_SENTENCE}, 1, 147) || '...' END
+  ELSE {sql.STRIP.format("substr(text, 1, 100)")} || CASE WHEN length(text) > 100 THEN '...' ELSE '' END END"""
 _QUERY = "'c:first col:' || source || ' type:' || lang || ' tags:a,b tag:' || lang || '  src:data/' || source || ' ' || (" + _SNIPPET.format(_FLAT, 60) + ")"
 _BROKEN = "regexp_replace(text, 'e ', 'e-' || chr(10) || ' ', 'g')"
-_MARK = r"\*\*([^\n]+?)\*\*|\*([^\n]+?)\*|__([^\n]+?)__|_([^\n]+?)_"
 ORACLES = {
     "heading_sections": rf"WITH {sql.SECTIONS} SELECT doc_id, section_index, CASE WHEN regexp_matches(text, '^#{{1,6}}\s+') THEN {sql.STRIP.format('string_split(text, chr(10))[1]')} ELSE '' END AS heading, length(text)::INTEGER AS n_chars, sha256(text) AS text_sha FROM sections",
     "section_filter": rf"""
@@ -205,12 +210,7 @@ SELECT doc_id, position::INTEGER AS position, regexp_replace(regexp_replace(rege
     "rule_refine": "WITH dirty AS (SELECT doc_id, '──────────── Page 3 ────────────' || chr(10) || '<b>' || text || '</b><br/>&amp;&nbsp;end <!-- note' || chr(10) || ' -->  ' || repeat(chr(10), 4) || '──────────' AS t FROM documents), "
     f"refined AS (SELECT doc_id, {_refined('t')} AS t FROM dirty) SELECT doc_id, sha256(t) AS refined_sha, length(t)::INTEGER AS n_chars FROM refined",
     "html_refine_pages": f"WITH refined AS (SELECT page_id, {_refined('html')} AS t FROM pages) SELECT page_id, sha256(t) AS refined_sha, length(t)::INTEGER AS n_chars FROM refined",
-    "rule_title": rf"""
-SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 'Untitled'
-  WHEN regexp_matches(text, '^#{{1,6}}\s+[^\n]+') THEN {sql.STRIP.format(r"regexp_extract(text, '^#{1,6}\s+([^\n]+)', 1)")}
-  WHEN {_TITLE_LINE} <> '' AND length({_TITLE_LINE}) <= 100 AND NOT regexp_matches({_TITLE_LINE}, '[.,;]$') THEN {_TITLE_LINE}
-  WHEN {_TITLE_FIRST} <> '' THEN CASE WHEN length({_TITLE_SENTENCE}) <= 150 THEN {_TITLE_SENTENCE} ELSE substr({_TITLE_SENTENCE}, 1, 147) || '...' END
-  ELSE {sql.STRIP.format("substr(text, 1, 100)")} || CASE WHEN length(text) > 100 THEN '...' ELSE '' END END AS title FROM documents""",
+    "rule_title": f"SELECT doc_id, {TITLE} AS title FROM documents",
     "rule_summary": rf"""
 WITH joined AS (SELECT doc_id, {sql.STRIP.format(r"array_to_string(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31))[1:3], ' ')")} AS s FROM documents)
 SELECT doc_id, CASE WHEN length(s) > 500 THEN substr(s, 1, 497) || '...' ELSE s END AS summary FROM joined""",
