@@ -301,6 +301,13 @@ def test_shards_are_near_equal_and_follow_one_order(spark, monkeypatch, range_ro
     assert again == {r["doc_id"]: (r["shard"], r["slot"]) for r in got}
 
 
+def test_shards_agree_with_sql(spark):
+    def query(spark, sf_dir):
+        return sharding.shard(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_crc32")
+
+    agrees(spark, query, sharding.ORACLE, SF)
+
+
 @pytest.mark.parametrize("which", ["odd", "empty"])
 def test_secrets(request, which):
     df, rows = request.getfixturevalue(which)
