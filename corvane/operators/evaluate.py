@@ -39,3 +39,22 @@ def answer_overlap(answers: DataFrame) -> DataFrame:
     met = answers.withColumn("q", words("question")).withColumn("a", words("answer"))
     share = F.when(F.size("q") > 0, F.size(F.array_intersect("q", "a")) / F.size("q")).otherwise(0.0)
     return met.select("answer_id", F.length("answer").alias("n_chars"), F.round(share, 6).alias("overlap"))
+
+
+def answer_quality(answers: DataFrame) -> DataFrame:
+    """Rates and means over answers (answer_id, question, answer): answered at length, words shared, citations."""
+    from corvane.functions import text
+
+    met = answer_overlap(answers).join(answers.select("answer_id", text.has_citation(F.col("answer")).alias("cited")), "answer_id")
+    return met.agg(
+        F.count(F.lit(1)).alias("n_answers"),
+        F.round(F.avg((F.col("n_chars") >= 20).cast("double")), 4).alias("success_rate"),
+        F.round(F.avg("n_chars"), 2).alias("avg_chars"),
+        F.round(F.avg("overlap"), 4).alias("overlap_rate"),
+        F.round(F.avg(F.col("cited").cast("double")), 4).alias("citation_rate"),
+    )
+
+
+def report(averaged: DataFrame) -> DataFrame:
+    """Averages as one JSON text."""
+    return averaged.select(F.to_json(F.struct(*averaged.columns)).alias("report"))

@@ -76,3 +76,17 @@ def consistent(evaluations: DataFrame) -> DataFrame:
         (F.col("require_more_tools") & (status == "ok")).alias("require_more_tools"),
         F.substring("issues", 1, 200).alias("issues"),
     )
+
+
+def resolve_ids(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """asked_id, chunk_id, exact for each id in ``asked`` (asked_id): the chunk with that id, else the first chunk of whose
+    id it is one part or several joined parts, else null.
+
+    Parts are what an id has between underscores, so partial ids meet their chunks by equality.
+    """
+    wanted = asked.select("asked_id").distinct()
+    parts = F.split("chunk_id", "_")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.transform(F.sequence(F.lit(1), F.size(parts) - n + 1), lambda i: F.array_join(F.slice(parts, i, n), "_"))))
+    keys = chunks.select("chunk_id", F.explode(runs).alias("asked_id"))
+    best = keys.join(wanted, "asked_id", "left_semi").groupBy("asked_id").agg(F.min(F.struct((F.col("chunk_id") != F.col("asked_id")).alias("partial"), "chunk_id")).alias("best"))
+    return wanted.join(best, "asked_id", "left").select("asked_id", "best.chunk_id", (~F.col("best.partial")).alias("exact"))

@@ -58,3 +58,10 @@ def lookup(items: DataFrame, query: Column, k: int = 8) -> DataFrame:
     """The k items (item_id, embedding, score) closest to a vector, those without a vector by their stored score."""
     near = F.when(F.size("embedding") > 0, F.greatest(F.lit(0.0), scoring.cosine(F.col("embedding"), query))).otherwise(F.col("score"))
     return items.withColumn("similarity", F.round(near, 6)).orderBy(F.desc("similarity"), "item_id").limit(k)
+
+
+def similarity(bodies: DataFrame, query: Column) -> DataFrame:
+    """item_id, score: the mean clamped cosine of an item's bodies (item_id, embedding) to a vector, 0.5 where it is 0."""
+    one = F.least(F.lit(1.0), F.greatest(F.lit(0.0), scoring.cosine(F.col("embedding"), query)))
+    mean = bodies.where(F.size("embedding") > 0).groupBy("item_id").agg(F.avg(one).alias("mean"))
+    return mean.select("item_id", F.round(F.when(F.col("mean") == 0, 0.5).otherwise(F.col("mean")), 6).alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.plans import corpus, retrieval, texts
+from corvane.plans import corpus, extras, retrieval, texts
 
-QUERIES: dict = {**retrieval.QUERIES, **texts.QUERIES, **corpus.QUERIES}
-ORACLES: dict = {**retrieval.ORACLES, **texts.ORACLES, **corpus.ORACLES}
+QUERIES: dict = {**retrieval.QUERIES, **texts.QUERIES, **corpus.QUERIES, **extras.QUERIES}
+ORACLES: dict = {**retrieval.ORACLES, **texts.ORACLES, **corpus.ORACLES, **extras.ORACLES}
