@@ -262,8 +262,8 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return lengths.astype(np.int64), column.flatten().to_numpy(zero_copy_only=False)
 
 
-def _filled(broadcast):
-    """The ids of each text: of its ranks and, for the holes in turn, what came back."""
+def _filled(broadcast, path: str | None):
+    """The ids of each text: of its ranks and, for the holes in turn, what came back. With a path their text as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, expand = broadcast.value, zstandard.ZstdDecompressor().decompress
@@ -280,15 +280,17 @@ def _filled(broadcast):
             ids[inside] = found
             ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(words)])]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
+            columns = {"doc_id": part.column("doc_id"), "ids": lists} | ({"decoded": decode_lists(lists, path)} if path else {})
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, decoded: bool = False) -> DataFrame:
     """doc_id and ids (array of int) for every row of ``docs``, as the vocabulary's own library encodes the whole text
     without adding special tokens; the names of special tokens in a text become these tokens. Null and empty texts
-    have no ids. Rows alike in id and text are joined alike.
+    have no ids. Rows alike in id and text are joined alike. With ``decoded`` the ids' own text comes beside them,
+    as ``decode`` gives it, made where the ids are.
     """
     path = path or vocabulary_path()
     text = F.col(f"`{text_col}`")
@@ -305,7 +307,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     id_type = rows.schema["doc_id"].dataType.simpleString()
     packed = rows.mapInArrow(_packed(path, broadcast), f"doc_id {id_type}, n1 long, n2 long, packed binary")
     joined = packed.join(back, ["n1", "n2"], "left").select("doc_id", "packed", "lengths", "found")
-    return joined.mapInArrow(_filled(broadcast), f"doc_id {id_type}, ids array<int>")
+    return joined.mapInArrow(_filled(broadcast, path if decoded else None), f"doc_id {id_type}, ids array<int>" + ", decoded string" * decoded)
 
 
 @cache
@@ -354,6 +356,6 @@ def _offsets(column: pa.ListArray) -> tuple[pa.Array, pa.Array]:
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 for every row of ``docs``, encoded and decoded again."""
-    done = decode(encode(docs, id_col, text_col, path), "ids", path)
+    done = encode(docs, id_col, text_col, path, decoded=True)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

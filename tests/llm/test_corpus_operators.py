@@ -60,6 +60,8 @@ def test_bpe(spark, request, monkeypatch, which):
         want[i, len(ids), brute.sha(",".join(map(str, ids))), brute.sha(tokenizer.decode(ids, skip_special_tokens=False))] += 1
     got = Counter(tuple(r) for r in bpe.digests(df).collect())
     assert got == want
+    apart = bpe.decode(bpe.encode(df)).select("doc_id", F.size("ids").cast("long"), F.sha2("decoded", 256))
+    assert Counter(tuple(r) for r in apart.collect()) == Counter((i, n, d) for i, n, _, d in want.elements())
 
 
 def test_bpe_words_join_to_the_text():
