@@ -37,6 +37,7 @@ HOT_WORDS = 1 << 19  # so many words at most travel to all tasks,
 HOT_BYTES = 64  # none longer than this
 BATCH_ROWS = 512
 ENCODE_ROWS = 4_096
+LOW = 0xFFFFFFFF
 
 # The pattern of the vocabulary's words, and the same for texts whose letters are all in LETTERS.
 SPACE = r"\p{White_Space}"
@@ -132,7 +133,7 @@ def _encoded_places(path: str):
             known = last is not None and words[0] == last[0]
             ids = ([last[1]] if known else []) + _ids(words[1:] if known else words, path)
             last = words[-1], ids[-1]
-            yield batch[["n1", "n2", "place"]].reset_index(drop=True).assign(ids=objects([ids[i] for i in number]))
+            yield batch[["n1", "tag"]].reset_index(drop=True).assign(ids=objects([ids[i] for i in number]))
 
     return run
 
@@ -203,7 +204,7 @@ def _ranks(texts: list[str], path: str, hot: dict[str, np.ndarray]) -> tuple[np.
 
 
 def _holes(path: str, broadcast):
-    """name, place and word of every word that isn't hot."""
+    """Every word that isn't hot, with 96 bits of its text's name (n1, low half of tag) and its place (high half)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
@@ -211,9 +212,9 @@ def _holes(path: str, broadcast):
             hole = np.flatnonzero(ranks == 0)
             row = np.repeat(np.arange(len(counts)), counts)[hole]
             place = hole - (np.cumsum(counts) - counts)[row]
-            names = [part.column(c).take(pa.array(row)) for c in ("n1", "n2")]
+            n1, n2 = (part.column(c).to_numpy()[row] for c in ("n1", "n2"))
             words = pa.array([distinct[c] for c in code[hole]], pa.string())
-            yield pa.RecordBatch.from_arrays([*names, pa.array(place, pa.int32()), words], ["n1", "n2", "place", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(n1), pa.array((place << 32) | (n2 & LOW)), words], ["n1", "tag", "word"])
 
     return run
 
@@ -300,13 +301,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     n_rows = docs.count()
     sample = rows.where(F.pmod("n1", F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE_ROWS / max(1, n_rows))) + 1)
     broadcast = docs.sparkSession.sparkContext.broadcast(hot_words(sample, path))
-    holes = rows.select("n1", "n2", "text").mapInArrow(_holes(path, broadcast), "n1 long, n2 long, place int, word string")
-    places = holes.repartition("word").sortWithinPartitions("word").mapInPandas(_encoded_places(path), "n1 long, n2 long, place int, ids array<int>")
-    back = places.groupBy("n1", "n2").agg(F.sort_array(F.collect_set(F.struct("place", "ids"))).alias("s"))
-    back = back.select("n1", "n2", F.transform("s", lambda s: F.size(s["ids"])).alias("lengths"), F.flatten(F.transform("s", lambda s: s["ids"])).alias("found"))
+    holes = rows.select("n1", "n2", "text").mapInArrow(_holes(path, broadcast), "n1 long, tag long, word string")
+    places = holes.repartition("word").sortWithinPartitions("word").mapInPandas(_encoded_places(path), "n1 long, tag long, ids array<int>")
+    back = places.groupBy("n1", F.col("tag").bitwiseAND(F.lit(LOW)).alias("low")).agg(F.sort_array(F.collect_set(F.struct("tag", "ids"))).alias("s"))
+    back = back.select("n1", "low", F.transform("s", lambda s: F.size(s["ids"])).alias("lengths"), F.flatten(F.transform("s", lambda s: s["ids"])).alias("found"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     packed = rows.mapInArrow(_packed(path, broadcast), f"doc_id {id_type}, n1 long, n2 long, packed binary")
-    joined = packed.join(back, ["n1", "n2"], "left").select("doc_id", "packed", "lengths", "found")
+    packed = packed.select("doc_id", "n1", F.col("n2").bitwiseAND(F.lit(LOW)).alias("low"), "packed")
+    joined = packed.join(back, ["n1", "low"], "left").select("doc_id", "packed", "lengths", "found")
     return joined.mapInArrow(_filled(broadcast, path if decoded else None), f"doc_id {id_type}, ids array<int>" + ", decoded string" * decoded)
 
 
