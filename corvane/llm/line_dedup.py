@@ -1,11 +1,12 @@
 """Line deduplication by pairwise alignment.
 
-Passages count from MIN_WORDS words on. Every line starts a run: itself and the lines after it, up to MIN_WORDS
-words. A run's hash is rare enough to tell where a passage was taken from, and its owner is the first document
-that has it. A document is paired with the owners of its runs, so pairs number no more than lines, however
-many documents share a passage, and a passage that any earlier document has is always found. Each pair is
-aligned by patience diff on its runs, and the aligned blocks, all of MIN_WORDS words or more, are deleted from
-the later document. The first document to have a run never loses it.
+Passages count from MIN_WORDS words on, wherever they stand: lines are where runs may start, but a run is of words
+and goes on over the ends of lines. A run is MIN_WORDS words. Runs that start a line are looked up, and of every
+SPAN - MIN_WORDS + 1 runs in a row the one with the least hash, so that two texts with SPAN words in common look up
+one run alike. A run's hash is rare enough to tell where a passage was taken from, and its owner is the first
+document that has it. A document is paired with the owners of its runs, so pairs number no more than runs, however
+many documents share a passage. Each pair is aligned by patience diff on all runs of both texts, and the words of
+aligned runs are cut from the later document, by their offsets. The first document to have a run never loses it.
 """
 
 from __future__ import annotations
@@ -20,41 +21,67 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import ROW, WORD, objects, packed, text_key
+from corvane.llm.common import ROW, WORD, WORDS, objects, packed, text_key
 from corvane.session import staged
 
 MIN_WORDS = 20
-LINES = "places array<int>, words array<int>, runs array<long>"
-
-
-def line_table(text: str | None) -> tuple[int, list[int], list[int], list[int]]:
-    """Number of lines, and of those with a word the place, the hash and the words; null has no lines."""
-    if not text:
-        return 0, [], [], []
-    raw = text.encode().split(b"\n")
-    places, hashes, words = [], [], []
-    for place, line in enumerate(raw):
-        n = len(line.split())  # bytes split at the six ASCII white-space characters
-        if n:
-            places.append(place)
-            hashes.append(xxhash.xxh3_64_intdigest(b" ".join(line.split())) - (1 << 63))
-            words.append(n)
-    return len(raw), places, hashes, words
-
-
-def run_hashes(hashes: Sequence[int], words: Sequence[int], least: int = MIN_WORDS) -> list[int]:
-    """The hash of the run that starts at each line, if lines up to the end of the text have ``least`` words."""
-    out, total, stop = [], 0, 0
-    raw = np.array(hashes, dtype="<i8").tobytes()
-    for start in range(len(words)):
-        while stop < len(words) and total < least:
-            total += words[stop]
-            stop += 1
-        if total < least:
+#: A passage of this many words is looked up wherever it stands.
+SPAN = 50
+CHANCE_WORDS = 2
+FACTOR = 0x9E3779B97F4A7C15
+CUT = "text string, n_cut int"
+
+
+def word_table(text: str | None) -> tuple[np.ndarray, list[int]]:
+    """The hash of each word, and for each line with words the number of its first word; null has no words."""
+    words: list[bytes] = []
+    starts = []
+    for line in (text or "").encode().split(b"\n"):
+        found = line.split()  # bytes split at the six ASCII white-space characters
+        if found:
+            starts.append(len(words))
+            words += found
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), starts
+
+
+def run_hashes(hashes: np.ndarray, least: int = MIN_WORDS) -> np.ndarray:
+    """The hash of the run of ``least`` words from each word on, where there are as many."""
+    n = max(0, len(hashes) - least + 1)
+    out, have = np.zeros(n, np.uint64), 0
+    part, size = hashes, 1
+    while n:
+        if least & size:
+            out = out * np.uint64(pow(FACTOR, size, 1 << 64)) + part[have : have + n]
+            have += size
+        if have == least:
             break
-        out.append(xxhash.xxh3_64_intdigest(raw[8 * start : 8 * stop]) - (1 << 63))
-        total -= words[start]
-    return out
+        part = part[:-size] * np.uint64(pow(FACTOR, size, 1 << 64)) + part[size:]
+        size *= 2
+    for shift in (33, 29):
+        out = (out ^ (out >> np.uint64(shift))) * np.uint64(0xFF51AFD7ED558CCD)
+    return (out ^ (out >> np.uint64(32))).view(np.int64)
+
+
+def _extremes(values: np.ndarray, n: int, of: np.ufunc) -> np.ndarray:
+    """The least or greatest of each ``n`` values in a row."""
+    size = 1
+    while 2 * size <= n:
+        values = of(values[:-size], values[size:])
+        size *= 2
+    return of(values[: len(values) - (n - size)], values[n - size :])
+
+
+def looked_up(runs: np.ndarray, starts: Sequence[int]) -> np.ndarray:
+    """Hashes of the runs that start a line, and of the least of each SPAN - MIN_WORDS + 1 in a row."""
+    n = SPAN - MIN_WORDS + 1
+    at = np.asarray(starts, np.int64)
+    out = [runs[at[at < len(runs)]]]
+    if len(runs) >= n:
+        least = _extremes(runs, n, np.minimum)
+        edge = np.full(n - 1, np.iinfo(np.int64).min)
+        # a run is the least of some n in a row if it equals the greatest of their least ones
+        out.append(runs[runs == _extremes(np.concatenate([edge, least, edge]), n, np.maximum)])
+    return np.unique(np.concatenate(out))
 
 
 def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
@@ -116,110 +143,161 @@ def _rising(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def copied_lines(a_runs: Sequence[int], b_runs: Sequence[int], b_words: Sequence[int], least: int = MIN_WORDS) -> list[int]:
-    """The lines of a later document in blocks of ``least`` words or more that an earlier one has too.
+def copied_words(a_runs: np.ndarray, b_runs: np.ndarray, least: int = MIN_WORDS) -> np.ndarray:
+    """For each word of a later document: whether it stands in a run of ``least`` words that an earlier one has too.
 
-    The documents' runs are aligned, so that short lines in common can't draw the alignment away from a
-    passage; then again without what was found, until nothing is left: passages that moved or repeat are found too.
+    Of each stretch of runs that both have the first is aligned, and the pairs are extended run by run while the
+    documents agree; then again without what was found, until nothing is left: passages that moved or repeat are
+    found too.
     """
-    stops, total, stop = [], 0, 0
-    for start in range(len(b_runs)):
-        while total < least:
-            total += b_words[stop]
-            stop += 1
-        stops.append(stop)
-        total -= b_words[start]
-    gone: set[int] = set()
-    live: list[int | None] = list(b_runs)
-    while pairs := patience(a_runs, live):
-        for _, j in pairs:
-            gone.update(range(j, stops[j]))
-        live = [None if all(k in gone for k in range(j, stops[j])) else run for j, run in enumerate(live)]
-    return sorted(gone)
-
-
-def _lines(texts: pd.Series) -> pd.DataFrame:
-    tables = [line_table(t)[1:] for t in texts]
-    return pd.DataFrame({"places": objects([t[0] for t in tables]), "words": objects([t[2] for t in tables]), "runs": objects([run_hashes(t[1], t[2]) for t in tables])})
-
-
-def _cuts(earlier: pd.Series, later: pd.Series, words: pd.Series, places: pd.Series) -> pd.Series:
-    """The places of lines to cut from the later document, with the blank lines inside blocks."""
+    gone = np.zeros(len(b_runs) + least - 1 if len(b_runs) else 0, bool)
+    places = np.flatnonzero(np.isin(b_runs, a_runs))
+    while len(places):
+        heads = places[np.diff(places, prepend=-2) > 1]
+        earlier = np.flatnonzero(np.isin(a_runs, b_runs[heads]))
+        for i, j in patience(a_runs[earlier].tolist(), b_runs[heads].tolist()):
+            one, two = a_runs[earlier[i] :], b_runs[heads[j] :]
+            n = min(len(one), len(two))
+            apart = np.flatnonzero(one[:n] != two[:n])
+            gone[heads[j] : heads[j] + (apart[0] if len(apart) else n) + least - 1] = True
+        before = np.concatenate([[0], np.cumsum(gone)])
+        places = places[before[places + least] - before[places] < least]
+    return gone
+
+
+def without(text: str, gone: Sequence[bool]) -> tuple[str, int]:
+    """``text`` without the words that are ``gone``, and the number of lines that lose any.
+
+    A line that loses all its words goes, and so do blank lines between words that go. Where a passage reaches over
+    the end of a line by CHANCE_WORDS words or fewer, and other words of that line stay, these stay too: so few agree
+    by chance.
+    """
+    lines = [(line, [m.span() for m in WORDS.finditer(line)]) for line in text.split("\n")]
+    given, gone, at = gone, list(gone), 0
+    for _, spans in lines:
+        end = at + len(spans)
+        for n in range(1, min(CHANCE_WORDS, len(spans) - 1) + 1):
+            if at and all(given[at - 1 : at + n]) and not given[at + n]:
+                gone[at : at + n] = [False] * n
+            if end < len(given) and all(given[end - n : end + 1]) and not given[end - n - 1]:
+                gone[end - n : end] = [False] * n
+        at = end
+    out, n_cut, at = [], 0, 0
+    for line, spans in lines:
+        cut = gone[at : at + len(spans)]
+        at += len(spans)
+        if not spans and 0 < at < len(gone) and gone[at - 1] and gone[at]:
+            n_cut += 1
+        elif not any(cut):
+            out.append(line)
+        else:
+            n_cut += 1
+            if not all(cut):
+                out.append(_kept(line, spans, cut))
+    return "\n".join(out), n_cut
+
+
+def _kept(line: str, spans: list[tuple[int, int]], cut: Sequence[bool]) -> str:
+    """A line without some of its words: each goes with the space behind it, the last ones with that before them."""
+    last = max(k for k in range(len(cut)) if not cut[k])
+    parts = [line[: spans[0][0]]]
+    for k in range(last):
+        if not cut[k]:
+            parts.append(line[spans[k][0] : spans[k + 1][0]])
+    parts.append(line[spans[last][0] : spans[last][1] if last + 1 < len(cut) else len(line)])
+    return "".join(parts)
+
+
+def _looked_up(texts: pd.Series) -> pd.Series:
     out = []
-    for a, b, n, at in zip(earlier, later, words, places, strict=True):
-        copied = copied_lines(a.tolist(), b.tolist(), n.tolist())
-        cut = {int(at[j]) for j in copied}
-        for one, two in zip(copied, copied[1:], strict=False):
-            if two == one + 1:
-                cut.update(range(int(at[one]), int(at[two])))
-        out.append(sorted(cut))
+    for text in texts:
+        hashes, starts = word_table(text)
+        out.append(looked_up(run_hashes(hashes), starts))
     return objects(out)
 
 
+def _copied(earlier: pd.Series, later: pd.Series) -> pd.Series:
+    """Numbers of the words to cut from the later document: first, behind the last, first, ..."""
+    out = []
+    for a, b in zip(earlier, later, strict=True):
+        gone = copied_words(*[run_hashes(word_table(x)[0]) for x in (a, b)])
+        out.append(np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]).astype(np.int8))).astype(np.int32))
+    return objects(out)
+
+
+def _cut_texts(texts: pd.Series, edges: pd.Series) -> pd.DataFrame:
+    found = []
+    for text, cuts in zip(texts, edges, strict=True):
+        gone = np.zeros(len(text.encode().split()), bool)
+        for cut in cuts:
+            for start, stop in zip(cut[::2], cut[1::2], strict=True):
+                gone[start:stop] = True
+        found.append(without(text, gone.tolist()))
+    return pd.DataFrame({"text": objects([t for t, _ in found]), "n_cut": np.array([n for _, n in found], np.int32)})
+
+
 def _key(id_col: Column, text: Column) -> Column:
     """What names a document and orders documents: id (null last), then a hash of the text."""
     return F.struct(id_col.isNull().alias("nul"), id_col.alias("id"), *text_key(text))
 
 
-def line_cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, cut, owners: for each document that loses lines, their places (from 0) and the ids of the documents
-    that have them first."""
-    doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    found = F.pandas_udf(_lines, LINES)(text)
-    lines = docs.select(_key(doc, text).alias("key"), found.alias("found")).select("key", "found.*")
-    # equal rows (id and text) are one document
-    lines = staged(lines.groupBy("key").agg(*[F.first(c).alias(c) for c in ("places", "words", "runs")]), "lines")
-    runs = lines.select("key", F.explode(F.array_distinct("runs")).alias("run"))
-    owners = runs.groupBy("run").agg(F.min("key").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "owner")
+def line_cuts(rows: DataFrame) -> DataFrame:
+    """key, new_text, n_cut, owners: for each document of ``rows`` (key, text) that loses words, what is left of it, the
+    number of lines that lose any and the ids of the documents that have them first."""
+    found = staged(rows.select("key", F.pandas_udf(_looked_up, "array<long>")("text").alias("runs")), "runs")
+    # of one type with what is read again, so that texts are dealt out by key once for all three joins
+    rows = rows.withColumn("key", F.col("key").cast(found.schema["key"].dataType))
+    # dealt out once too, for the owners and for those that look them up
+    runs = found.where("key is not null").select("key", F.explode("runs").alias("run")).repartition("run")
+    owners = runs.groupBy("run").agg(F.min("key").alias("owner"), F.max("key").alias("last")).where("owner <> last").select("run", "owner")
     pairs = runs.join(owners, "run").where("key <> owner").select(F.col("key").alias("later"), "owner").distinct()
-    a = lines.select(F.col("key").alias("owner"), F.col("runs").alias("a"))
-    b = lines.select(F.col("key").alias("later"), F.col("runs").alias("b"), "words", "places")
-    both = pairs.join(b, "later").join(a, "owner")
-    cuts = both.select("later", F.col("owner.id").alias("owner_id"), F.pandas_udf(_cuts, "array<int>")("a", "b", "words", "places").alias("cut"))
-    cuts = cuts.where(F.size("cut") > 0).groupBy(F.col("later").alias("key"))
-    return cuts.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut"), F.array_sort(F.collect_set("owner_id")).alias("owners"))
-
-
-def _cut_text(text: Column) -> Column:
-    kept = F.filter(F.split(text, "\n", -1), lambda line, at: ~F.array_contains("cut", at))
-    return F.when(F.col("cut").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    # equal rows (id and text) are one document
+    a = pairs.join(rows.select(F.col("key").alias("owner"), F.col("text").alias("a")), "owner").groupBy("later", "owner").agg(F.first("a").alias("a"))
+    both = a.join(rows.select(F.col("key").alias("later"), F.col("text").alias("b")), "later").groupBy("later", "owner").agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    cuts = both.select("later", F.col("owner.id").alias("owner_id"), "b", F.pandas_udf(_copied, "array<int>").asNondeterministic()("a", "b").alias("cut")).where(F.size("cut") > 0)
+    cuts = cuts.groupBy("later").agg(F.first("b").alias("b"), F.collect_list("cut").alias("cuts"), F.array_sort(F.collect_set("owner_id")).alias("owners"))
+    cuts = cuts.select(F.col("later").alias("key"), F.pandas_udf(_cut_texts, CUT).asNondeterministic()("b", "cuts").alias("new"), "owners")
+    return cuts.select("key", F.col("new.text").alias("new_text"), F.col("new.n_cut").alias("n_cut"), "owners")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_cut, owners, text: one row per row of ``docs``.
 
-    ``text`` is without the lines that an earlier document has too, ``owners`` the ids of these documents. Ids
-    give the order, null last; documents with one id are ordered by a hash of their text. Equal rows are one
-    document and keep their text alike. Null texts stay null, texts without lines as they are.
+    ``text`` is without the passages that an earlier document has too, ``n_cut`` the number of lines that lose words,
+    all or some, and ``owners`` the ids of these documents. Ids give the order, null last; documents with one id are
+    ordered by a hash of their text. Equal rows are one document and keep their text alike. Null texts stay null,
+    texts without words as they are.
     """
     doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     rows = docs.select(_key(doc, text).alias("key"), text.alias("text"))
-    found = rows.join(line_cuts(docs, id_col, text_col), "key", "left")
+    cuts = line_cuts(rows)
+    # as line_cuts has them, so that its exchange of texts serves here as well
+    found = rows.select(F.col("key").cast(cuts.schema["key"].dataType).alias("key"), F.col("text").alias("whole")).join(cuts, "key", "left")
     return found.select(
         F.col("key.id").alias("doc_id"),
-        F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("cut"), F.lit(0)).alias("n_cut"),
+        F.coalesce(F.size(F.split("whole", "\n", -1)), F.lit(0)).alias("n_lines"),
+        F.coalesce("n_cut", F.lit(0)).alias("n_cut"),
         F.coalesce("owners", F.array().cast(f"array<{docs.schema[id_col].dataType.simpleString()}>")).alias("owners"),
-        _cut_text(F.col("text")).alias("text"),
+        F.when(F.col("n_cut").isNull(), F.col("whole")).otherwise(F.col("new_text")).alias("text"),
     )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with their columns and without the lines that earlier documents have.
+    """``docs`` with their columns and without the passages that earlier documents have.
 
     A document of which no word is left goes; one that had no words before stays. ``chars_col`` follows the text.
     """
     doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     rows = packed(docs, key=_key(doc, text))
-    found = rows.join(line_cuts(docs, id_col, text_col), "key", "left")
-    found = found.withColumn("new_text", _cut_text(F.col(f"{ROW}.`{text_col}`")))
-    found = found.where(F.col("cut").isNull() | F.col("new_text").rlike(WORD))
+    cuts = line_cuts(docs.select(_key(doc, text).alias("key"), text.alias("text")))
+    found = rows.join(cuts, "key", "left")
+    found = found.where(F.col("n_cut").isNull() | F.col("new_text").rlike(WORD))
     columns = []
     for name in docs.columns:
         if name == text_col:
-            columns.append(F.col("new_text").alias(name))
+            columns.append(F.when(F.col("n_cut").isNull(), F.col(f"{ROW}.`{name}`")).otherwise(F.col("new_text")).alias(name))
         elif name == chars_col:
-            columns.append(F.when(F.col("cut").isNull(), F.col(f"{ROW}.`{name}`")).otherwise(F.length("new_text")).cast(docs.schema[name].dataType).alias(name))
+            columns.append(F.when(F.col("n_cut").isNull(), F.col(f"{ROW}.`{name}`")).otherwise(F.length("new_text")).cast(docs.schema[name].dataType).alias(name))
         else:
             columns.append(F.col(f"{ROW}.`{name}`").alias(name))
     return found.select(*columns)

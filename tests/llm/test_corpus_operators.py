@@ -265,6 +265,39 @@ def test_passages_stay_only_with_their_first_document(spark):
     assert all(f"own {i} {j} line" in got[i] for i in got for j in range(4))
 
 
+def test_passages_inside_lines_go(spark):
+    passage = " ".join(f"p{i}" for i in range(55))
+    rows = [
+        (1, f"one start\nfirst of line one {passage} rest of line one\nend", "a"),
+        (2, f"head  two {passage}\ttail two\n\nfoot", "a"),
+        (3, f"three {passage.replace(' p30 ', ' p30' + chr(10) + chr(10) + '  ')} é three\nfoot three", "a"),
+    ]
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    assert [got[i]["text"] for i in (1, 2, 3)] == [rows[0][1], "head  two tail two\n\nfoot", "three\n  é three\nfoot three"]
+    assert [(got[i]["n_cut"], got[i]["owners"]) for i in (1, 2, 3)] == [(0, []), (1, [1]), (3, [1])]
+
+
+def test_no_word_stays_in_a_span_of_an_earlier_document(spark):
+    rng = random.Random(10)
+    base = [[f"b{k}w{i}" for i in range(120)] for k in range(6)]
+    rows = []
+    for i in range(120):
+        words = [f"own{i}x{j}" for j in range(30)]
+        for passage in rng.sample(base, 2):
+            start, stop = rng.choice([(0, 60), (60, 120), (0, 120)])
+            at = rng.choice([0, len(words)])
+            words[at:at] = passage[start:stop]
+        rows.append((i, " ".join(words), "a"))
+    got = {r["doc_id"]: r["text"].split() for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    seen = set()
+    for i, text, _ in rows:
+        words = text.split()
+        spans = [tuple(words[k : k + 50]) for k in range(len(words) - 49)]
+        copied = {w for s in spans if s in seen for w in s}
+        assert got[i] == [w for w in words if w not in copied]
+        seen.update(spans)
+
+
 def test_patience_pairs_rise():
     rng = random.Random(6)
     for _ in range(300):
