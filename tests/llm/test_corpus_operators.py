@@ -298,6 +298,15 @@ def test_no_word_stays_in_a_span_of_an_earlier_document(spark):
         seen.update(spans)
 
 
+def test_a_short_line_behind_a_long_one_goes_too(spark):
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    blocks = ["\n".join([line("a", 40), line("b", 15)]), "\n".join([*[line(f"c{k}x", 12) for k in range(4)], line("d", 7)])]
+    rows = [(10 * k + i, f"head {k} {i}\n{block}\n{'' if i % 2 else f'foot {k} {i}'}", "a") for k, block in enumerate(blocks) for i in range(3)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    for k, block in enumerate(blocks):
+        assert [got[10 * k + i] for i in range(3)] == [f"head {k} 0\n{block}\nfoot {k} 0", f"head {k} 1\n", f"head {k} 2\nfoot {k} 2"]
+
+
 def test_patience_pairs_rise():
     rng = random.Random(6)
     for _ in range(300):
