@@ -40,7 +40,7 @@ def outline(chunks: DataFrame) -> DataFrame:
     return placed.groupBy("doc_id", "section", "heading").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(text.has_table(F.col("text"))).alias("has_table"), F.max(text.has_image(F.col("text"))).alias("has_image"))
 
 
-def full_text(chunks: DataFrame, most: int = 100_000) -> DataFrame:
+def full_text(chunks: DataFrame, most: int = 120_000) -> DataFrame:
     """A document's chunks outside references and appendix, joined in order and cut at ``most`` characters."""
     most = min(max(most, 1_000), 500_000)
     kept = chunks.where(~text.is_references(F.lit(""), F.col("text")) & ~text.is_appendix(F.lit(""), F.col("text")))

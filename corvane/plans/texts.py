@@ -52,8 +52,8 @@ def rule_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fenced_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text with a fenced block, which must come through as it was."""
-    fenced = F.concat(F.lit("<i>a</i>   b\n```\n<keep>   this</keep>\n```\n"), text.snippet(F.col("text"), 80), F.lit("<br>   c"))
-    return _docs(spark, sf_dir).select("doc_id", text.refine_fenced(fenced).alias("refined"))
+    fenced = F.concat(F.lit("<i>a</i>   b\n```\n<keep>   this</keep>\n```\n"), F.col("text"), F.lit("<br>   c"))
+    return _docs(spark, sf_dir).select("doc_id", _hash(text.refine_fenced(fenced)).alias("refined_sha"), F.length(text.refine_fenced(fenced)).alias("n_chars"))
 
 
 def html_refine_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

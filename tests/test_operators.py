@@ -110,6 +110,23 @@ def test_refine(spark):
     assert value(spark, text.refine_fenced(F.lit(fenced))) == "x\n```\n<keep>  it</keep>\n```\ny / z"
 
 
+def test_fenced_refine_takes_whole_texts(spark, tmp_path):
+    import hashlib
+
+    from corvane.plans import texts
+
+    body = " ".join(f"word{i}" for i in range(100)) + "\n```\n<b>  kept</b>\n```\nlast"
+    spark.createDataFrame([(1, body, "s", "en")], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = f"a b\n```\n<keep>   this</keep>\n```\n{body} / c"
+    got = texts.fenced_refine(spark, str(tmp_path)).first()
+    assert (got["refined_sha"], got["n_chars"]) == (hashlib.sha256(want.encode()).hexdigest(), len(want))
+
+
+def test_full_text_is_whole_up_to_the_references_bound(spark):
+    chunks = spark.createDataFrame([(1, i, "x" * 1_000) for i in range(115)], "doc_id long, chunk_index int, text string")
+    assert documents.full_text(chunks).select(F.length("full_text")).first()[0] == 115 * 1_000 + 114 * 2
+
+
 def test_title_summary_tags(spark):
     assert value(spark, text.rule_title(F.lit("## Head line\nmore"))) == "Head line"
     assert value(spark, text.rule_title(F.lit(""))) == "Untitled"
