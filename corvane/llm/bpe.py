@@ -4,8 +4,8 @@ Texts are split into words (the pre-tokens of the vocabulary's pattern), and eac
 words that are frequent in a bounded sample of documents make one table, bounded too, which travels to all tasks; a
 text becomes a string of its words' numbers there, with holes for all other words. The words in the holes are
 dealt out by word, so that all places of a word meet: it is encoded once, and its ids go back by a join of
-places with their text. The sample decides only which way a word takes, not its ids. Decoding joins each id with
-the table of pieces, which has a row for each id of the vocabulary.
+places with their text. The sample decides only which way a word takes, not its ids. Decoding looks each id up
+in the table of pieces, which has a row for each id of the vocabulary and is held by every task.
 """
 
 from __future__ import annotations
