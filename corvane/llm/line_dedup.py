@@ -5,8 +5,9 @@ and goes on over the ends of lines. A run is MIN_WORDS words. Runs that start a
 SPAN - MIN_WORDS + 1 runs in a row the one with the least hash, so that two texts with SPAN words in common look up
 one run alike. A run's hash is rare enough to tell where a passage was taken from, and its owner is the first
 document that has it. A document is paired with the owners of its runs, so pairs number no more than runs, however
-many documents share a passage. Each pair is aligned by patience diff on all runs of both texts, and the words of
-aligned runs are cut from the later document, by their offsets. The first document to have a run never loses it.
+many documents share a passage. Each pair is aligned by patience diff on its common runs, aligned runs grow to common
+blocks, compared word by word, and these are cut from the later document. The alignment decides: of what both have,
+runs below SPAN words that no alignment brings into order stay. The first document to have a run never loses it.
 """
 
 from __future__ import annotations
@@ -28,6 +29,12 @@ MIN_WORDS = 20
 #: A passage of this many words is looked up wherever it stands.
 SPAN = 50
 CHANCE_WORDS = 2
+#: Alignments of a pair: the first finds what stands in order, the others blocks that moved.
+ROUNDS = 4
+#: Divisions of a part of two texts in one alignment.
+DEPTH = 40
+#: Pairs with one owner that go to a task together.
+OWNER_PAIRS = 500
 FACTOR = 0x9E3779B97F4A7C15
 CUT = "text string, n_cut int"
 
@@ -87,29 +94,30 @@ def looked_up(runs: np.ndarray, starts: Sequence[int]) -> np.ndarray:
 def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     """Pairs (i, j) with a[i] == b[j], rising in both: a patience diff.
 
-    Equal ends are matched first. What is left is divided at lines that are unique in both; where there
-    is none, at the first places of the line that is least frequent.
+    Equal ends are matched first. What is left is divided at items that are unique in both, by the longest rising
+    sequence of them; where there is none, at the first places of the item that is least frequent. A part that has
+    been divided DEPTH times is left as it is, so that the work stays below DEPTH passes over both.
     """
     out: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
+    todo = [(0, len(a), 0, len(b), 0)]
     while todo:
-        i, i_end, j, j_end = todo.pop()
+        i, i_end, j, j_end, depth = todo.pop()
         while i < i_end and j < j_end and a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
         while i < i_end and j < j_end and a[i_end - 1] == b[j_end - 1]:
             i_end, j_end = i_end - 1, j_end - 1
             out.append((i_end, j_end))
-        if i >= i_end or j >= j_end:
+        if i >= i_end or j >= j_end or depth >= DEPTH:
             continue
         in_a, in_b = Counter(a[i:i_end]), Counter(b[j:j_end])
         both = in_a.keys() & in_b.keys()
         if not both:
             continue
+        rare = {x for x in both if in_a[x] == 1 and in_b[x] == 1}
         at_a: dict[int, int] = {}
         for k in range(i_end - 1, i - 1, -1):
             at_a[a[k]] = k
-        rare = {x for x in both if in_a[x] == 1 and in_b[x] == 1}
         if not rare:
             rare = {min(both, key=lambda x: (in_a[x] * in_b[x], at_a[x]))}
         seen, places = set(), []
@@ -119,10 +127,10 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
                 places.append((at_a[b[k]], k))
         last_i, last_j = i, j
         for k_a, k_b in _rising(places):
-            todo.append((last_i, k_a, last_j, k_b))
+            todo.append((last_i, k_a, last_j, k_b, depth + 1))
             out.append((k_a, k_b))
             last_i, last_j = k_a + 1, k_b + 1
-        todo.append((last_i, i_end, last_j, j_end))
+        todo.append((last_i, i_end, last_j, j_end, depth + 1))
     return sorted(out)
 
 
@@ -143,25 +151,60 @@ def _rising(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def copied_words(a_runs: np.ndarray, b_runs: np.ndarray, least: int = MIN_WORDS) -> np.ndarray:
-    """For each word of a later document: whether it stands in a run of ``least`` words that an earlier one has too.
+def _agreeing(a: list[bytes], b: list[bytes], i: int, j: int, step: int = 1) -> int:
+    """How many words from a[i] and b[j] on are the same, word for word; with step -1 those before them."""
+    n, room = 0, min(len(a) - i, len(b) - j) if step > 0 else min(i, j)
+    size = 64
+    while n < room:  # slices are compared at once, twice as many each time, until they differ
+        size = min(size, room - n)
+        one, two = (a[i + n : i + n + size], b[j + n : j + n + size]) if step > 0 else (a[i - n - size : i - n], b[j - n - size : j - n])
+        if one == two:
+            n, size = n + size, 2 * size
+            continue
+        pairs = zip(one, two, strict=True) if step > 0 else zip(reversed(one), reversed(two), strict=True)
+        return n + next(k for k, (x, y) in enumerate(pairs) if x != y)
+    return n
+
+
+def words_of(text: str) -> tuple[list[bytes], np.ndarray]:
+    """The words of a text and their hashes."""
+    return text.encode().split(), word_table(text)[0]
+
 
-    Of each stretch of runs that both have the first is aligned, and the pairs are extended run by run while the
-    documents agree; then again without what was found, until nothing is left: passages that moved or repeat are
-    found too.
+def aligned_words(earlier: tuple[list[bytes], np.ndarray], later: tuple[list[bytes], np.ndarray], least: int = MIN_WORDS) -> np.ndarray:
+    """For each word of a later document: whether it is in a common block of ``least`` words or more.
+
+    Of each stretch of runs that both have, the first is an anchor. Anchors are aligned by patience diff; each aligned
+    pair grows to a block as long as the words themselves agree, backwards and forwards. Blocks that moved are out of
+    order and come with a further alignment of what is left, ROUNDS in all. What then still stands out of order
+    stays, except passages of SPAN words or more, which go wherever they stand. Every block is compared word by
+    word, not by hash.
     """
-    gone = np.zeros(len(b_runs) + least - 1 if len(b_runs) else 0, bool)
-    places = np.flatnonzero(np.isin(b_runs, a_runs))
-    while len(places):
-        heads = places[np.diff(places, prepend=-2) > 1]
-        earlier = np.flatnonzero(np.isin(a_runs, b_runs[heads]))
-        for i, j in patience(a_runs[earlier].tolist(), b_runs[heads].tolist()):
-            one, two = a_runs[earlier[i] :], b_runs[heads[j] :]
-            n = min(len(one), len(two))
-            apart = np.flatnonzero(one[:n] != two[:n])
-            gone[heads[j] : heads[j] + (apart[0] if len(apart) else n) + least - 1] = True
+    (a, a_hashes), (b, b_hashes) = earlier, later
+    a_runs, b_runs = run_hashes(a_hashes, least), run_hashes(b_hashes, least)
+    gone = np.zeros(len(b), bool)
+    common = np.flatnonzero(np.isin(b_runs, a_runs))
+    for _ in range(ROUNDS):
+        if not len(common):
+            break
+        heads = common[np.diff(common, prepend=-2) > 1]
+        places = np.flatnonzero(np.isin(a_runs, b_runs[heads]))
+        for x, y in patience(a_runs[places].tolist(), b_runs[heads].tolist()):
+            i, j = int(places[x]), int(heads[y])
+            n = _agreeing(a, b, i, j)
+            if n >= least:
+                gone[j - _agreeing(a, b, i, j, -1) : j + n] = True
         before = np.concatenate([[0], np.cumsum(gone)])
-        places = places[before[places + least] - before[places] < least]
+        common = common[before[common + least] - before[common] < least]
+    if len(common):
+        spans = run_hashes(a_hashes, SPAN)
+        values, first = np.unique(spans, return_index=True)
+        here = run_hashes(b_hashes, SPAN)
+        for j in np.flatnonzero(np.isin(here, spans)).tolist():
+            if not gone[j : j + SPAN].all():
+                i = int(first[np.searchsorted(values, here[j])])
+                if a[i : i + SPAN] == b[j : j + SPAN]:
+                    gone[j : j + SPAN] = True
     return gone
 
 
@@ -216,11 +259,11 @@ def _looked_up(texts: pd.Series) -> pd.Series:
     return objects(out)
 
 
-def _copied(earlier: pd.Series, later: pd.Series) -> pd.Series:
+def _aligned(earlier: pd.Series, later: pd.Series) -> pd.Series:
     """Numbers of the words to cut from the later document: first, behind the last, first, ..."""
     out = []
     for a, b in zip(earlier, later, strict=True):
-        gone = copied_words(*[run_hashes(word_table(x)[0]) for x in (a, b)])
+        gone = aligned_words(words_of(a), words_of(b))
         out.append(np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]).astype(np.int8))).astype(np.int32))
     return objects(out)
 
@@ -245,16 +288,21 @@ def line_cuts(rows: DataFrame) -> DataFrame:
     """key, new_text, n_cut, owners: for each document of ``rows`` (key, text) that loses words, what is left of it, the
     number of lines that lose any and the ids of the documents that have them first."""
     found = staged(rows.select("key", F.pandas_udf(_looked_up, "array<long>")("text").alias("runs")), "runs")
-    # of one type with what is read again, so that texts are dealt out by key once for all three joins
+    # of one type with what is read again, so that texts are dealt out by key once for all joins
     rows = rows.withColumn("key", F.col("key").cast(found.schema["key"].dataType))
-    # dealt out once too, for the owners and for those that look them up
-    runs = found.where("key is not null").select("key", F.explode("runs").alias("run")).repartition("run")
+    runs = found.where("key is not null").select("key", F.explode("runs").alias("run"))
+    # summed up before they are dealt out, so that a run that most documents have is a row a task
     owners = runs.groupBy("run").agg(F.min("key").alias("owner"), F.max("key").alias("last")).where("owner <> last").select("run", "owner")
-    pairs = runs.join(owners, "run").where("key <> owner").select(F.col("key").alias("later"), "owner").distinct()
+    pairs = staged(runs.join(owners, "run").where("key <> owner").select(F.col("key").alias("later"), "owner").distinct(), "pairs")
+    # the first document of a passage that many have is in many pairs: they go to several tasks, with a copy of its text each
+    shares = pairs.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / OWNER_PAIRS).cast("int").alias("shares"))
     # equal rows (id and text) are one document
-    a = pairs.join(rows.select(F.col("key").alias("owner"), F.col("text").alias("a")), "owner").groupBy("later", "owner").agg(F.first("a").alias("a"))
+    firsts = rows.select(F.col("key").alias("owner"), F.col("text").alias("a")).join(shares, "owner").groupBy("owner").agg(F.first("a").alias("a"), F.first("shares").alias("shares"))
+    firsts = firsts.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    dealt = pairs.join(shares, "owner").withColumn("share", F.pmod(F.xxhash64("later"), F.col("shares")).cast("int")).drop("shares")
+    a = dealt.join(firsts, ["owner", "share"]).drop("share")
     both = a.join(rows.select(F.col("key").alias("later"), F.col("text").alias("b")), "later").groupBy("later", "owner").agg(F.first("a").alias("a"), F.first("b").alias("b"))
-    cuts = both.select("later", F.col("owner.id").alias("owner_id"), "b", F.pandas_udf(_copied, "array<int>").asNondeterministic()("a", "b").alias("cut")).where(F.size("cut") > 0)
+    cuts = both.select("later", F.col("owner.id").alias("owner_id"), "b", F.pandas_udf(_aligned, "array<int>").asNondeterministic()("a", "b").alias("cut")).where(F.size("cut") > 0)
     cuts = cuts.groupBy("later").agg(F.first("b").alias("b"), F.collect_list("cut").alias("cuts"), F.array_sort(F.collect_set("owner_id")).alias("owners"))
     cuts = cuts.select(F.col("later").alias("key"), F.pandas_udf(_cut_texts, CUT).asNondeterministic()("b", "cuts").alias("new"), "owners")
     return cuts.select("key", F.col("new.text").alias("new_text"), F.col("new.n_cut").alias("n_cut"), "owners")
@@ -266,7 +314,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ``text`` is without the passages that an earlier document has too, ``n_cut`` the number of lines that lose words,
     all or some, and ``owners`` the ids of these documents. Ids give the order, null last; documents with one id are
     ordered by a hash of their text. Equal rows are one document and keep their text alike. Null texts stay null,
-    texts without words as they are.
+    texts without words as they are. An empty table gives no rows. Texts of any length are compared whole, in time that
+    grows as their length (n log n).
     """
     doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     rows = docs.select(_key(doc, text).alias("key"), text.alias("text"))
