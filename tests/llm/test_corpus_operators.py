@@ -140,6 +140,73 @@ def test_quality_cutoffs_are_certified(spark):
     assert quality.binomial_cdf(3, 50, 0.1) == pytest.approx(exact) and quality.binomial_cdf(50, 50, 0.1) == 1
 
 
+def test_noisy_labels_keep_the_risk(spark):
+    """Rules reject mostly bad documents where labels are noisy, and no more good ones than the bound allows."""
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(6000):
+        bad = rng.random() < 0.3
+        odd = rng.random() < (0.9 if bad else 0.004)
+        rows.append((i, " ".join(f"w{rng.randrange(5000)}" + ("##" if odd and rng.random() < 0.7 else "") for _ in range(30)) + ".", "a"))
+        labels.append((i, int(not bad)))
+    df = docs(spark, rows)
+    got = {r["doc_id"]: r for r in quality.quality_rules(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    good, bad = ([i for i, q in labels if q == want] for want in (1, 0))
+    assert sum(not got[i]["kept"] for i in good) / len(good) <= quality.RISK
+    assert sum(not got[i]["kept"] for i in bad) / len(bad) >= 0.75
+    # where signs and labels have nothing in common, nothing is certified
+    blind = spark.createDataFrame([(i, i * 7919 % 10 > 2) for i, _, _ in rows], "doc_id long, q boolean").select("doc_id", F.col("q").cast("int").alias("quality"))
+    lost = [r for r in quality.quality_rules(df, blind).collect() if not r["kept"]]
+    assert len(lost) <= quality.RISK * len(rows)
+
+
+BAD = {
+    "symbols": lambda w: " ".join(x + "#" for x in w),
+    "shouting": lambda w: " ".join(x.upper() if k % 2 else x for k, x in enumerate(w)) + ".",
+    "dup_lines": lambda w: ".\n".join([" ".join(w[:20]), "so be it then", " ".join(w[20:]), "so be it then", "so be it then"]) + ".",
+    "repeats": lambda w: " ".join([*w, *w[:5], "so."]),
+    "long_words": lambda w: " ".join(a + b + a for a, b in zip(w, w[1:], strict=False)) + ".",
+    "no_letters": lambda w: " ".join(x if k % 3 else "123456" + str(k) for k, x in enumerate(w)) + ".",
+    "open_lines": lambda w: "\n".join(" ".join(w[k : k + 6]) for k in range(0, len(w), 6)),
+    "few_words": lambda w: " ".join(x if k % 2 else "so" for k, x in enumerate(w)) + ".",
+}
+
+
+@pytest.mark.parametrize("rule", sorted(quality.RULES))
+def test_every_rule_fires(spark, monkeypatch, rule):
+    monkeypatch.setattr(quality, "RULES", {rule: quality.RULES[rule]})
+    rng = random.Random(22)
+    words = lambda: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) for _ in range(60)]
+    rows = [(i, " ".join(words()) + ".", "a") for i in range(600)] + [(1000 + i, BAD[rule](words()), "a") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _, _ in rows], "doc_id long, quality int")
+    got = {r["doc_id"]: r["failed_rules"] for r in quality.quality_rules(docs(spark, rows), labels).where("not base_failed").collect()}
+    assert sum(got.get(i) == rule for i, _, _ in rows[600:]) >= 180 and not any(got[i] for i, _, _ in rows[:600])
+
+
+def test_certified_is_that_of_plain_sums():
+    rng = random.Random(23)
+    for _ in range(40):
+        good, bad = ([rng.choice([0, 0, 1, 3]) for _ in range(12)] for _ in range(2))
+        n = rng.choice([0, 100, 400, 900, 2000])
+        best, most = 0, 0
+        for place in range(1, 13):
+            k, caught = sum(good[:place]), sum(bad[:place])
+            chance = sum(math.comb(n, i) * quality.RISK**i * (1 - quality.RISK) ** (n - i) for i in range(k + 1))
+            if not n or chance > quality.DELTA / 5:
+                break
+            if caught - quality.COST * k > most:
+                best, most = place, caught - quality.COST * k
+        assert quality.certified(good, bad, n) == best
+
+
+def test_path_takes_the_best_step_first():
+    steps = np.array([[10, 0], [20, 0], [0, 30], [0, 5], [0, 0]])
+    good, bad = np.array([0, 0, 0, 1, 50]), np.array([4, 3, 9, 60, 0])
+    path = quality.tightening_path(steps, good, bad)
+    ends = [p for p, q in zip(path, [*path[1:], (None, None)], strict=True) if p[0] != q[0]]
+    assert ends == [(1, 5), (0, 10)] and path[0] == (1, quality.GRID)
+
+
 @pytest.mark.parametrize("which", ["odd", "empty"])
 def test_mixing(request, which):
     df, rows = request.getfixturevalue(which)
