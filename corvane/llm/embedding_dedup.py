@@ -27,13 +27,13 @@ from corvane.session import staged
 
 THRESHOLD = 0.9
 RECALL = 0.98  # of pairs at exactly the threshold
-LEAST = 2  # collisions that a candidate needs at least: one alone says little
+LEAST = 3  # collisions that a candidate needs at least: fewer say little
 TOPS = (8, 12, 16, 24, 32, 48, 64)  # lists that a vector may enter, tried in turn
 WINDOW = 2.0  # half width of the window, in standard deviations of the difference at the threshold
 CELLS = 8  # ranges of equal width in half a window, by which lists are cut
 SEED = 20240101
 BLOCK = 1024  # places of a list that are compared with each other at a time
-HOME_BYTES = 1 << 21  # vectors that are verified against each other at a time
+HOME_BYTES = 1 << 20  # vectors that are verified against each other at a time
 MOST_LISTS = 1 << 17
 PAIRS = 1024  # simulated pairs for calibration
 CHUNK = 1 << 12  # directions that are made at a time
