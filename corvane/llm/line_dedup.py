@@ -167,8 +167,9 @@ def _agreeing(a: list[bytes], b: list[bytes], i: int, j: int, step: int = 1) ->
 
 
 def words_of(text: str) -> tuple[list[bytes], np.ndarray]:
-    """The words of a text and their hashes."""
-    return text.encode().split(), word_table(text)[0]
+    """The words of a text and their hashes, which hold within a process: words themselves decide what is the same."""
+    words = text.encode().split()
+    return words, np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
 
 
 def aligned_words(earlier: tuple[list[bytes], np.ndarray], later: tuple[list[bytes], np.ndarray], least: int = MIN_WORDS) -> np.ndarray:
@@ -215,28 +216,28 @@ def without(text: str, gone: Sequence[bool]) -> tuple[str, int]:
     the end of a line by CHANCE_WORDS words or fewer, and other words of that line stay, these stay too: so few agree
     by chance.
     """
-    lines = [(line, [m.span() for m in WORDS.finditer(line)]) for line in text.split("\n")]
+    lines = [(line, len(line.encode().split())) for line in text.split("\n")]
     given, gone, at = gone, list(gone), 0
-    for _, spans in lines:
-        end = at + len(spans)
-        for n in range(1, min(CHANCE_WORDS, len(spans) - 1) + 1):
+    for _, n_words in lines:
+        end = at + n_words
+        for n in range(1, min(CHANCE_WORDS, n_words - 1) + 1):
             if at and all(given[at - 1 : at + n]) and not given[at + n]:
                 gone[at : at + n] = [False] * n
             if end < len(given) and all(given[end - n : end + 1]) and not given[end - n - 1]:
                 gone[end - n : end] = [False] * n
         at = end
     out, n_cut, at = [], 0, 0
-    for line, spans in lines:
-        cut = gone[at : at + len(spans)]
-        at += len(spans)
-        if not spans and 0 < at < len(gone) and gone[at - 1] and gone[at]:
+    for line, n_words in lines:
+        cut = gone[at : at + n_words]
+        at += n_words
+        if not n_words and 0 < at < len(gone) and gone[at - 1] and gone[at]:
             n_cut += 1
         elif not any(cut):
             out.append(line)
         else:
             n_cut += 1
             if not all(cut):
-                out.append(_kept(line, spans, cut))
+                out.append(_kept(line, [m.span() for m in WORDS.finditer(line)], cut))
     return "\n".join(out), n_cut
 
 
@@ -263,7 +264,8 @@ def _aligned(earlier: pd.Series, later: pd.Series) -> pd.Series:
     """Numbers of the words to cut from the later document: first, behind the last, first, ..."""
     out = []
     for a, b in zip(earlier, later, strict=True):
-        gone = aligned_words(words_of(a), words_of(b))
+        later_words = words_of(b)
+        gone = np.ones(len(later_words[0]), bool) if a == b and len(later_words[0]) >= MIN_WORDS else aligned_words(words_of(a), later_words)
         out.append(np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]).astype(np.int8))).astype(np.int32))
     return objects(out)
 
