@@ -4,8 +4,11 @@ Texts are split into words (the pre-tokens of the vocabulary's pattern), and eac
 words that are frequent in a bounded sample of documents make one table, bounded too, which travels to all tasks; a
 text becomes a string of its words' numbers there, with holes for all other words. The words in the holes are
 dealt out by word, so that all places of a word meet: it is encoded once, and its ids go back by a join of
-places with their text. The sample decides only which way a word takes, not its ids. Decoding looks each id up
-in the table of pieces, which has a row for each id of the vocabulary and is held by every task.
+places with their text. The sample decides only which way a word takes, not its ids.
+
+Decoding is a join of ids with the table of pieces, which has a row for each id of the vocabulary, a proven bound for a
+broadcast. The ids of the frequent words are joined once for each word, all others where they stand; ``decode`` joins
+those of any table of ids.
 """
 
 from __future__ import annotations
@@ -23,9 +26,8 @@ import pyarrow as pa
 import regex
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from corvane.llm.common import frames, objects, text_key
@@ -34,7 +36,10 @@ from corvane.session import staged
 VOCABULARY = "byte_bpe_50k.json"
 SAMPLE_ROWS = 40_000  # documents, by a hash, whose words are counted to find the frequent ones
 HOT_WORDS = 1 << 19  # so many words at most travel to all tasks,
-HOT_BYTES = 64  # none longer than this
+HOT_BYTES = 4_096  # none longer than this,
+HOT_TOTAL = 32 << 20  # and no more bytes of them
+LONG_LANES = 64  # longer words are dealt out to so many tasks, each of which encodes them once
+FIRST = 1 << 30  # marks the first id of a word in a hole
 BATCH_ROWS = 512
 ENCODE_ROWS = 4_096
 LOW = 0xFFFFFFFF
@@ -144,29 +149,47 @@ def _grade(n: Column) -> Column:
 
 
 def hot_words(texts: DataFrame, path: str) -> dict[str, np.ndarray]:
-    """The frequent words of the column text as arrays: hashes in order, ranks, and ids by rank. At most HOT_WORDS.
+    """The frequent words of the column text as arrays: hashes in order, ranks, and by rank the ids and the decoded bytes.
+    At most HOT_WORDS words and HOT_TOTAL bytes.
 
-    Grades of counts are taken from the top as long as all of a grade fits; only then are words encoded.
+    Grades of counts are taken from the top as long as all of a grade fits; only then are words encoded, and
+    their ids joined with the pieces.
     """
     counted = texts.select("text").mapInPandas(_counted(path), "word string, n long").where(F.octet_length("word") <= HOT_BYTES)
     short = staged(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    grades = sorted(short.groupBy(_grade(F.col("n")).alias("grade")).count().collect(), reverse=True)
-    least, held = 10_000, 0
-    for grade, n in grades:
-        if held + n > HOT_WORDS:
+    grades = short.groupBy(_grade(F.col("n")).alias("grade")).agg(F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("word")).alias("bytes"))
+    least, words, held = 10_000, 0, 0
+    for grade, n, size in sorted(grades.collect(), reverse=True):
+        if words + n > HOT_WORDS or held + size > HOT_TOTAL:
             break
-        least, held = grade, held + n
-    hot = short.where(_grade(F.col("n")) >= least).mapInPandas(_encoded(path), "h1 long, h2 long, n long, ids array<int>").toArrow()
+        least, words, held = grade, words + n, held + size
+    hot = short.where(_grade(F.col("n")) >= least).mapInPandas(_encoded(path), "h1 long, h2 long, n long, ids array<int>")
+    hot = joined_pieces(hot, "ids", ["h1", "h2"], path).toArrow()
     h1, h2, n = (hot[c].to_numpy() for c in ("h1", "h2", "n"))
-    lists = hot["ids"].combine_chunks()
-    flat, ends = lists.flatten().to_numpy().astype(np.int32), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))]) if len(n) else np.zeros(1, np.int64)
     by_rank = np.lexsort((h2, h1, -n))  # rank 0 is the hole
     rank = np.empty(len(n), np.int32)
     rank[by_rank] = np.arange(1, len(n) + 1, dtype=np.int32)
     order = np.lexsort((h2, h1))
-    lengths = np.concatenate([[0], np.diff(ends)[by_rank]])
-    ids = flat[_spread(ends[:-1][by_rank], np.diff(ends)[by_rank])]
-    return {"h1": h1[order], "h2": h2[order], "rank": rank[order], "starts": np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), "ids": ids}
+    starts, ids = _by_rank(*_lists(hot["ids"].combine_chunks()), by_rank)
+    byte_starts, raw = _by_rank(*_binaries(hot["decoded"].combine_chunks()), by_rank)
+    return {"h1": h1[order], "h2": h2[order], "rank": rank[order], "starts": starts, "ids": ids.astype(np.int32), "byte_starts": byte_starts, "bytes": raw}
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    return column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _binaries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of binaries, null counting as empty, and all their bytes in turn."""
+    values = column.to_pylist()
+    return np.array([len(v or b"") for v in values], np.int64), np.frombuffer(b"".join(v or b"" for v in values), np.uint8)
+
+
+def _by_rank(lengths: np.ndarray, items: np.ndarray, by_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the items of each rank begin (rank 0 has none; one more for the end), and the items in order of rank."""
+    starts = np.cumsum(lengths) - lengths
+    sizes = np.concatenate([[0], lengths[by_rank]]).astype(np.int64)
+    return np.concatenate([[0], np.cumsum(sizes)]), items[_spread(starts[by_rank], lengths[by_rank])]
 
 
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -257,14 +280,24 @@ def _packed(path: str, broadcast):
     return run
 
 
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
     """Lengths of the lists, null counting as empty, and all their items in turn."""
-    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return lengths.astype(np.int64), column.flatten().to_numpy(zero_copy_only=False)
+    return column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten()
 
 
-def _filled(broadcast, path: str | None):
-    """The ids of each text: of its ranks and, for the holes in turn, what came back. With a path their text as well."""
+def _merged(ranks: np.ndarray, n_hole: np.ndarray, starts: np.ndarray, hot: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many items each word has, and all items in turn: those of its rank, and for holes in turn ``n_hole`` of ``found``."""
+    n, hole = starts[ranks + 1] - starts[ranks], ranks == 0
+    n[hole] = n_hole
+    inside = np.repeat(hole, n)
+    out = np.empty(int(n.sum()), hot.dtype)
+    out[~inside] = hot[_spread(starts[ranks][~hole], n[~hole])]
+    out[inside] = found
+    return n, out
+
+
+def _filled(broadcast):
+    """The ids of each text and their pieces one behind the other: of its ranks and, for the holes in turn, what came back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, expand = broadcast.value, zstandard.ZstdDecompressor().decompress
@@ -272,26 +305,30 @@ def _filled(broadcast, path: str | None):
             raw = [np.frombuffer(expand(x), np.uint8) for x in part.column("packed").to_pylist()]
             ranks = unpack(np.concatenate(raw))
             words = np.array([int((r < 128).sum()) for r in raw], np.int64)
-            lengths, (_, found) = _flat(part.column("lengths"))[1], _flat(part.column("found"))
-            starts, n, hole = hot["starts"][ranks], hot["starts"][ranks + 1] - hot["starts"][ranks], ranks == 0
-            n[hole] = lengths
-            inside = np.repeat(hole, n)
-            ids = np.empty(int(n.sum()), np.int32)
-            ids[~inside] = hot["ids"][_spread(starts[~hole], n[~hole])]
-            ids[inside] = found
-            ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(words)])]
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-            columns = {"doc_id": part.column("doc_id"), "ids": lists} | ({"decoded": decode_lists(lists, path)} if path else {})
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            ends = np.concatenate([[0], np.cumsum(words)])
+            pieces = _flat(part.column("found"))[1]
+            codes, sizes, found = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+            if len(pieces):
+                codes = pieces.field("code").to_numpy(zero_copy_only=False).astype(np.int32)
+                sizes, found = _binaries(pieces.field("piece"))
+            first = np.flatnonzero(codes & FIRST)
+            n_ids = np.diff(np.append(first, len(codes)))
+            n_bytes = np.add.reduceat(sizes, first) if len(first) else sizes
+            n, ids = _merged(ranks, n_ids, hot["starts"], hot["ids"], codes & (FIRST - 1))
+            m, text = _merged(ranks, n_bytes, hot["byte_starts"], hot["bytes"], found)
+            at_ids, at_bytes = (np.concatenate([[0], np.cumsum(x)])[ends] for x in (n, m))
+            whole = text.tobytes()
+            decoded = pa.array([whole[a:b].decode("utf-8", "replace") for a, b in zip(at_bytes[:-1].tolist(), at_bytes[1:].tolist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at_ids, pa.int32()), pa.array(ids, pa.int32())), decoded], ["doc_id", "ids", "decoded"])
 
     return run
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, decoded: bool = False) -> DataFrame:
-    """doc_id and ids (array of int) for every row of ``docs``, as the vocabulary's own library encodes the whole text
-    without adding special tokens; the names of special tokens in a text become these tokens. Null and empty texts
-    have no ids. Rows alike in id and text are joined alike. With ``decoded`` the ids' own text comes beside them,
-    as ``decode`` gives it, made where the ids are.
+    """doc_id and ids (array of int) for every row of ``docs``, as the vocabulary's own library encodes the whole
+    text without adding special tokens; the names of special tokens in a text become these tokens. With ``decoded`` the
+    text of the ids comes beside them, found by joining ids with pieces. Null and empty texts have no ids. Rows alike in id and text
+    are joined alike. An empty table gives no rows. Texts may have any length; a task holds BATCH_ROWS of them.
     """
     path = path or vocabulary_path()
     text = F.col(f"`{text_col}`")
@@ -302,58 +339,76 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     sample = rows.where(F.pmod("n1", F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE_ROWS / max(1, n_rows))) + 1)
     broadcast = docs.sparkSession.sparkContext.broadcast(hot_words(sample, path))
     holes = rows.select("n1", "n2", "text").mapInArrow(_holes(path, broadcast), "n1 long, tag long, word string")
-    places = holes.repartition("word").sortWithinPartitions("word").mapInPandas(_encoded_places(path), "n1 long, tag long, ids array<int>")
+    # a word too long to be hot may stand in most documents
+    lane = F.when(F.octet_length("word") > HOT_BYTES, F.pmod("n1", F.lit(LONG_LANES))).otherwise(F.lit(0).cast("long"))
+    places = holes.repartition(F.col("word"), lane).sortWithinPartitions("word").mapInPandas(_encoded_places(path), "n1 long, tag long, ids array<int>")
     back = places.groupBy("n1", F.col("tag").bitwiseAND(F.lit(LOW)).alias("low")).agg(F.sort_array(F.collect_set(F.struct("tag", "ids"))).alias("s"))
-    back = back.select("n1", "low", F.transform("s", lambda s: F.size(s["ids"])).alias("lengths"), F.flatten(F.transform("s", lambda s: s["ids"])).alias("found"))
+    mark = lambda s: F.transform(s["ids"], lambda x, i: F.when(i == 0, x.bitwiseOR(F.lit(FIRST))).otherwise(x))
+    back = back.select("n1", "low", F.flatten(F.transform("s", mark)).alias("codes"))
+    # stays as it is dealt out, by text: no further exchange
+    back = back.select("n1", "low", F.posexplode("codes").alias("at", "code")).withColumn("id", F.col("code").bitwiseAND(F.lit(FIRST - 1)))
+    back = back.join(F.broadcast(piece_table(docs.sparkSession, path)), "id")
+    found = F.transform(F.sort_array(F.collect_list(F.struct("at", "code", "piece"))), lambda x: F.struct(x["code"].alias("code"), x["piece"].alias("piece")))
+    back = back.groupBy("n1", "low").agg(found.alias("found"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     packed = rows.mapInArrow(_packed(path, broadcast), f"doc_id {id_type}, n1 long, n2 long, packed binary")
     packed = packed.select("doc_id", "n1", F.col("n2").bitwiseAND(F.lit(LOW)).alias("low"), "packed")
-    joined = packed.join(back, ["n1", "low"], "left").select("doc_id", "packed", "lengths", "found")
-    return joined.mapInArrow(_filled(broadcast, path if decoded else None), f"doc_id {id_type}, ids array<int>" + ", decoded string" * decoded)
+    joined = packed.join(back, ["n1", "low"], "left").select("doc_id", "packed", "found")
+    out = joined.mapInArrow(_filled(broadcast), f"doc_id {id_type}, ids array<int>, decoded string")
+    return out if decoded else out.select("doc_id", "ids")
 
 
-@cache
-def pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The table of pieces: all bytes, and where each id's begin (one more for the end)."""
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """id and piece (its bytes), a row for each id of the vocabulary."""
     shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
     hidden = [b for b in range(256) if b not in set(shown)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
     tokenizer = _tokenizer(path)
     names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
-    raw = [bytes(byte_of[c] for c in name) for name in names]
-    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-
-
-def decode_lists(column: pa.ListArray, path: str) -> pa.Array:
-    """The text of each list of ids."""
-    table, starts = pieces(path)
-    lengths, ids = _flat(column)
-    ids = np.where((ids >= 0) & (ids < len(starts) - 1), ids, len(starts) - 1) if len(ids) else np.zeros(0, np.int64)
-    first, n = np.append(starts[:-1], 0)[ids], np.append(np.diff(starts), 0)[ids]
-    raw = table[_spread(first, n)].tobytes()
-    ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(lengths)])]
-    return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
+    raw = pa.table({"id": pa.array(range(len(names)), pa.int32()), "piece": pa.array([bytes(byte_of[c] for c in name) for name in names], pa.binary())})
+    return spark.createDataFrame(raw)
+
+
+def joined_pieces(encoded: DataFrame, ids_col: str, keys: list[str], path: str) -> DataFrame:
+    """``encoded`` with ``decoded``, the bytes of the ids in turn, by a join of ids with pieces. ``keys`` name a row; ids
+    that the vocabulary doesn't have, and nulls among them, count for nothing."""
+    spark, own = encoded.sparkSession, [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(keys)]
+    ids = encoded.select(*own, F.posexplode(F.col(f"`{ids_col}`")).alias("at", "id"))
+    named = [f"__{i}" for i in range(len(keys))]
+    pieces = ids.join(F.broadcast(piece_table(spark, path)), "id").groupBy(*named)
+    # hexadecimal, as arrays join strings only
+    pieces = pieces.agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda x: F.hex(x["piece"])), "")).alias("decoded"))
+    same = None
+    for i, c in enumerate(keys):
+        equal = F.col(f"`{c}`") == F.col(f"__{i}")
+        same = equal if same is None else same & equal
+    return encoded.join(pieces, same, "left").drop(*named)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """``encoded`` with a column ``decoded``: the text of the ids, special tokens kept. Ids that the vocabulary
-    doesn't have, and nulls among them, count for nothing; bytes that are no UTF-8 become U+FFFD; a null list
-    decodes to the empty text.
+    """``encoded`` with a column ``decoded``: the text of the ids, special tokens kept, by a join of ids with pieces. Ids that
+    the vocabulary doesn't have, and nulls among them, count for nothing; bytes that are no UTF-8 become U+FFFD; a
+    null list decodes to the empty text. A column ``decoded`` of the caller's is replaced. Equal lists are decoded once, so that neither repeated rows nor rows
+    without an id need care.
     """
     path = path or vocabulary_path()
+    ids = F.col(f"`{ids_col}`")
+    columns = [F.col(f"`{c}`") for c in encoded.columns if c != "decoded"]
+    name = [F.xxhash64(ids, F.lit(seed)).alias(f"__h{seed}") for seed in (1, 2)]
+    lists = encoded.where(F.size(ids) > 0).select(ids.alias("ids"), *name).groupBy("__h1", "__h2").agg(F.first("ids").alias("ids"))
+    texts = joined_pieces(lists, "ids", ["__h1", "__h2"], path).select(F.col("__h1").alias("__t1"), F.col("__h2").alias("__t2"), _replaced(F.coalesce("decoded", F.lit(b""))).alias("__text"))
+    named = encoded.select(*columns, *name)
+    joined = named.join(texts, (F.col("__h1") == F.col("__t1")) & (F.col("__h2") == F.col("__t2")), "left")
+    return joined.select(*columns, F.coalesce("__text", F.lit("")).alias("decoded"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
-            column = part.column(ids_col)
-            plain = pa.ListArray.from_arrays(*_offsets(column))
-            yield pa.RecordBatch.from_arrays([*part.columns, decode_lists(plain, path)], [*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
+def _utf8(raw: pd.Series) -> pd.Series:
+    return objects([bytes(b).decode("utf-8", "replace") for b in raw])
 
 
-def _offsets(column: pa.ListArray) -> tuple[pa.Array, pa.Array]:
-    lengths, _ = _flat(column)
-    return pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), column.flatten().fill_null(-1)
+def _replaced(raw: Column) -> Column:
+    """Bytes as text, with U+FFFD for what is no UTF-8."""
+    return F.pandas_udf(_utf8, "string")(raw)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
