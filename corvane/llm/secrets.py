@@ -21,6 +21,8 @@ ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 
 WINDOW = 20
+BITS, PACKED = 5, 12  # a count of at most WINDOW takes 5 bits, so a long holds 12 of them
+STRIDE = 64
 CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}+"
 #: By character class: kind, its alphabet, and the bits a window needs.
 CLASSES = {
@@ -38,18 +40,29 @@ SPAN = "struct<start:int,kind:int,stop:int>"
 
 
 def _placed(text: Column, pattern: str, hits: Column) -> Column:
-    """start, stop and text of each match: gaps and matches alternate, so their lengths add up to places."""
-    pairs = F.zip_with(F.split(text, pattern, -1), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+    """start, stop and text of each match: gaps and matches alternate, so their lengths add up to places.
+
+    Matches are placed in groups of STRIDE and the groups then put one behind the other, so that no long array is
+    copied for each match.
+    """
+    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
     none = F.array().cast("array<struct<start:int,stop:int,hit:string>>")
+    # bound by an array of one, so that it is made once and not for each group
+    groups = F.transform(F.array(pairs), lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / STRIDE).cast("int")), lambda g: F.slice(p, g * STRIDE + 1, STRIDE)))[0]
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + pair["gap"]
         stop = start + F.length(pair["hit"])
         found = F.array(F.struct(start.alias("start"), stop.alias("stop"), pair["hit"].alias("hit")))
-        return F.when(pair["hit"].isNull(), state).otherwise(F.struct(stop.alias("at"), F.concat(state["found"], found).alias("found")))
+        return F.struct(stop.alias("at"), F.concat(state["found"], found).alias("found"))
 
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda s: s["found"])
-    return F.when(F.size(hits) > 0, walked).otherwise(none)
+    walked = F.transform(groups, lambda g: F.aggregate(g, F.struct(F.lit(0).alias("at"), none.alias("found")), step))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("offsets"))
+    add = lambda s, g: F.struct((s["at"] + g["at"]).alias("at"), F.concat(s["offsets"], F.array(s["at"])).alias("offsets"))
+    offsets = lambda w: F.aggregate(w, first, add, lambda s: s["offsets"])
+    move = lambda g, by: F.transform(g["found"], lambda p: F.struct((p["start"] + by).alias("start"), (p["stop"] + by).alias("stop"), p["hit"].alias("hit")))
+    moved = F.transform(F.array(walked), lambda w: F.flatten(F.zip_with(w, offsets(w), move)))[0]
+    return F.when(F.size(hits) > 0, moved).otherwise(none)
 
 
 def _spans(placed: Column, kind: str) -> Column:
@@ -61,47 +74,45 @@ def window_entropy(candidate: Column, alphabet: str, least: float, window: int =
     """lo, hi and best: from the first to the last window of ``least`` bits or more, and the most bits of any.
 
     ``candidate`` holds characters of ``alphabet`` only, at least ``window`` of them. State: the count of each
-    character in the window and the sum of c * log2(c), of which the entropy is log2(window) - sum / window.
+    character in the window, PACKED of them in a long, and the sum of c * log2(c), of which the entropy is log2(window) -
+    sum / window. A step changes two counts, so it takes as long for any alphabet and window.
     """
-    codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
-    term = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
-    behind = F.concat(F.array_repeat(F.lit(-1), window), codes)
-    steps = F.zip_with(codes, behind, lambda new, old: F.struct(new.alias("new"), old.alias("old")))
-    empty = F.struct(
-        F.array_repeat(F.lit(0), len(alphabet)).alias("counts"),
-        F.lit(0.0).alias("sum"),
-        F.lit(0).alias("at"),
-        F.lit(-1).alias("lo"),
-        F.lit(-1).alias("hi"),
-        F.lit(0.0).alias("best"),
-    )
+    size, n_words = len(alphabet), -(-len(alphabet) // PACKED)
+    zero = F.lit(0).cast("long")
+    # by number of a character what it adds to each of the longs; number ``size`` is none
+    rows = [[f"{1 << code % PACKED * BITS if code < size and code // PACKED == k else 0}L" for k in range(n_words)] for code in range(size + 1)]
+    ones = F.expr("array(" + ", ".join(f"array({', '.join(row)})" for row in rows) + ")")
+    shifts = F.expr("array(" + ", ".join(str(code % PACKED * BITS) for code in range(size + 1)) + ")")
+    term = F.expr("array(" + ", ".join(f"{c * math.log2(c) if c > 0 else 0.0!r}D" for c in range(window + 2)) + ")")
+    codes = F.transform(F.slice(F.split(candidate, ""), F.lit(1), F.length(candidate)), lambda c: F.instr(F.lit(alphabet), c) - 1)
+    behind = F.slice(F.concat(F.array_repeat(F.lit(size), window), codes), F.lit(1), F.length(candidate))
+    move = lambda new, old: F.struct(new.alias("new"), old.alias("old"), F.get(ones, new).alias("more"), F.get(ones, old).alias("less"))
+    names = [f"c{k}" for k in range(n_words)]
+    start = F.struct(*[zero.alias(n) for n in names], F.lit(0.0).alias("sum"), F.lit(0).alias("at"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), F.lit(0.0).alias("best"))
+
+    def count(state: Column, code: Column) -> Column:
+        word = state[names[-1]]
+        for k in range(n_words - 2, -1, -1):
+            word = F.when(code < (k + 1) * PACKED, state[names[k]]).otherwise(word)
+        return F.call_function("shiftright", word, F.get(shifts, code)).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")).cast("int")
 
     def step(state: Column, move: Column) -> Column:
         new, old = move["new"], move["old"]
-        same, full = new == old, old >= 0
-        grown, shrunk = F.get(state["counts"], new), F.get(state["counts"], F.greatest(old, F.lit(0)))
-        total = F.when(
-            same, state["sum"]
-        ).otherwise(
-            state["sum"]
-            + F.get(term, grown + 1)
-            - F.get(term, grown)
-            + F.when(full, F.get(term, F.greatest(shrunk - 1, F.lit(0))) - F.get(term, shrunk)).otherwise(0.0)
-        )
-        counts = F.transform(state["counts"], lambda c, i: c + (i == new).cast("int") - (i == old).cast("int"))
+        grown, shrunk = count(state, new), count(state, old)
+        gain = F.get(term, grown + 1) - F.get(term, grown)
+        total = F.when(new == old, state["sum"]).when(old == size, state["sum"] + gain).otherwise(state["sum"] + gain + F.get(term, shrunk - 1) - F.get(term, shrunk))
         at = state["at"] + 1
-        bits = F.when(at >= window, F.lit(math.log2(window)) - total / window).otherwise(0.0)
-        hit = bits >= least
+        bits = F.when(at < window, 0.0).otherwise(F.lit(math.log2(window)) - total / window)
         return F.struct(
-            counts.alias("counts"),
+            *[(state[n] + F.get(move["more"], k) - F.get(move["less"], k)).alias(n) for k, n in enumerate(names)],
             total.alias("sum"),
             at.alias("at"),
-            F.when(hit & (state["lo"] < 0), at - window).otherwise(state["lo"]).alias("lo"),
-            F.when(hit, at).otherwise(state["hi"]).alias("hi"),
+            F.when(state["lo"] >= 0, state["lo"]).when(bits >= least, at - window).otherwise(-1).alias("lo"),
+            F.when(bits >= least, at).otherwise(state["hi"]).alias("hi"),
             F.greatest(state["best"], bits).alias("best"),
         )
 
-    return F.aggregate(F.filter(steps, lambda m: m["new"].isNotNull()), empty, step, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), s["best"].alias("best")))
+    return F.aggregate(F.zip_with(codes, behind, move), start, step, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), s["best"].alias("best")))
 
 
 def _entropy_spans(placed: Column) -> Column:
@@ -155,13 +166,28 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ).alias("base"),
         _placed(F.col("text"), CANDIDATE, F.col("candidates")).alias("candidates"),
     )
-    scored = placed.select("doc_id", "base", _entropy_spans(F.col("candidates")).alias("entropy"))
-    fresh = F.filter("entropy", lambda e: ~F.exists("base", lambda b: (b["start"] <= e["start"]) & (e["stop"] <= b["stop"])))
+    # a candidate that is a base span of hexadecimal digits adds nothing, whatever its entropy
+    scored = placed.select("doc_id", "base", _entropy_spans(F.filter("candidates", lambda p: ~p["hit"].rlike("^[0-9a-f]{24,}$"))).alias("entropy"))
+    # in order of starts, base spans first: a span is covered if it stops no later than some base span so far
+    order = lambda spans, rank: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind")))
+    begin = F.struct(F.lit(-1).alias("top"), F.array().cast(f"array<{SPAN}>").alias("found"))
+
+    def step(state: Column, s: Column) -> Column:
+        own = F.array(F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
+        base = F.struct(F.greatest(state["top"], s["stop"]).alias("top"), state["found"].alias("found"))
+        return F.when(s["rank"] == 0, base).when(s["stop"] <= state["top"], state).otherwise(F.struct(state["top"].alias("top"), F.concat(state["found"], own).alias("found")))
+
+    fresh = F.aggregate(F.array_sort(F.concat(order(F.col("base"), 0), order(F.col("entropy"), 1))), begin, step, lambda s: s["found"])
+    fresh = F.when(F.size("entropy") > 0, fresh).otherwise(F.array().cast(f"array<{SPAN}>"))
     return scored.select("doc_id", "base", fresh.alias("added"))
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added: one row per row of ``docs``."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added: one row per row of ``docs``.
+
+    Null and empty texts have no spans, an empty table gives no rows, and repeated rows are scanned alike. Texts of any
+    length are scanned whole.
+    """
     spans = secret_spans(docs, id_col, text_col)
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long")
     return spans.select(
