@@ -52,4 +52,4 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash_dedup, op3_quality_rules, op4_source_mixing, op5_url_filter, op6_warc_archive, op7_line_dedup, op8_sharding, op9_secret_scan, op10_embedding_dedup)}
-ORACLES = {"op4_source_mixing": mixing.ORACLE, "op5_url_filter": url_filter.ORACLE, "op6_warc_archive": warc.ORACLE}
+ORACLES = {"op4_source_mixing": mixing.ORACLE, "op5_url_filter": url_filter.ORACLE, "op6_warc_archive": warc.ORACLE, "op8_sharding": sharding.ORACLE}

@@ -32,7 +32,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_sha
     ``size`` is the text's UTF-8 bytes plus 1, null counting as empty. Sizes of two shards differ by at most
     1/SNAP of a shard and two records. ``slot`` numbers a shard's rows without gaps from 0. ``grown_shard``
     is null: this law moves records when shards are added. Copies of a text stay in one shard unless they
-    overfill it. Rows with equal id and text may trade places; null ids sort first. An empty table gives no rows.
+    overfill it. Rows with equal id and text may trade places; null ids sort first. An empty table gives no rows;
+    texts of any length are records.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     slim = docs.select(
@@ -59,12 +60,11 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_sha
     ranged = ranged.join(F.broadcast(parts), "range")  # at most N_RANGES rows
     at = (F.col("key").cast("double") - F.get(low, "range")) / F.get(width, "range")
     ranged = ranged.withColumn("part", F.least(F.col("parts") - 1, F.floor(F.greatest(F.lit(0.0), at) * F.col("parts"))).cast("long"))
-    # texts that overfill a range by themselves: fewer than 2 * N_RANGES, for each has more than that share of all rows
-    hot = ranged.groupBy("range", "part", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-    hot = hot.where(F.col("n") > max(RANGE_ROWS, n_rows // (2 * N_RANGES)))
+    # texts that overfill a part by themselves: each has more than RANGE_ROWS rows, so there are few beside the rows
+    hot = ranged.groupBy("range", "part", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where(F.col("n") > RANGE_ROWS)
     entry = F.struct("key", F.ceil(F.col("n") / RANGE_ROWS).alias("spread"), "bytes")
     sides = hot.groupBy("range", "part").agg(F.sort_array(F.collect_list(entry)).alias("hots"))
-    ranged = ranged.join(F.broadcast(sides), ["range", "part"], "left")
+    ranged = ranged.join(sides, ["range", "part"], "left")  # one row a part
     # (range, part, lane, sub) follows the order (key, tie): a hot text has a lane of its own between its neighbours'
     lane = F.aggregate(F.coalesce("hots", F.array().cast("array<struct<key:bigint,spread:bigint,bytes:bigint>>")), F.lit(0), lambda n, h: n + F.when(F.col("key") > h["key"], 2).when(F.col("key") == h["key"], 1).otherwise(0))
     own = F.get(F.filter("hots", lambda h: h["key"] == F.col("key")), 0)
@@ -72,8 +72,13 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_sha
     cell = ["range", "part", "lane", "sub"]
     ranged = ranged.select("doc_id", "size", "text_crc32", "key", "tie", "range", "part", lane.alias("lane"), sub.alias("sub"), own["bytes"].alias("h_bytes"))
     sums = ranged.groupBy(*cell).agg(F.sum("size").alias("c_bytes"), F.count(F.lit(1)).alias("c_rows"))
-    ahead = Window.orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    offsets = sums.select(*cell, F.coalesce(F.sum("c_bytes").over(ahead), F.lit(0)).alias("b0"), F.coalesce(F.sum("c_rows").over(ahead), F.lit(0)).alias("r0"))
+    # sums before each cell: those of whole ranges, of which there are N_RANGES at most, and within a range
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole_ranges, in_range = Window.orderBy("range"), Window.partitionBy("range").orderBy("part", "lane", "sub")
+    totals = sums.groupBy("range").agg(F.sum("c_bytes").alias("r_bytes"), F.sum("c_rows").alias("r_rows"))
+    totals = totals.select("range", before(whole_ranges, "r_bytes").alias("rb0"), before(whole_ranges, "r_rows").alias("rr0"))
+    offsets = sums.select(*cell, before(in_range, "c_bytes").alias("cb0"), before(in_range, "c_rows").alias("cr0")).join(F.broadcast(totals), "range")
+    offsets = offsets.select(*cell, (F.col("rb0") + F.col("cb0")).alias("b0"), (F.col("rr0") + F.col("cr0")).alias("r0"))
     offsets = offsets.withColumn("lane_b0", F.min("b0").over(Window.partitionBy("range", "part", "lane")))
     inner = Window.partitionBy(*cell).orderBy("key", "tie", "doc_id", "size")
     run = inner.rowsBetween(Window.unboundedPreceding, -1)
@@ -91,12 +96,27 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_sha
     )
 
 
+def _crc_table() -> list[int]:
+    """The 256 remainders of CRC-32, by its rule."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
 ORACLE = r"""
-WITH slim AS (
-  SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS key,
+WITH steps AS (SELECT [{table}]::BIGINT[] AS t),
+sums AS (
+  SELECT text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)),
+                               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS crc
+  FROM (SELECT DISTINCT coalesce(text, '') AS text FROM documents), steps),
+slim AS (
+  SELECT doc_id, crc AS text_crc32, (strlen(coalesce(d.text, '')) + 1)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(d.text, '')), 1, 15))::BIGINT AS key,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS tie
-  FROM documents),
+  FROM documents d JOIN sums ON coalesce(d.text, '') = sums.text),
 placed AS (
   SELECT *, coalesce(sum(size) OVER (ORDER BY key, tie, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b1,
          row_number() OVER (ORDER BY key, tie, doc_id, size) - 1 AS place, sum(size) OVER () AS n_bytes
@@ -104,6 +124,6 @@ placed AS (
 grouped AS (SELECT *, sum(size) OVER (PARTITION BY key) AS g_bytes, min(b1) OVER (PARTITION BY key) AS g_start FROM placed),
 dealt AS (
   SELECT *, least(7, (CASE WHEN g_bytes * 800 <= n_bytes THEN g_start ELSE b1 END) * 8 // n_bytes)::INTEGER AS shard FROM grouped)
-SELECT doc_id, size, 'bytes' AS law, shard, (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INTEGER AS grown_shard
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INTEGER AS grown_shard
 FROM dealt
-"""
+""".replace("{table}", ", ".join(map(str, _crc_table())))
