@@ -4,28 +4,38 @@ An archive is two tables: ``payloads`` holds every different payload once, under
 ``records`` holds the exact header block of every record and the digest of its payload. The record as it would
 stand in a WARC file is the header, the payload and a closing blank line, joined again when read. Payloads are
 verified when the archive is read: their bytes must still have the digests under which they are stored.
+
+Headers are lines ended by CRLF and are read as such, so any other character may stand in a value. A URL with spaces,
+controls, or CR or LF, which may not, is stored with these and ``%`` and ``+`` percent-encoded and a field that says so;
+reading gives back the URL as it was.
 """
 
 from __future__ import annotations
 
-import base64
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"  # of all records, for archives that can be made again byte by byte
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
+#: Characters that no URL in a header may hold, and those that the encoding needs for itself.
+UNSAFE, ESCAPES = r"[\x00-\x20\x7F]", "%+"
+ENCODED = "X-Target-URI-Encoding"
+BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _base32_frame(digests: pd.Series) -> pd.Series:
-    return digests.map(lambda d: base64.b32encode(bytes.fromhex(d)).decode(), na_action="ignore")
+def base32_of(hex_digest: Column) -> Column:
+    """A hexadecimal SHA-1 in upper-case base32: four times ten hexadecimal digits are eight of base 32."""
+    parts = [F.lpad(F.conv(F.substring(hex_digest, at, 10), 16, 32), 8, "0") for at in (1, 11, 21, 31)]
+    return F.translate(F.concat(*parts), *BASE32)
 
 
-def base32_of(hex_digest: Column) -> Column:
-    """A hexadecimal digest in upper-case base32."""
-    return F.pandas_udf(_base32_frame, "string")(hex_digest)
+def _percent_encoded(url: Column) -> Column:
+    """``url`` with the characters of UNSAFE and ESCAPES as percent and two digits; url_decode gives it back."""
+    unsafe = [chr(c) for c in range(0x21)] + ["\x7f"]
+    return reduce(lambda done, c: F.replace(done, F.lit(c), F.lit(f"%{ord(c):02X}")), [*ESCAPES, *unsafe], url)
 
 
 def _record_id(*parts: Column) -> Column:
@@ -60,16 +70,20 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     is_first = (order == F.col("first")) & (F.col("copy") == 0)
     joined = joined.withColumn("type", F.when(is_first | (F.col("bytes") < min_bytes), "response").otherwise("revisit"))
     revisit = F.col("type") == "revisit"
-    clean = F.regexp_replace("url", r"[\x00-\x20\x7F]", "_")
+    unsafe = F.col("url").rlike(UNSAFE)
+    uri = lambda c: F.when(c.rlike(UNSAFE), _percent_encoded(c)).otherwise(c)
     own = _record_id(F.col("page_id"), F.col("url"), F.col("copy"), F.col("digest"))
     other = _record_id(F.col("first.page_id"), F.col("first.url"), F.lit(0), F.col("digest"))
     header = _header([
         ("WARC-Type", F.col("type")),
         ("WARC-Record-ID", own),
-        ("WARC-Target-URI", clean),
+        ("WARC-Target-URI", uri(F.col("url"))),
+        (ENCODED, F.when(unsafe, F.lit("percent"))),
         ("WARC-Date", F.lit(DATE)),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("base32"))),
         ("WARC-Refers-To", F.when(revisit, other)),
+        ("WARC-Refers-To-Target-URI", F.when(revisit, uri(F.col("first.url")))),
+        ("WARC-Refers-To-Date", F.when(revisit, F.lit(DATE))),
         ("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         ("X-Page-ID", F.col("page_id")),
         ("X-Refers-To-Page-ID", F.when(revisit, F.col("first.page_id"))),
@@ -83,41 +97,48 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     once.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
-def payload_facts(spark: SparkSession, path: str) -> DataFrame:
-    """digest, sha1 and bytes of every stored payload, computed from its bytes. A payload that no longer has
-    the digest under which it is stored raises an error.
+def reconstruct(spark: SparkSession, path: str) -> DataFrame:
+    """header, payload and record of every record, joined from both tables.
+
+    ``record`` is the exact bytes as in a WARC file: header, block and closing CRLF CRLF (a revisit's block is empty);
+    ``payload`` is the full payload, for revisits too. A payload that no longer has the digest under which it is stored
+    raises an error. Records with one payload are joined where it is; a payload that many have is split off as skew.
     """
+    records = spark.read.schema("header binary, digest string").parquet(f"{path}/records")
     stored = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
     right = F.sha2("payload", 256) == F.col("digest")
-    return stored.select(
-        F.when(right, F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("payload is damaged: "), "digest"))).alias("digest"),
-        F.sha1("payload").alias("sha1"),
-        F.length("payload").cast("long").alias("bytes"),
-    )
+    stored = stored.select("digest", F.when(right, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload is damaged: "), "digest")).cast("binary")).alias("payload"))
+    joined = records.join(stored, "digest")
+    block = F.when(_field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+    return joined.select("header", "payload", F.concat("header", block, F.lit((CRLF + CRLF).encode())).alias("record"))
+
+
+def _field(name: str) -> Column:
+    """A field's value in the column header; null where there is none."""
+    lines = F.filter(F.split(F.col("header").cast("string"), CRLF, -1), lambda line: line.startswith(f"{name}: "))
+    return F.get(F.transform(lines, lambda line: F.substr(line, F.lit(len(name) + 3))), 0)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_id of every record, parsed
-    from the stored headers and joined with what the stored payloads say of themselves. A header whose payload
-    digest or length contradicts the payload raises an error.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_id of every record, parsed from the
+    reconstructed records. A header whose payload digest or length contradicts the payload raises an error.
     """
-    records = spark.read.schema("header binary, digest string").parquet(f"{path}/records")
-    text = F.col("header").cast("string")
-    field = lambda name: F.nullif(F.regexp_extract("text", rf"(?m)^{name}: (.*)$", 1), F.lit(""))
-    parsed = records.select("digest", text.alias("text")).select(
-        "digest",
-        field("X-Page-ID").cast("long").alias("page_id"),
-        field("WARC-Type").alias("record_type"),
-        field("X-Refers-To-Page-ID").cast("long").alias("refers_to"),
-        field("WARC-Target-URI").alias("url"),
-        field("WARC-Record-ID").alias("record_id"),
-        F.substring_index(field("WARC-Payload-Digest"), ":", -1).alias("said"),
-        field("Content-Length").cast("long").alias("length"),
+    whole = reconstruct(spark, path)
+    uri = _field("WARC-Target-URI")
+    parsed = whole.select(
+        _field("X-Page-ID").cast("long").alias("page_id"),
+        _field("WARC-Type").alias("record_type"),
+        _field("X-Refers-To-Page-ID").cast("long").alias("refers_to"),
+        F.when(_field(ENCODED).isNotNull(), F.url_decode(uri)).otherwise(uri).alias("url"),
+        _field("WARC-Record-ID").alias("record_id"),
+        F.substring_index(_field("WARC-Payload-Digest"), ":", -1).alias("said"),
+        _field("Content-Length").cast("long").alias("length"),
+        (F.length("record") - F.length("header") - 4).cast("long").alias("block"),
+        F.length("payload").cast("long").alias("bytes"),
+        base32_of(F.sha1("payload")).alias("payload_digest"),
     )
-    facts = payload_facts(spark, path).withColumn("payload_digest", base32_of(F.col("sha1")))
-    joined = parsed.join(facts, "digest")
-    agrees = (F.col("said") == F.col("payload_digest")) & (F.col("length") == F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("bytes")))
-    return joined.select(
+    agrees = (F.col("said") == F.col("payload_digest")) & (F.col("length") == F.col("block")) & ((F.col("block") == 0) | (F.col("block") == F.col("bytes")))
+    return parsed.select(
         "page_id",
         F.when(agrees, F.col("bytes")).otherwise(F.raise_error(F.concat(F.lit("header and payload differ: "), F.col("record_id")))).cast("long").alias("payload_bytes"),
         "payload_digest",
@@ -128,20 +149,6 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """record_id and the exact bytes of every record as in a WARC file, with the payload for revisits too.
-
-    ``record`` is header, block and closing CRLF CRLF (a revisit's block is empty); ``payload`` is the full payload.
-    """
-    records = spark.read.schema("header binary, digest string").parquet(f"{path}/records")
-    stored = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
-    joined = records.join(stored, "digest")
-    kind = F.regexp_extract(F.col("header").cast("string"), r"(?m)^WARC-Type: (.*)$", 1)
-    block = F.when(kind == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))
-    name = F.regexp_extract(F.col("header").cast("string"), r"(?m)^WARC-Record-ID: (.*)$", 1)
-    return joined.select(name.alias("record_id"), F.concat("header", block, F.lit(CRLF + CRLF).cast("binary")).alias("record"), "payload")
-
-
 ORACLE = r"""
 WITH rows AS (
   SELECT page_id, coalesce(html, '') AS payload, url FROM pages),

@@ -309,6 +309,21 @@ def test_warc(spark, tmp_path):
     assert warc.read_records(spark, none).count() == 0
 
 
+def test_urls_come_back_as_they_were(spark, tmp_path):
+    urls = ["http://a/x\u2028tail", "http://b/y\u0085tail", "http://c/a b", "http://d/%20+%2B", "http://d/%20 +%2B\r\nWARC-Type: x", "", None, "\x00\t\x7fé", "http://e/?q=: x"]
+    pages = spark.createDataFrame([(i, u, f"page {i % 2}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    path = str(tmp_path / "w")
+    warc.write_archive(pages, path)
+    assert {r["page_id"]: r["url"] for r in warc.read_records(spark, path).collect()} == dict(enumerate(urls))
+    heads = [bytes(r["header"]).decode() for r in warc.reconstruct(spark, path).collect()]
+    for head in heads:
+        fields = dict(line.split(": ", 1) for line in head.split("\r\n")[1:] if line)
+        revisit = fields["WARC-Type"] == "revisit"
+        assert ("WARC-Refers-To-Date" in fields) == revisit and (fields.get("WARC-Refers-To-Target-URI") is not None) == revisit
+        assert not any(c in fields.get("WARC-Target-URI", "") for c in " \t\r\n\x00\x7f")
+    assert "WARC-Target-URI: http://d/%20+%2B\r\n" in "".join(heads)  # a URL that needs no encoding stands as it is
+
+
 def test_damaged_payload_is_noticed(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string")
     path = str(tmp_path / "w")
