@@ -4,8 +4,9 @@ A 64-bit fingerprint is cut into three segments, each a word of the perfect bina
 (padded with zeros). A segment's keys are the indices of all codewords within distance 4: one or six of them.
 Two segments that differ in at most 2 bits share a key, and one that differs in at most 1 bit has its nearest
 codeword among the other's keys. If two fingerprints differ in at most 4 bits, then by the pigeonhole
-either a segment agrees and another differs in at most 2 bits, or two segments differ in exactly 1 bit
-each. Joins on these keys give candidates, and counting the differing bits verifies them.
+either a segment agrees and another differs in at most 2 bits, or all three differ, two of them in exactly 1 bit and
+the third in at most 2. The first kind meets on the segment and a key of the other (34 bits), the second on a key of each
+segment (36 bits). Joins on these give candidates, and counting the differing bits verifies them.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ GOLAY_POLYNOMIAL = 0b110001110101  # fixed value: x^11 + x^10 + x^6 + x^5 + x^4
 RADIUS = 4
 
 EXACT_FUZZY = list(permutations(range(3), 2))  # a segment that agrees, another within 2 bits
-NEAR_NEAR = list(combinations(range(3), 2))  # two segments that differ in 1 bit each
+SPREAD = len(EXACT_FUZZY)  # the family of pairs that differ in all three segments
 FAMILY_SHIFT = 40
 
 
@@ -104,7 +105,7 @@ def golay_keys(words: np.ndarray) -> np.ndarray:
 
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each fingerprint its join keys; near marks those of nearest codewords alone."""
+    """For each fingerprint its join keys. ``near`` has a bit for each segment of which the key is the nearest codeword's."""
     for batch in frames(batches):
         prints = batch["fp"].to_numpy(np.int64)
         segments = [(prints >> start) & ((1 << length) - 1) for start, length in SEGMENTS]
@@ -112,36 +113,38 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for family, (p, q) in enumerate(EXACT_FUZZY):
             row, col = np.nonzero(fuzzy[q] >= 0)
             key = (family << FAMILY_SHIFT) | (segments[p][row] << 12) | fuzzy[q][row, col]
-            yield pd.DataFrame({"key": key, "fp": prints[row], "near": col == 0})
-        for family, (p, q) in enumerate(NEAR_NEAR, len(EXACT_FUZZY)):
-            both = (fuzzy[p][:, :, None] >= 0) & (fuzzy[q][:, None, :] >= 0)
-            row, one, two = np.nonzero(both)
-            key = (family << FAMILY_SHIFT) | (fuzzy[p][row, one] << 12) | fuzzy[q][row, two]
-            yield pd.DataFrame({"key": key, "fp": prints[row], "near": (one == 0) & (two == 0)})
+            yield pd.DataFrame({"key": key, "fp": prints[row], "near": (col == 0).astype(np.int32)})
+        there = (fuzzy[0][:, :, None, None] >= 0) & (fuzzy[1][:, None, :, None] >= 0) & (fuzzy[2][:, None, None, :] >= 0)
+        row, *cols = np.nonzero(there)
+        key = (SPREAD << FAMILY_SHIFT) | (fuzzy[0][row, cols[0]] << 24) | (fuzzy[1][row, cols[1]] << 12) | fuzzy[2][row, cols[2]]
+        near = sum((col == 0).astype(np.int32) << k for k, col in enumerate(cols))
+        yield pd.DataFrame({"key": key, "fp": prints[row], "near": near})
 
 
 def _family(errors: list[Column]) -> tuple[Column, Column]:
-    """The one family by which a pair is to be found, and the errors in its fuzzy segment."""
-    family, fuzzy = F.lit(-1), F.lit(9)
-    for number, (p, q) in reversed(list(enumerate(NEAR_NEAR, len(EXACT_FUZZY)))):
-        hit = (errors[p] == 1) & (errors[q] == 1)
-        family, fuzzy = F.when(hit, number).otherwise(family), F.when(hit, 1).otherwise(fuzzy)
+    """The one family by which a pair is to be found, and the bits of ``near`` that its key has to have there: a segment
+    that differs in one bit or none is found by its nearest codeword."""
+    family, needed = F.lit(SPREAD), F.lit(0)
+    for k, e in enumerate(errors):
+        needed = needed + F.when(e <= 1, 1 << k).otherwise(0)
     for number, (p, q) in reversed(list(enumerate(EXACT_FUZZY))):
         hit = (errors[p] == 0) & (errors[q] <= 2)
-        family, fuzzy = F.when(hit, number).otherwise(family), F.when(hit, errors[q]).otherwise(fuzzy)
-    return family, fuzzy
+        family, needed = F.when(hit, number).otherwise(family), F.when(hit, (errors[q] <= 1).cast("int")).otherwise(needed)
+    return family, needed
 
 
 def near_pairs(prints: DataFrame) -> DataFrame:
     """a, b (a < b): all pairs of different values of ``fp`` in ``prints`` (no repeats) that differ in MAX_DISTANCE bits or less."""
-    keys = prints.select("fp").mapInPandas(_keys, "key long, fp long, near boolean")
-    left = keys.where((F.shiftright("key", FAMILY_SHIFT) < len(EXACT_FUZZY)) | F.col("near")).select("key", F.col("fp").alias("a"), "near")
+    keys = prints.select("fp").mapInPandas(_keys, "key long, fp long, near int")
+    # of keys of all segments the asking side needs only those with two nearest codewords
+    asks = (F.shiftright("key", FAMILY_SHIFT) < SPREAD) | (F.bit_count("near") >= 2)
+    left = keys.where(asks).select("key", F.col("fp").alias("a"), "near")
     right = keys.select(F.col("key").alias("r_key"), F.col("fp").alias("b"))
     differ = F.col("a").bitwiseXOR(F.col("b"))
     errors = [F.bit_count(differ.bitwiseAND(F.lit(((1 << n) - 1) << start if start + n < 64 else -(1 << start)).cast("long"))) for start, n in SEGMENTS]
-    family, fuzzy = _family(errors)
-    # a pair shares keys in several families; only its first counts, and with 1 error or none only the nearest codeword
-    first = (F.shiftright("key", FAMILY_SHIFT) == family) & (F.col("near") | (fuzzy == 2))
+    family, needed = _family(errors)
+    # a pair shares keys in several families; only its first counts
+    first = (F.shiftright("key", FAMILY_SHIFT) == family) & (F.col("near").bitwiseAND(needed) == needed)
     close = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= MAX_DISTANCE)
     return left.join(right, (F.col("key") == F.col("r_key")) & close & first).select("a", "b").distinct()
 
@@ -162,7 +165,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null, empty and wordless texts have fingerprint zero and are linked like any other. component_id is the
     smallest id that links lead to, its own included; null ids count only where a component has no other.
-    Rows with equal fingerprints are one node, so copies make no pairs: links are between fingerprints.
+    Rows with equal fingerprints, repeated rows too, are one node, so copies make no pairs: links are between
+    fingerprints. An empty table gives no rows. Texts of any length count whole.
     """
     return _grouped(docs, id_col, text_col).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -172,10 +176,10 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Where several rows have that id, one of them stays.
     """
-    name = lambda i: F.xxhash64(i, "k1", "k2")
+    names = lambda i: [F.xxhash64(i, "k1", "k2").alias("n1"), F.xxhash64("k2", i, "k1").alias("n2")]
     grouped = _grouped(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = grouped.groupBy("label").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("doc_id").alias("k_id"))
-    keep = keep.select(F.col("k_id"), "k.*").withColumn("k_name", name(F.col("k_id"))).select("k_id", "k_name")
-    rows = packed(docs, d_id=F.col(f"`{id_col}`"), **dict(zip(("k1", "k2"), text_key(F.col(f"`{text_col}`")), strict=True))).withColumn("d_name", name(F.col("d_id")))
-    kept = rows.join(keep, (F.col("d_name") == F.col("k_name")) & F.col("d_id").eqNullSafe(F.col("k_id")), "left_semi").dropDuplicates(["d_name"])
+    keep = grouped.groupBy("label").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first("doc_id").alias("k_id")).select("k_id", "k.*").select(*names(F.col("k_id")))
+    rows = packed(docs, d_id=F.col(f"`{id_col}`"), **dict(zip(("k1", "k2"), text_key(F.col(f"`{text_col}`")), strict=True))).select(ROW, *names(F.col("d_id")))
+    # texts are dealt out once, by name, for the join and for the choice among equal rows
+    kept = rows.join(keep, ["n1", "n2"], "left_semi").dropDuplicates(["n1", "n2"])
     return kept.select(*[F.col(f"{ROW}.`{c}`").alias(c) for c in docs.columns])
