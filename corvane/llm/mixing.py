@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import ROW, WORD, packed, word_count
+from corvane.llm.common import ROW, WORD, packed, text_key, word_count
 from corvane.session import staged
 
 WEIGHTS = (3, 1, 2)
@@ -21,6 +21,8 @@ SHARE = (3, 2)  # the mix is to hold 3/2 of all words
 SEED = "mix-1"
 KEY_DIGITS = 5  # hexadecimal digits of the key that name its finest range
 RANGE_ROWS = 5_000
+SOURCE_RANGES = 64  # ranges of sources that are ranked apart
+COPIES = 10_000  # copies of a row that one array lists
 
 
 def random_key(*columns: Column, seed: str = SEED) -> Column:
@@ -35,10 +37,14 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFrame:
     weight; none passes 2 times its source's size, and what is over goes to the others by weight, again
     until no target is above. Each round is one aggregate over the sources and gives the driver three numbers.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    n = len(weights)
-    weight = F.get(F.array(*[F.lit(int(w)) for w in weights]), ((F.row_number().over(order) - 1) % n).cast("int"))
-    ranked = staged(sizes.select("source", "source_size", weight.cast("long").alias("weight")), "sources")
+    # ranks in two steps, for sources may be hosts: within ranges of the order, and before each range
+    dealt = sizes.select(F.col("source").isNull().alias("nul"), "source", "source_size")
+    dealt = staged(dealt.repartitionByRange(SOURCE_RANGES, "nul", "source").withColumn("range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # SOURCE_RANGES rows at most
+    ahead = counts.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("nul", "source")) - 1 + F.col("ahead")
+    weight = F.get(F.array(*[F.lit(int(w)) for w in weights]), F.pmod(place, F.lit(len(weights))).cast("int"))
+    ranked = staged(dealt.join(F.broadcast(ahead), "range").select("source", "source_size", weight.cast("long").alias("weight")), "sources")
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     num, den = SHARE
     rest, share = num * total, 0  # in 1/den words, so that all stays whole until the last division
@@ -61,25 +67,21 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFrame:
     return ranked.select("source", "source_size", F.when(capped, (2 * F.col("source_size")).cast("double")).otherwise(own).alias("target"))
 
 
-def mix(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: Sequence[int] = WEIGHTS,
-) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source, epochs for every row of ``docs``.
+def _times(df: DataFrame, n: str, name: str) -> DataFrame:
+    """``df`` with each row ``n`` times, numbered from 0 in ``name``, in arrays of COPIES at most."""
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / COPIES)))
+    low = F.col("__part") * COPIES
+    return df.withColumn("__part", part).withColumn(name, F.explode(F.sequence(low, F.least(low + COPIES, F.col(n)) - 1))).drop("__part")
 
-    ``taken`` counts the words that the mix takes from a row over all epochs, never more than 2 times its
-    size; by source they sum to the target rounded down. Null texts have no words and take none; a null
-    source is a source of its own, the last. Rows with the same id, source and size are told apart by
-    number alone, so the cut falls on any one of them. An empty table gives an empty mix. Reruns agree.
-    """
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], *more: Column) -> DataFrame:
+    """Rows of ``docs``, equal ones as one with ``copies``: doc_id, source, size, source_size, target, n_before (words of the
+    source before them), budget (words that the mix takes of the source), epochs and the columns ``more``."""
     doc, text, source = (F.col(f"`{c}`") for c in (id_col, text_col, source_col))
-    key = random_key(doc)
+    names = ["doc_id", "source", "size", "key", "k1", "k2", *[f"more{i}" for i in range(len(more))]]
+    slim = docs.select(doc.alias("doc_id"), source.alias("source"), word_count(text).alias("size"), random_key(doc).alias("key"), *text_key(text), *[c.alias(f"more{i}") for i, c in enumerate(more)])
     # rows with equal columns are one row with a count, so that no repeated key can pile up in a range
-    slim = docs.select(doc.alias("doc_id"), source.alias("source"), word_count(text).alias("size"), key.alias("key"))
-    slim = staged(slim.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("copies")), "sizes")
+    slim = staged(slim.groupBy(*names).agg(F.count(F.lit(1)).alias("copies")), "sizes")
     n_rows = slim.count()
     digits = next(d for d in range(KEY_DIGITS + 1) if 16**d * RANGE_ROWS >= n_rows or d == KEY_DIGITS)
     # null-safe keys: joins and windows see no null
@@ -91,52 +93,69 @@ def mix(
     aims = aims.select(F.col("source").isNull().alias("nul"), F.coalesce("source", F.lit("")).alias("src"), "source_size", "target")
     before = F.coalesce(F.sum("words").over(Window.partitionBy("nul", "src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = ranges.withColumn("before", before).drop("words").join(aims, ["nul", "src"])
-    within = Window.partitionBy("nul", "src", "range").orderBy("key", "doc_id", "size")
+    within = Window.partitionBy("nul", "src", "range").orderBy("key", *[n for n in names if n not in ("key", "source")])
     ahead = F.coalesce(F.sum(words).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = ranged.withColumn("ahead", ahead).join(offsets, ["nul", "src", "range"])
-    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     budget = F.floor("target")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
-    start = F.col("before") + F.col("ahead") + F.col("copy") * F.col("size")
-    part = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), budget - epochs * F.col("source_size") - start))
-    taken = (epochs * F.col("size") + part).cast("long")
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", epochs.cast("long").alias("epochs"))
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    return placed.select(*names, "copies", "source_size", "target", (F.col("before") + F.col("ahead")).alias("n_before"), budget.alias("budget"), epochs.alias("epochs"))
+
+
+def _part(copy: Column) -> Column:
+    """The words that the last, incomplete epoch takes of a copy of a row of ``_placed``."""
+    start = F.col("n_before") + copy * F.col("size")
+    return F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("budget") - F.col("epochs") * F.col("source_size") - start)).cast("long")
+
+
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[int] = WEIGHTS,
+) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source, epochs for every row of ``docs``.
+
+    ``taken`` counts the words that the mix takes from a row over all epochs, never more than 2 times its
+    size; by source they sum to the target rounded down. Null texts have no words and take none; a null
+    source is a source of its own, the last. Rows with the same id are ordered by size and a hash of their text, equal
+    rows told apart by number alone. An empty table gives an empty mix; texts may have any length. Reruns agree.
+    """
+    placed = _times(_placed(docs, id_col, text_col, source_col, weights), "copies", "copy")
+    taken = F.col("epochs") * F.col("size") + _part(F.col("copy"))
+    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "epochs")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", weights: Sequence[int] = WEIGHTS) -> DataFrame:
     """The mix itself: ``docs`` with every row as often as it is taken, and the last copy at a source's cut
-    shortened to the words that the budget has left. Rows of which nothing is taken go.
+    shortened to the words that the budget has left. Rows of which nothing is taken go. Reruns agree.
+
+    Rows alike in all columns travel as one.
     """
     doc, text, source = (F.col(f"`{c}`") for c in (id_col, text_col, source_col))
-    name = lambda i, s, n: F.xxhash64(i, s, n)
-    takes = mix(docs, id_col, text_col, source_col, weights)
-    takes = takes.groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("taken").alias("words"), F.first("epochs").alias("epochs")
-    )
-    takes = takes.where("words > 0").withColumn("m_name", name(F.col("m_id"), F.col("m_source"), F.col("m_size")))
-    rows = packed(docs, d_id=doc, d_source=source, d_size=word_count(text))
-    rows = rows.withColumn("d_name", name(F.col("d_id"), F.col("d_source"), F.col("d_size")))
-    same = F.col("d_id").eqNullSafe(F.col("m_id")) & F.col("d_source").eqNullSafe(F.col("m_source")) & (F.col("d_size") == F.col("m_size"))
-    joined = rows.join(takes, (F.col("d_name") == F.col("m_name")) & same)
-    # equal rows (id, source, size) share what is taken of them: all epochs each, then whole ones, then the rest
-    nth = F.row_number().over(Window.partitionBy("d_name", "d_id", "d_source", "d_size").orderBy(F.lit(1)))
-    left = F.col("words") - F.col("n") * F.col("epochs") * F.col("d_size") - (nth - 1) * F.col("d_size")
-    part = F.least(F.col("d_size"), F.greatest(F.lit(0).cast("long"), left))
-    joined = joined.withColumn("part", part)
-    whole = F.col("epochs") + F.when(F.col("part") == F.col("d_size"), 1).otherwise(0)
-    rest = F.when(F.col("part") < F.col("d_size"), F.col("part")).otherwise(0)
-    cuts = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest.cast("long"))).otherwise(F.array().cast("array<long>")))
-    copies = joined.withColumn("cut", F.explode(cuts))
+    whole_row = F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    placed = _placed(docs, id_col, text_col, source_col, weights, whole_row)
+    # of equal rows first whole ones are taken, then at most one in part
+    left = F.greatest(F.lit(0).cast("long"), F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("n_before"))
+    full = F.when(F.col("size") > 0, F.least(F.col("copies"), F.floor(left / F.col("size")))).otherwise(F.lit(0))
+    takes = placed.withColumn("full", full.cast("long")).withColumn("rest", F.when(F.col("full") < F.col("copies"), _part(F.col("full"))).otherwise(F.lit(0)).cast("long"))
+    takes = takes.withColumn("n", F.when(F.col("size") > 0, F.col("epochs") * F.col("copies") + F.col("full") + (F.col("rest") > 0).cast("long")).otherwise(F.lit(0)))
+    names = lambda i, s, r: [F.xxhash64(i, s, "k1", "k2", r).alias("n1"), F.xxhash64(r, "k2", s, i, "k1").alias("n2")]
+    takes = takes.where("n > 0").select(*names(F.col("doc_id"), F.col("source"), F.col("more0")), "n", "rest")
+    rows = packed(docs, d_id=doc, d_source=source, d_row=whole_row, **dict(zip(("k1", "k2"), text_key(text), strict=True)))
+    rows = rows.select(ROW, *names(F.col("d_id"), F.col("d_source"), F.col("d_row")))
+    rows = rows.groupBy("n1", "n2").agg(F.first(ROW).alias(ROW))
+    copies = _times(rows.join(takes, ["n1", "n2"]), "n", "copy")
+    cut = (F.col("rest") > 0) & (F.col("copy") == F.col("n") - 1)
     body = F.col(f"{ROW}.`{text_col}`")
     pieces = F.regexp_extract_all(body, F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1))
-    cut_text = F.array_join(F.slice(pieces, F.lit(1), F.col("cut").cast("int")), "")
-    new_text = F.when(F.col("cut") < 0, body).otherwise(cut_text)
+    cut_text = F.array_join(F.slice(pieces, F.lit(1), F.col("rest").cast("int")), "")
     columns = []
     for name in docs.columns:
         if name == text_col:
-            columns.append(new_text.alias(name))
+            columns.append(F.when(cut, cut_text).otherwise(body).alias(name))
         elif name == chars_col:
-            columns.append(F.when(F.col("cut") < 0, F.col(f"{ROW}.`{name}`")).otherwise(F.length(cut_text)).cast(docs.schema[name].dataType).alias(name))
+            columns.append(F.when(cut, F.length(cut_text)).otherwise(F.col(f"{ROW}.`{name}`")).cast(docs.schema[name].dataType).alias(name))
         else:
             columns.append(F.col(f"{ROW}.`{name}`").alias(name))
     return copies.select(*columns)

@@ -259,6 +259,36 @@ def test_mixing(request, which):
     assert mixed.columns == df.columns and +words == +taken
 
 
+def test_equal_ids_and_rows_are_cut_alike_each_time(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 3)
+    rows = [(1, f"same id {i} " * (i % 4 + 1), f"s{i % 2}") for i in range(40)] + [(2, "a b c", "s1")] * 25
+    df = docs(spark, rows)
+    first, again = (sorted(map(repr, mixing.mixed_documents(d).collect())) for d in (df, df.repartition(3)))
+    assert first == again
+    words = Counter()
+    for r in mixing.mixed_documents(df).collect():
+        words[r["source"]] += len(brute.WORD.findall(r["text"]))
+    taken = Counter()
+    for r in mixing.mix(df).collect():
+        taken[r["source"]] += r["taken"]
+    assert words == taken
+
+
+def test_sources_may_be_many(spark):
+    rows = [(i, "w " * (i % 9 + 1), f"host{i:05}" if i else None) for i in range(3000)]
+    got = {r["source"]: r["target"] for r in mixing.mix(docs(spark, rows)).collect()}
+    order = [*sorted(s for s in got if s), None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    size = {s: len(t.split()) for _, t, s in rows}
+    free, target = set(order), {}
+    while free:
+        rest, total = 1.5 * sum(size.values()) - sum(target.values()), sum(weight[x] for x in free)
+        over = {s for s in free if rest * weight[s] / total > 2 * size[s]}
+        target |= {s: 2.0 * size[s] for s in over} if over else {s: rest * weight[s] / total for s in free}
+        free = free - over if over else set()
+    assert all(got[s] == pytest.approx(target[s]) for s in order)
+
+
 def test_url_filter(spark):
     urls = ["http://a.org/x", "https://EXAMPLE.org/es/1", "x://sub.example.org/en/12", "http://b.com/fr/", "http://b.com/de/q?x#y", "http://b.com/a.org/", "http://org", None, "", "no scheme", "http://www.cheap-pills.net/", "http://é.spam-farm.org?x", "http://blog.casino-win.net/a", "http://notexample.org/es/", "a://b.com/de", "http://x.adult-x.net#f", "http://y.net/" + "a" * 5000]
     pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)] + [(None, urls[0], "z")], "page_id long, url string, won string")
