@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The ids that a text may name.
 EVIDENCE_ID = r"(?i)\b([a-f0-9]{8}_[0-9]{4}_[a-f0-9]{8})\b"
 DOCUMENT_ID = r"(?i)\b(doc_[a-f0-9]+)\b"
 

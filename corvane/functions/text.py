@@ -122,6 +122,7 @@ def page_noise(text: Column, noise: tuple[str, ...] = PAGE_NOISE) -> Column:
 
 def refine(text: Column) -> Column:
     """Rules for a chunk without fenced code: separators, comments, tags, entities and spaces go."""
+    # The patterns that go, in order.
     steps = [
         (r"(?is)─{10,}.*?(?:Page \d+|Footer|Section \d+|©|Confidential).*?─{10,}", ""),
         (r"─{10,}", ""),
@@ -179,6 +180,7 @@ def clean_heading(line: Column) -> Column:
 
 def rule_title(text: Column) -> Column:
     """The first heading at the start, a short first line, the first sentence, or the first characters."""
+    # Lengths and patterns of a title.
     heading = strip(F.regexp_extract(text, r"\A#{1,6}\s+([^\n]+)", 1))
     line = strip(F.substring_index(text, "\n", 1))
     short = (line != "") & (F.length(line) <= 100) & ~line.rlike(r"[.,;]\z")
@@ -190,13 +192,14 @@ def rule_title(text: Column) -> Column:
 
 
 def rule_summary(text: Column, most: int = 3) -> Column:
-    """The first sentences, cut at 500 characters."""
+    """The first sentences, cut at 500 characters (fixed values)."""
     joined = strip(F.array_join(F.slice(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u001f"), "\u001f"), 1, most), " "))
     return F.when(F.length(joined) > 500, F.concat(F.substring(joined, 1, 497), F.lit("..."))).otherwise(joined)
 
 
 def rule_tags(text: Column, most: int = 10) -> Column:
     """Capitalised phrases, identifiers and emphasised words, the first five of each, sorted."""
+    # The patterns of tags.
     first = lambda pattern, group: F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), 1, 5)
     capital = first(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b", 0)
     names = first(r"\b[a-z]+(?:[A-Z][a-z]*)+\b|\b[a-z]+_[a-z_]+\b", 0)
@@ -240,6 +243,7 @@ def image_refs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\[IMAGE:\s*([^\]\s]+)\s*\]"), F.lit(1))
 
 
+# How the first line of such a section begins.
 def is_references(title: Column, text: Column) -> Column:
     return F.lower(title).contains("references") | F.lower(first_line(text)).rlike(r"^(## \*\*|## |# )references")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import ids, text
 
+# Where a text is cut, in order.
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
 
 

@@ -14,7 +14,7 @@ def list_collections(chunks: DataFrame) -> DataFrame:
 
 def list_documents(chunks: DataFrame) -> DataFrame:
     """A row for each document: its chunks, and the title by rule of its first chunk."""
-    first = F.min(F.struct("chunk_index", "chunk_id", F.substring("text", 1, 2000).alias("text")))
+    first = F.min(F.struct("chunk_index", "chunk_id", "text"))
     grouped = chunks.groupBy("doc_id", "source_path", "doc_type").agg(F.count(F.lit(1)).alias("chunk_count"), first.alias("first"))
     return grouped.select("doc_id", "source_path", "doc_type", "chunk_count", text.rule_title(F.col("first.text")).alias("title"))
 

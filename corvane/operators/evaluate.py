@@ -29,6 +29,27 @@ def per_query(results: DataFrame, truth: DataFrame, queries: DataFrame) -> DataF
     )
 
 
+KEY_WORDS = 5  # words of a passage by which texts are found
+
+
+def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """query_id, chunk_id: the texts of ``docs`` (chunk_id, text) that hold a whole passage of ``passages`` (query_id, text).
+
+    Texts meet passages in KEY_WORDS words in a row, those behind a passage's first word, and are then searched for all of
+    it. A passage of fewer than KEY_WORDS + 2 words meets them in as many of its inner words as it has; one of two words or
+    fewer in none, and is not found.
+    """
+    words = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    keyed = passages.select("query_id", F.col("text").alias("passage"), words("text").alias("w")).where(F.size("w") > 2)
+    keyed = keyed.select("query_id", "passage", F.slice("w", F.lit(2), F.least(F.lit(KEY_WORDS), F.size("w") - 2)).alias("k"))
+    keyed = keyed.select("query_id", "passage", F.size("k").alias("n"), F.array_join("k", " ").alias("key"))
+    lengths = F.array(*[F.lit(r[0]) for r in keyed.select("n").distinct().collect()])  # KEY_WORDS numbers at most
+    found = docs.select("chunk_id", "text", words("text").alias("w"), F.explode(lengths).alias("n")) if keyed.take(1) else docs.select("chunk_id", "text", words("text").alias("w"), F.lit(1).alias("n")).limit(0)
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))
+    found = found.where(F.size("w") >= F.col("n")).select("chunk_id", "text", "n", F.explode(F.array_distinct(runs)).alias("key"))
+    return found.join(keyed, ["n", "key"]).where(F.contains("text", "passage")).select("query_id", "chunk_id").distinct()
+
+
 def averages(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.count(F.lit(1)).alias("n_queries"), *[F.round(F.avg(m), 4).alias(m) for m in METRICS])
 

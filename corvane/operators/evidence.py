@@ -78,15 +78,20 @@ def consistent(evaluations: DataFrame) -> DataFrame:
     )
 
 
+GRAM = 6
+
+
 def resolve_ids(asked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """asked_id, chunk_id, exact for each id in ``asked`` (asked_id): the chunk with that id, else the first chunk of whose
-    id it is one part or several joined parts, else null.
+    """asked_id, chunk_id, exact for each id in ``asked`` (asked_id): the chunk with that id, else the first whose id
+    contains it, else null.
 
-    Parts are what an id has between underscores, so partial ids meet their chunks by equality.
+    Ids meet in the first GRAM characters of the asked one (all, if it is shorter), which a chunk's id has somewhere.
     """
-    wanted = asked.select("asked_id").distinct()
-    parts = F.split("chunk_id", "_")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.transform(F.sequence(F.lit(1), F.size(parts) - n + 1), lambda i: F.array_join(F.slice(parts, i, n), "_"))))
-    keys = chunks.select("chunk_id", F.explode(runs).alias("asked_id"))
-    best = keys.join(wanted, "asked_id", "left_semi").groupBy("asked_id").agg(F.min(F.struct((F.col("chunk_id") != F.col("asked_id")).alias("partial"), "chunk_id")).alias("best"))
-    return wanted.join(best, "asked_id", "left").select("asked_id", "best.chunk_id", (~F.col("best.partial")).alias("exact"))
+    wanted = asked.select("asked_id").distinct().where(F.length("asked_id") > 0)
+    keyed = wanted.select("asked_id", F.least(F.lit(GRAM), F.length("asked_id")).alias("n")).withColumn("gram", F.substring("asked_id", 1, GRAM))
+    sizes = [r[0] for r in keyed.select("n").distinct().collect()] or [GRAM]  # GRAM numbers at most
+    ids = chunks.select("chunk_id").distinct().select("chunk_id", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n")).where(F.length("chunk_id") >= F.col("n"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("chunk_id") - F.col("n") + 1), lambda i: F.substr(F.col("chunk_id"), i, F.col("n")))
+    met = ids.select("chunk_id", "n", F.explode(F.array_distinct(grams)).alias("gram")).join(keyed, ["n", "gram"]).where(F.contains("chunk_id", "asked_id"))
+    best = met.groupBy("asked_id").agg(F.min(F.struct((F.col("chunk_id") != F.col("asked_id")).alias("partial"), "chunk_id")).alias("best"))
+    return asked.select("asked_id").distinct().join(best, "asked_id", "left").select("asked_id", "best.chunk_id", (~F.col("best.partial")).alias("exact"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import scoring, text
 
 
+BUCKETS = 64
+
+
 def term_stats(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """chunk_id and its terms, one row per chunk; chunks without terms stay, so they count in the corpus."""
     return chunks.select(F.col(id_col).alias("chunk_id"), text.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
@@ -39,13 +42,83 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str = "chunk_id") -> D
     return existing.join(incoming.select(key), key, "left_anti").unionByName(incoming)
 
 
-def remove_documents(stats: DataFrame, prefix_col: str, gone: DataFrame) -> DataFrame:
-    """Term statistics without the chunks of the documents in ``gone`` (one column, of prefix_col's name)."""
-    return stats.join(gone, prefix_col, "left_anti")
-
-
 def top_terms(posted: DataFrame, k: int = 10) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("chunk_id").orderBy(F.desc("tf"), "term")
     return posted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("chunk_id", "rank", "term", "tf")
+
+
+def bucket(term: Column) -> Column:
+    """The bucket of a term's postings."""
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+class Index:
+    """A stored index: postings and terms in buckets by term, lengths of chunks, and the corpus statistics."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+
+    def _ids(self) -> str:
+        return self.spark.read.parquet(f"{self.root}/lengths").schema["chunk_id"].dataType.simpleString()
+
+    def postings(self) -> DataFrame:
+        """term, chunk_id, tf, doc_length, bucket."""
+        return self._read("postings", f"term string, chunk_id {self._ids()}, tf long, doc_length long, bucket int")
+
+    def terms(self) -> DataFrame:
+        """term, df, bucket."""
+        return self._read("terms", "term string, df long, bucket int")
+
+    def lengths(self) -> DataFrame:
+        """chunk_id, doc_length; chunks without terms too."""
+        return self.spark.read.parquet(f"{self.root}/lengths")
+
+    def corpus(self) -> DataFrame:
+        """num_docs, total_terms, avg_doc_length: one row."""
+        return self._read("corpus", "num_docs long, total_terms long, avg_doc_length double")
+
+    def weights(self) -> DataFrame:
+        """term, df, idf."""
+        return self.terms().join(F.broadcast(self.corpus())).select("term", "df", scoring.idf(F.col("num_docs"), F.col("df")).alias("idf"))
+
+
+def _store(posted: DataFrame, lengths: DataFrame, root: str) -> Index:
+    spark, root = posted.sparkSession, root.rstrip("/")
+    # by range, not by hash: a word that most chunks have goes to several files of its bucket
+    placed = posted.withColumn("bucket", bucket(F.col("term"))).repartitionByRange("bucket", "term", "chunk_id").sortWithinPartitions("bucket", "term", "chunk_id")
+    placed.write.partitionBy("bucket").parquet(f"{root}/postings")
+    lengths.write.parquet(f"{root}/lengths")
+    stored = Index(spark, root)
+    terms = stored.postings().groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
+    terms.repartition("bucket").sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(f"{root}/terms")
+    length = F.col("doc_length")
+    corpus = stored.lengths().agg(F.count(F.lit(1)).alias("num_docs"), F.coalesce(F.sum(length), F.lit(0)).alias("total_terms"), F.coalesce(F.avg(length), F.lit(0.0)).alias("avg_doc_length"))
+    corpus.write.parquet(f"{root}/corpus")
+    return stored
+
+
+def _lengths(stats: DataFrame) -> DataFrame:
+    return stats.select("chunk_id", F.size("terms").cast("long").alias("doc_length"))
+
+
+def build(stats: DataFrame, root: str) -> Index:
+    """Store the index of ``stats`` in the new folder ``root``. A chunk id counts once for all its rows' terms."""
+    return _store(postings(stats), _lengths(stats), root)
+
+
+def add(stored: Index, stats: DataFrame, root: str) -> Index:
+    """A new version of an index with the chunks of ``stats``, in place of those with the same ids; all statistics anew."""
+    keys = stats.select("chunk_id").distinct()
+    old = stored.postings().drop("bucket").join(keys, "chunk_id", "left_anti")
+    return _store(old.unionByName(postings(stats)), stored.lengths().join(keys, "chunk_id", "left_anti").unionByName(_lengths(stats)), root)
+
+
+def remove(stored: Index, gone: DataFrame, root: str) -> Index:
+    """A new version of an index without the chunks in ``gone`` (chunk_id); all statistics anew."""
+    keys = gone.select("chunk_id").distinct()
+    return _store(stored.postings().drop("bucket").join(keys, "chunk_id", "left_anti"), stored.lengths().join(keys, "chunk_id", "left_anti"), root)

@@ -39,18 +39,18 @@ def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth line is made a heading, so that documents have sections."""
-    chunks = paragraphs(spark, sf_dir).withColumn("text", F.when(F.col("chunk_index") % 5 == 3, F.concat(F.lit("## "), F.substring("text", 1, 30))).otherwise(F.col("text")))
+    chunks = paragraphs(spark, sf_dir).withColumn("text", F.when(F.col("chunk_index") % 5 == 3, F.concat(F.lit("## "), "text")).otherwise(F.col("text")))
     return documents.outline(chunks)
 
 
 def document_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = documents.full_text(paragraphs(spark, sf_dir), 5_000)
+    found = documents.full_text(paragraphs(spark, sf_dir))
     return found.select("doc_id", "n_chunks", F.length("full_text").alias("n_chars"), F.sha2("full_text", 256).alias("sha"))
 
 
 def neighbor_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = paragraphs(spark, sf_dir)
-    return documents.neighbours(chunks, chunks.where("chunk_index % 4 = 0"), 2)
+    return documents.neighbours(chunks, chunks, 2)
 
 
 def read_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,11 +83,17 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.citations(results, chunks, 150)
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """answer_id, doc_id: the documents that an answer names, its three best and two that may not exist."""
+    top = retrieval.bm25_batch(spark, sf_dir).where("rank <= 3").select(F.col("query_id").alias("answer_id"), F.col("chunk_id").alias("doc_id"))
+    more = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("answer_id"), F.explode(F.array(F.col("item_id") * 37, F.col("item_id") * 1_009)).alias("doc_id"))
+    return top.union(more).distinct()
+
+
 def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Benchmark passages as answers, their three best documents as evidence."""
+    """Benchmark passages as answers, the documents that they name as evidence."""
     answers = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("answer_id"), "text")
-    top = retrieval.bm25_batch(spark, sf_dir).where("rank <= 3").select(F.col("query_id").alias("answer_id"), F.col("chunk_id").alias("doc_id"))
-    return answers, top.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return answers, _asked(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def evidence_support(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +105,9 @@ def evidence_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     weak = evidence.support(answers, chunks).groupBy("answer_id").agg(F.count_if("unsupported").alias("n_unsupported"))
     found = chunks.groupBy("answer_id").agg(F.count(F.lit(1)).alias("n_found"), F.count_if(text.is_references(F.lit(""), F.col("text"))).alias("n_references"))
     facts = answers.select("answer_id", F.size(text.sentences(F.col("text"))).alias("n_sentences"), text.has_citation(F.col("text")).alias("cited"))
-    facts = facts.join(weak, "answer_id", "left").join(found, "answer_id", "left").na.fill(0)
-    facts = facts.withColumn("n_missing", F.col("answer_id") % 3)
+    known = table(spark, sf_dir, "documents").select("doc_id").distinct()
+    missing = _asked(spark, sf_dir).join(known, "doc_id", "left_anti").groupBy("answer_id").agg(F.count(F.lit(1)).alias("n_missing"))
+    facts = facts.join(weak, "answer_id", "left").join(found, "answer_id", "left").join(missing, "answer_id", "left").na.fill(0)
     return evidence.verdicts(facts, 2).select("answer_id", "n_found", "n_missing", "n_sentences", "n_unsupported", "score", "passed")
 
 
@@ -220,17 +227,6 @@ def chunk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.upsert(chunks, incoming)
 
 
-def index_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corpus statistics and document frequencies without the documents of source src1."""
-    from corvane.operators import index
-
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    stats = index.term_stats(docs, "doc_id").join(docs.select(F.col("doc_id").alias("chunk_id"), "source"), "chunk_id")
-    gone = docs.where("source = 'src1'").select("source").distinct()
-    left = index.remove_documents(stats, "source", gone)
-    return index.document_frequency(index.postings(left)).where("df > 1")
-
-
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents"))
     hashed = docs.select("doc_id", F.sha2("text", 256).alias("doc_hash"))
@@ -300,7 +296,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (list_documents, list_collections, document_summary, document_outline, document_full_text, neighbor_chunks, read_chunk, document_stats, metadata_filter, structural_filter, has_table, citations, evidence_support, evidence_verdict, evidence_novelty, error_streak, eval_consistency, answer_overlap, short_term_fifo, access_counts, promotion, episodic_recent, memory_topk, qa_pairs, context_window, compress_fallback, ledger_skip, ledger_upsert, chunk_upsert, index_remove, cascade_delete, ingest_summary, json_parse, trace_stages, memory_inspector, stream_short_term, stream_windows)
+    for f in (list_documents, list_collections, document_summary, document_outline, document_full_text, neighbor_chunks, read_chunk, document_stats, metadata_filter, structural_filter, has_table, citations, evidence_support, evidence_verdict, evidence_novelty, error_streak, eval_consistency, answer_overlap, short_term_fifo, access_counts, promotion, episodic_recent, memory_topk, qa_pairs, context_window, compress_fallback, ledger_skip, ledger_upsert, chunk_upsert, cascade_delete, ingest_summary, json_parse, trace_stages, memory_inspector, stream_short_term, stream_windows)
 }
 
 _S = sql.STRIP
@@ -310,7 +306,8 @@ cut AS (SELECT item_id AS answer_id, list_filter(list_transform(string_split(reg
 sent AS (SELECT answer_id, unnest(parts) AS s, generate_subscripts(parts, 1) - 1 AS position FROM cut),
 tok AS (SELECT answer_id, position, {sql.EVIDENCE_TOKENS.format("s")} AS tokens FROM sent),
 words AS (SELECT answer_id, position, len(tokens) AS n_tokens, unnest(tokens) AS token FROM tok WHERE len(tokens) >= 4),
-ev AS (SELECT query_id AS answer_id, doc_id, text FROM sparse JOIN documents ON doc_id = chunk_id WHERE rank <= 3),
+asked AS (SELECT query_id AS answer_id, chunk_id AS doc_id FROM sparse WHERE rank <= 3 UNION SELECT item_id, unnest([item_id * 37, item_id * 1009]) FROM benchmark),
+ev AS (SELECT answer_id, doc_id, text FROM asked JOIN documents USING (doc_id)),
 known AS (SELECT DISTINCT answer_id, unnest({sql.EVIDENCE_TOKENS.format("text")}) AS token, 1 AS hit FROM ev),
 support AS (SELECT answer_id, position::INTEGER AS position, any_value(n_tokens)::INTEGER AS n_tokens, count(hit) / any_value(n_tokens) AS raw FROM words LEFT JOIN known USING (answer_id, token) GROUP BY answer_id, position)"""
 _ITEMS = "items AS (SELECT user_id AS session_id, event_id, ts, least(1.0, greatest(0.0, value / 100)) AS score FROM events), as_of AS (SELECT max(ts) AS now FROM events)"
@@ -320,25 +317,25 @@ _LEDGER = """firsts AS (SELECT sha256(text) AS file_hash, min(doc_id) AS doc_id,
 ledger AS (SELECT file_hash, 'doc/' || doc_id AS file_path, CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'success' END AS status, collection, CASE WHEN doc_id % 3 = 0 THEN 'broken' END AS error_msg FROM firsts WHERE doc_id % 2 = 0)"""
 ORACLES = {
     "list_documents": f"""{_P},
-first AS (SELECT doc_id, source_path, lang AS doc_type, count(*)::BIGINT AS chunk_count, arg_min(substr(text, 1, 2000), chunk_index) AS text FROM chunks GROUP BY doc_id, source_path, lang)
+first AS (SELECT doc_id, source_path, lang AS doc_type, count(*)::BIGINT AS chunk_count, arg_min(text, chunk_index) AS text FROM chunks GROUP BY doc_id, source_path, lang)
 SELECT doc_id, source_path, doc_type, chunk_count, {texts.TITLE} AS title FROM first""",
     "document_summary": rf"""{_P},
 said AS (SELECT doc_id, chunk_index, {_S.format("text")} AS line FROM chunks)
 SELECT doc_id, substr(coalesce(arg_min(line, chunk_index) FILTER (line <> '' AND NOT regexp_matches(line, '^#{{1,6}}\s')), ''), 1, 500) AS summary, count(*)::BIGINT AS chunk_count FROM said GROUP BY doc_id""",
     "list_collections": f"{_P} SELECT source AS collection, count(*)::BIGINT AS n_chunks FROM chunks GROUP BY source",
     "document_outline": rf"""{_P},
-marked AS (SELECT doc_id, chunk_index, CASE WHEN chunk_index % 5 = 3 THEN '## ' || substr(text, 1, 30) ELSE text END AS text FROM chunks),
+marked AS (SELECT doc_id, chunk_index, CASE WHEN chunk_index % 5 = 3 THEN '## ' || text ELSE text END AS text FROM chunks),
 own AS (SELECT *, CASE WHEN regexp_matches(text, '^#{{1,6}}\s+') THEN coalesce(nullif({_S.format(r"regexp_replace(regexp_replace(regexp_replace(" + _S.format("string_split(" + _S.format("text") + ", chr(10))[1]") + r", '^#+\s*', ''), '\*\*|__|`', '', 'g'), '<[^>]+>', '', 'g')")}, ''), 'Untitled Section') END AS own FROM marked),
 placed AS (SELECT *, count(own) OVER w AS section, coalesce(last_value(own IGNORE NULLS) OVER w, 'Front Matter') AS heading FROM own WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT doc_id, section::BIGINT AS section, heading, count(*)::BIGINT AS n_chunks, bool_or(false) AS has_table, bool_or(contains(text, '[IMAGE:')) AS has_image FROM placed GROUP BY doc_id, section, heading""",
     "document_full_text": rf"""{_P},
 kept AS (SELECT * FROM chunks WHERE NOT regexp_matches(lower({_S.format("text")}), '^(## \*\*|## |# )(references|appendix)')),
 joined AS (SELECT doc_id, count(*)::INTEGER AS n_chunks, string_agg({_S.format("text")}, chr(10) || chr(10) ORDER BY chunk_index) AS t FROM kept GROUP BY doc_id),
-cut AS (SELECT doc_id, n_chunks, CASE WHEN length(t) > 5000 THEN substr(t, 1, 4980) || chr(10) || '...[truncated]' ELSE t END AS t FROM joined)
+cut AS (SELECT doc_id, n_chunks, CASE WHEN length(t) > 120000 THEN substr(t, 1, 119980) || chr(10) || '...[truncated]' ELSE t END AS t FROM joined)
 SELECT doc_id, n_chunks, length(t)::INTEGER AS n_chars, sha256(t) AS sha FROM cut""",
     "neighbor_chunks": f"""{_P},
 placed AS (SELECT doc_id, chunk_id, chunk_index, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, chunk_id)::INTEGER AS position FROM chunks)
-SELECT t.chunk_id AS target_id, c.chunk_id, c.position - t.position AS relative_position FROM placed t JOIN placed c ON c.doc_id = t.doc_id AND abs(c.position - t.position) <= 2 WHERE t.chunk_index % 4 = 0""",
+SELECT t.chunk_id AS target_id, c.chunk_id, c.position - t.position AS relative_position FROM placed t JOIN placed c ON c.doc_id = t.doc_id AND abs(c.position - t.position) <= 2""",
     "read_chunk": f"{_P} SELECT doc_id, chunk_id FROM chunks WHERE contains(chunk_id, '_0003_a') ORDER BY chunk_id LIMIT 1",
     "document_stats": rf"{_P} SELECT count(DISTINCT doc_id)::BIGINT AS n_documents, count(*)::BIGINT AS n_chunks, coalesce(sum(len(regexp_extract_all(text, '\[IMAGE:\s*([^\]\s]+)\s*\]'))), 0)::BIGINT AS n_images, floor(avg(length(text)))::BIGINT AS avg_chars FROM chunks",
     "metadata_filter": f"{_P} SELECT doc_id, chunk_id FROM chunks WHERE lang = 'en' AND contains(source_path, '/src1')",
@@ -352,7 +349,8 @@ SELECT query_id, rank AS index, chunk_id, source_path AS source, score,
     "evidence_verdict": rf"""WITH {_SUPPORT},
 weak AS (SELECT answer_id, count_if(raw < 0.1) AS n_unsupported FROM support GROUP BY answer_id),
 found AS (SELECT answer_id, count(*) AS n_found, count_if(regexp_matches(lower({_S.format("text")}), '^(## \*\*|## |# )references')) AS n_references FROM ev GROUP BY answer_id),
-facts AS (SELECT answer_id, len(parts)::INTEGER AS n_sentences, coalesce(n_unsupported, 0)::BIGINT AS n_unsupported, coalesce(n_found, 0)::BIGINT AS n_found, coalesce(n_references, 0) AS n_references, answer_id % 3 AS n_missing FROM cut LEFT JOIN weak USING (answer_id) LEFT JOIN found USING (answer_id))
+facts AS (SELECT answer_id, len(parts)::INTEGER AS n_sentences, coalesce(n_unsupported, 0)::BIGINT AS n_unsupported, coalesce(n_found, 0)::BIGINT AS n_found, coalesce(n_references, 0) AS n_references, coalesce(n_missing, 0)::BIGINT AS n_missing FROM cut LEFT JOIN weak USING (answer_id) LEFT JOIN found USING (answer_id)
+  LEFT JOIN (SELECT answer_id, count(*) AS n_missing FROM asked WHERE doc_id NOT IN (SELECT doc_id FROM documents) GROUP BY answer_id) USING (answer_id))
 SELECT answer_id, n_found, n_missing, n_sentences, n_unsupported,
   round(greatest(0, least(1, 0.45 * least(n_found / 2, 1) + 0.4 * CASE WHEN n_unsupported = 0 THEN 1 ELSE greatest(0, 1 - n_unsupported / greatest(n_sentences, 1)) END + 0.15 - least(n_missing * 0.15, 0.45) - CASE WHEN n_references > 0 THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS score,
   (n_found >= 2 OR (n_found > 0 AND n_missing > 0 AND n_found / greatest(n_found + n_missing, 1) >= 0.5)) AND n_unsupported <= greatest(1, floor(n_sentences * 0.3)) AS passed FROM facts""",
@@ -396,7 +394,6 @@ SELECT coalesce(n.file_hash, l.file_hash) AS file_hash, coalesce(n.file_path, l.
        CASE WHEN l.file_hash IS NOT NULL THEN '2024-01-01' ELSE '2024-06-01' END AS processed_at, CASE WHEN n.file_hash IS NULL THEN '2024-01-01' ELSE '2024-06-01' END AS updated_at
 FROM ledger l FULL JOIN news n ON l.file_hash = n.file_hash""",
     "chunk_upsert": f"{_P}, ones AS (SELECT chunk_id, min(doc_id) AS doc_id FROM chunks GROUP BY chunk_id) SELECT chunk_id, CASE WHEN doc_id % 4 = 0 THEN doc_id + 100000 ELSE doc_id END AS doc_id FROM ones",
-    "index_remove": f"SELECT term, count(DISTINCT doc_id)::BIGINT AS df FROM (SELECT doc_id, unnest({sql.TOKENS.format('text')}) AS term FROM documents WHERE source <> 'src1') GROUP BY term HAVING count(DISTINCT doc_id) > 1",
     "cascade_delete": f"""WITH {_LEDGER},
 gone AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 10 = 0)
 SELECT 'documents' AS store, count(*)::BIGINT AS n_deleted FROM documents WHERE sha256(text) IN (SELECT h FROM gone)

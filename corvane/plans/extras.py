@@ -11,8 +11,8 @@ from corvane.sources.tables import table
 
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third line stands for an image of its document."""
-    lines = corpus.paragraphs(spark, sf_dir).where("chunk_index % 3 = 1")
+    """Every line stands for an image of its document."""
+    lines = corpus.paragraphs(spark, sf_dir)
     return images.register(lines.select(F.sha2("source_path", 256).alias("doc_hash"), F.col("chunk_index").alias("page"), F.lit(0).alias("number"), F.concat("source_path", F.lit(".png")).alias("path"), "collection", F.col("text").cast("binary").alias("content")))
 
 
@@ -33,9 +33,9 @@ def mime_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_id_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First chunks by their whole id, by their last part, and by an id that no chunk has."""
+    """First chunks by their whole id, by a part from its middle, and by an id that no chunk has."""
     chunks = corpus.paragraphs(spark, sf_dir).select("doc_id", "chunk_index", "chunk_id")
-    asked = chunks.where("chunk_index = 0").select(F.explode(F.array("chunk_id", F.substring_index("chunk_id", "_", -1), F.concat(F.lit("no"), "chunk_id"))).alias("asked_id"))
+    asked = chunks.where("chunk_index = 0").select(F.explode(F.array("chunk_id", F.substring("chunk_id", 12, 9), F.concat(F.lit("no"), "chunk_id"))).alias("asked_id"))
     return evidence.resolve_ids(asked, chunks)
 
 
@@ -44,7 +44,7 @@ def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = corpus.paragraphs(spark, sf_dir)
     per_doc = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    out = docs.join(per_doc(chunks, "n_chunks"), "doc_id", "left").join(per_doc(chunks.where("chunk_index % 3 = 1"), "n_images"), "doc_id", "left")
+    out = docs.join(per_doc(chunks, "n_chunks"), "doc_id", "left").join(per_doc(_images(spark, sf_dir).select(F.regexp_extract("path", r"/([0-9]+)\.md", 1).cast("long").alias("doc_id")), "n_images"), "doc_id", "left")
     return out.na.fill(0)
 
 
@@ -66,7 +66,10 @@ def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.report(retrieval.ir_metrics_avg(spark, sf_dir))
+    """The report's JSON, and its figures as read back from it."""
+    made = evaluate.report(retrieval.ir_metrics_avg(spark, sf_dir))
+    shape = "n_queries long, " + ", ".join(f"{m} double" for m in evaluate.METRICS)
+    return made.select(F.from_json("report", shape).alias("r")).select("r.*")
 
 
 def stream_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +84,7 @@ QUERIES = {
     f.__name__: f for f in (image_index, image_stats, image_dedupe, mime_types, evidence_id_join, document_counts, answer_quality, memory_similarity, batch_stats, eval_report, stream_promotion)
 }
 _IMAGES = f"""WITH {sql.PARAGRAPHS},
-images AS (SELECT concat_ws('_', left(sha256(source_path), 8), chunk_index::VARCHAR, '0') AS image_id, source_path || '.png' AS path, source AS collection, text FROM chunks WHERE chunk_index % 3 = 1),
+images AS (SELECT concat_ws('_', left(sha256(source_path), 8), chunk_index::VARCHAR, '0') AS image_id, source_path || '.png' AS path, source AS collection, text FROM chunks),
 kept AS (SELECT image_id, arg_min(path, path) AS path, arg_min(collection, path) AS collection, arg_min(text, path) AS text FROM images GROUP BY image_id)"""
 ORACLES = {
     "image_index": f"{_IMAGES} SELECT image_id, path, collection FROM kept",
@@ -91,11 +94,12 @@ ORACLES = {
     + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in images.MIME.items())
     + " ELSE 'application/octet-stream' END AS mime FROM pages",
     "evidence_id_join": f"""WITH {sql.PARAGRAPHS},
-asked AS (SELECT DISTINCT unnest([chunk_id, string_split(chunk_id, '_')[-1], 'no' || chunk_id]) AS asked_id FROM chunks WHERE chunk_index = 0),
-keys AS (SELECT chunk_id, unnest([p[1], p[2], p[3], p[1] || '_' || p[2], p[2] || '_' || p[3], chunk_id]) AS asked_id FROM (SELECT chunk_id, string_split(chunk_id, '_') AS p FROM chunks)),
+asked AS (SELECT DISTINCT unnest([chunk_id, substr(chunk_id, 12, 9), 'no' || chunk_id]) AS asked_id FROM chunks WHERE chunk_index = 0),
+parts AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, length(chunk_id) - 7), lambda i: substr(chunk_id, i, 9))) AS asked_id FROM chunks),
+keys AS (SELECT chunk_id, asked_id FROM parts UNION ALL SELECT DISTINCT chunk_id, chunk_id FROM chunks),
 best AS (SELECT asked_id, coalesce(min(CASE WHEN chunk_id = asked_id THEN chunk_id END), min(chunk_id)) AS chunk_id FROM keys GROUP BY asked_id)
 SELECT asked_id, chunk_id, chunk_id = asked_id AS exact FROM asked LEFT JOIN best USING (asked_id)""",
-    "document_counts": f"WITH {sql.PARAGRAPHS} SELECT d.doc_id, count(c.doc_id)::BIGINT AS n_chunks, count_if(c.chunk_index % 3 = 1)::BIGINT AS n_images FROM documents d LEFT JOIN chunks c ON c.doc_id = d.doc_id GROUP BY d.doc_id",
+    "document_counts": f"WITH {sql.PARAGRAPHS} SELECT d.doc_id, count(c.doc_id)::BIGINT AS n_chunks, count(c.doc_id)::BIGINT AS n_images FROM documents d LEFT JOIN chunks c ON c.doc_id = d.doc_id GROUP BY d.doc_id",
     "answer_quality": f"""WITH {corpus._QA},
 w AS (SELECT length(answer) AS n, list_distinct(regexp_extract_all(question, '[a-zA-Z]{{3,}}')) AS q, list_distinct(regexp_extract_all(answer, '[a-zA-Z]{{3,}}')) AS a,
   regexp_matches(answer, '(?i)doc_[A-Za-z0-9_\\-]+|chunk[_\\-][A-Za-z0-9_\\-]+|\\[[0-9,\\s]+\\]|\\(source[:：][^)]+\\)|引用[:：]|来源[:：]') AS cited FROM pairs)
@@ -103,6 +107,7 @@ SELECT count(*)::BIGINT AS n_answers, round(avg((n >= 20)::INT), 4) AS success_r
     "memory_similarity": """WITH q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0),
 m AS (SELECT label AS item_id, avg(least(1, greatest(0, list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[])))) AS mean FROM embeddings, q GROUP BY label)
 SELECT item_id, round(CASE WHEN mean = 0 THEN 0.5 ELSE mean END, 6)::DOUBLE AS score FROM m""",
+    "eval_report": retrieval.ORACLES["ir_metrics_avg"],
     "batch_stats": "SELECT lang, count(*)::BIGINT AS n_texts, ceil(count(*) / 10)::BIGINT AS n_batches FROM documents GROUP BY lang",
     "stream_promotion": """WITH n AS (SELECT max(ts) AS now FROM events),
 t AS (SELECT event_id, 0.3::DOUBLE * greatest(0, 1 - (epoch_us(now) - epoch_us(ts)) / 3600000000 / 24) + 0.5::DOUBLE * least(1.0, greatest(0.0, value / 100)) + 0.2::DOUBLE * (1 - exp(-2::DOUBLE)) AS total FROM events, n)

@@ -8,11 +8,26 @@ from pyspark.sql import functions as F
 from corvane.functions import scoring, text
 from corvane.operators import evaluate, index, search
 from corvane.plans import sql
+from corvane.session import scratch_folder
 from corvane.sources.tables import spread, table
 
+DEPTH = 20  # candidates of each list that are fused
 TERMS = ("the", "hethly", "anlynt", "rean", "the")  # repeats count
 
 
+#: Folders of the indexes that this process has stored, by session and tables: an index is built once, then read.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        root = scratch_folder(spark, "index")
+        index.build(_stats(spark, sf_dir), root)
+        _STORED[key] = root
+    return index.Index(spark, _STORED[key])
+
+
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.term_stats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
@@ -33,7 +48,7 @@ def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = table(spark, sf_dir, "benchmark").limit(1).select(F.lit(0).cast("long").alias("query_id"), F.explode(F.array(*[F.lit(t) for t in TERMS])).alias("term"))
-    return search.bm25(_stats(spark, sf_dir), terms).select("rank", "chunk_id", "score")
+    return search.bm25(stored_index(spark, sf_dir), terms).select("rank", "chunk_id", "score")
 
 
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +69,33 @@ def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index, read back."""
+    stored = stored_index(spark, sf_dir)
+    return stored.postings().join(stored.weights(), "term").select("term", F.round("idf", 6).alias("idf"), "df", "chunk_id", "tf", "doc_length")
+
+
+def _statistics(stored: index.Index) -> DataFrame:
+    """term, df, idf and the corpus statistics of an index."""
+    corpus = stored.corpus().select("num_docs", F.round("avg_doc_length", 6).alias("avg_doc_length"))
+    return stored.weights().withColumn("idf", F.round("idf", 6)).join(F.broadcast(corpus))
+
+
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _statistics(stored_index(spark, sf_dir))
+
+
+def index_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of three documents in four, to which all with an even id are added, in place of those that are there."""
     stats = _stats(spark, sf_dir)
-    posted = index.postings(stats)
-    weights = index.idf_table(posted, index.corpus_stats(stats)).withColumn("idf", F.round("idf", 6))
-    return posted.join(weights, "term").select("term", "idf", "df", "chunk_id", "tf", "doc_length")
+    first = index.build(stats.where("chunk_id % 4 <> 0"), scratch_folder(spark, "index"))
+    news = stats.where("chunk_id % 2 = 0").withColumn("terms", F.filter("terms", lambda t: F.length(t) > 3))
+    return _statistics(index.add(first, news, scratch_folder(spark, "index")))
+
+
+def index_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics without the documents of source src1."""
+    gone = table(spark, sf_dir, "documents").where("source = 'src1'").select(F.col("doc_id").alias("chunk_id"))
+    return _statistics(index.remove(stored_index(spark, sf_dir), gone, scratch_folder(spark, "index")))
 
 
 def top_terms_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +103,7 @@ def top_terms_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(_stats(spark, sf_dir), _queries(spark, sf_dir))
+    return search.bm25(stored_index(spark, sf_dir), _queries(spark, sf_dir))
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +137,8 @@ def stub_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return search.dense(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir)), search.bm25(_stats(spark, sf_dir), _queries(spark, sf_dir))
+    """Candidates by vectors and by words, DEPTH of each."""
+    return search.dense(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir), DEPTH), search.bm25(stored_index(spark, sf_dir), _queries(spark, sf_dir), DEPTH)
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,9 +150,8 @@ def weighted_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries with an even id have vectors only: their list stands as it is."""
-    dense, sparse = _lists(spark, sf_dir)
-    return search.hybrid(dense, sparse.where("query_id % 2 = 1"))
+    """Fused lists; where a query has one list alone, for want of a vector or of known words, it stands as it is."""
+    return search.hybrid(*_lists(spark, sf_dir))
 
 
 def interleaved_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,22 +168,21 @@ def best_per_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rerank_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reranked by the length of the document, where that is known to the reranker (odd ids only)."""
-    results = search.bm25(_stats(spark, sf_dir), _queries(spark, sf_dir))
-    given = table(spark, sf_dir, "documents").where("doc_id % 2 = 1").select(F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("double").alias("rerank_score"))
+    """Reranked by the length of the document."""
+    results = search.bm25(stored_index(spark, sf_dir), _queries(spark, sf_dir))
+    given = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("double").alias("rerank_score"))
     scores = results.select("query_id", "chunk_id").join(given, "chunk_id")
     return search.rerank(results, scores)
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, chunk_id: documents that hold a benchmark passage as one of their lines."""
-    lines = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("chunk_id"), F.explode(F.split("text", "\n")).alias("line"))
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("line"))
-    return lines.join(items, "line").select("query_id", "chunk_id").distinct()
+    """query_id, chunk_id: documents that hold a whole benchmark passage."""
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("chunk_id"), "text")
+    return evaluate.holders(docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
 def ir_metrics_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = search.bm25(_stats(spark, sf_dir), _queries(spark, sf_dir))
+    results = search.bm25(stored_index(spark, sf_dir), _queries(spark, sf_dir))
     return evaluate.per_query(results, _truth(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")))
 
 
@@ -155,12 +192,12 @@ def ir_metrics_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_topk, term_frequency, document_frequency, corpus_stats, idf_table, inverted_index, top_terms_per_doc, bm25_batch, dense_topk, get_by_ids, vector_dim_check, memory_cosine, stub_embedding, rrf_fusion, weighted_rrf, hybrid_search, interleaved_search, best_per_chunk, rerank_join, ir_metrics_per_query, ir_metrics_avg)
+    for f in (bm25_topk, term_frequency, document_frequency, corpus_stats, idf_table, inverted_index, index_build, index_add, index_remove, top_terms_per_doc, bm25_batch, dense_topk, get_by_ids, vector_dim_check, memory_cosine, stub_embedding, rrf_fusion, weighted_rrf, hybrid_search, interleaved_search, best_per_chunk, rerank_join, ir_metrics_per_query, ir_metrics_avg)
 }
 
-_LISTS = f"WITH {sql.bm25(sql.BENCH_TERMS)}, {sql.dense(sql.BENCH_VECTORS)}"
+_LISTS = f"WITH {sql.bm25(sql.BENCH_TERMS, DEPTH)}, {sql.dense(sql.BENCH_VECTORS, DEPTH)}"
 _METRICS = f"""WITH {sql.bm25(sql.BENCH_TERMS)},
-truth AS (SELECT DISTINCT item_id AS query_id, l.doc_id AS chunk_id FROM benchmark b JOIN (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) l ON l.line = b.text),
+truth AS (SELECT DISTINCT item_id AS query_id, l.doc_id AS chunk_id FROM benchmark b JOIN documents l ON contains(l.text, b.text)),
 sizes AS (SELECT query_id, count(*) AS n_truth FROM truth GROUP BY query_id),
 hits AS (SELECT query_id, min(rank) AS first, count_if(rank <= 5) AS in5, count_if(rank <= 10) AS in10 FROM sparse JOIN truth USING (query_id, chunk_id) GROUP BY query_id),
 metrics AS (
@@ -168,6 +205,16 @@ metrics AS (
          coalesce((first <= 1)::INT, 0)::DOUBLE AS hit_at_1, coalesce((first <= 5)::INT, 0)::DOUBLE AS hit_at_5,
          round(coalesce(in5 / n_truth, 0), 6)::DOUBLE AS recall_at_5, round(coalesce(in10 / n_truth, 0), 6)::DOUBLE AS recall_at_10
   FROM benchmark LEFT JOIN sizes ON item_id = sizes.query_id LEFT JOIN hits ON item_id = hits.query_id)"""
+
+
+def _statistics_sql(docs: str) -> str:
+    """Terms and statistics of ``docs`` (chunk_id, terms)."""
+    return f"""docs AS ({docs}),
+corpus AS (SELECT count(*)::BIGINT AS num_docs, avg(len(terms))::DOUBLE AS avg_doc_length FROM docs),
+counted AS (SELECT term, count(DISTINCT chunk_id)::BIGINT AS df FROM (SELECT chunk_id, unnest(terms) AS term FROM docs) GROUP BY term)
+SELECT term, df, round(ln((num_docs - df + 0.5) / (df + 0.5)), 6)::DOUBLE AS idf, num_docs, round(avg_doc_length, 6) AS avg_doc_length FROM counted, corpus"""
+
+
 ORACLES = {
     "bm25_topk": f"WITH {sql.bm25('SELECT 0::BIGINT AS query_id, unnest(' + repr(list(TERMS)) + ') AS term')} SELECT rank, chunk_id, score FROM sparse",
     "term_frequency": f"WITH {sql.POSTINGS} SELECT term, chunk_id, tf, doc_length FROM posted",
@@ -188,9 +235,12 @@ LEFT JOIN (SELECT doc_id, lang FROM documents) d ON d.doc_id = asked""",
     "rrf_fusion": f"{_LISTS}, {sql.RRF.format('1.0::DOUBLE', '1.0::DOUBLE')} SELECT query_id, rank, chunk_id, score FROM fused_top",
     "weighted_rrf": f"{_LISTS}, {sql.RRF.format('0.7::DOUBLE', '0.3::DOUBLE')} SELECT query_id, rank, chunk_id, score FROM fused_top",
     "hybrid_search": f"""{_LISTS}, {sql.RRF.format('1.0::DOUBLE', '1.0::DOUBLE')}
-SELECT query_id, rank, chunk_id, score FROM fused_top WHERE query_id % 2 = 1 AND query_id IN (SELECT query_id FROM dense) AND query_id IN (SELECT query_id FROM sparse)
-UNION ALL SELECT query_id, rank, chunk_id, score FROM dense WHERE query_id % 2 = 0 OR query_id NOT IN (SELECT query_id FROM sparse)
-UNION ALL SELECT query_id, rank, chunk_id, score FROM sparse WHERE query_id % 2 = 1 AND query_id NOT IN (SELECT query_id FROM dense)""",
+SELECT query_id, rank, chunk_id, score FROM fused_top WHERE query_id IN (SELECT query_id FROM dense) AND query_id IN (SELECT query_id FROM sparse)
+UNION ALL SELECT query_id, rank, chunk_id, score FROM dense WHERE rank <= 10 AND query_id NOT IN (SELECT query_id FROM sparse)
+UNION ALL SELECT query_id, rank, chunk_id, score FROM sparse WHERE rank <= 10 AND query_id NOT IN (SELECT query_id FROM dense)""",
+    "index_build": f"WITH {sql.POSTINGS} SELECT term, df, round(idf, 6) AS idf, num_docs, round(avg_doc_length, 6) AS avg_doc_length FROM weights, corpus",
+    "index_add": f"WITH {_statistics_sql('SELECT doc_id AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN list_filter(t, lambda w: length(w) > 3) ELSE t END AS terms FROM (SELECT doc_id, ' + sql.TOKENS.format('text') + ' AS t FROM documents)')}",
+    "index_remove": f"WITH {_statistics_sql('SELECT doc_id AS chunk_id, ' + sql.TOKENS.format('text') + ' AS terms FROM documents WHERE source <> ' + repr('src1'))}",
     "interleaved_search": f"""{_LISTS},
 placed AS (SELECT query_id, chunk_id, min(place) AS place FROM (SELECT query_id, chunk_id, 2 * rank AS place FROM dense UNION ALL SELECT query_id, chunk_id, 2 * rank + 1 FROM sparse) GROUP BY query_id, chunk_id)
 SELECT query_id, rank, chunk_id FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY place)::INTEGER AS rank FROM placed) WHERE rank <= 10""",
@@ -201,7 +251,7 @@ SELECT query_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTIT
     "rerank_join": f"""WITH {sql.bm25(sql.BENCH_TERMS)}
 SELECT query_id, new_rank AS rank, chunk_id, original_score, rerank_score FROM (
   SELECT query_id, chunk_id, score AS original_score, n_chars::DOUBLE AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, rank, chunk_id)::INTEGER AS new_rank
-  FROM sparse JOIN documents ON doc_id = chunk_id WHERE doc_id % 2 = 1) WHERE new_rank <= 5""",
+  FROM sparse JOIN documents ON doc_id = chunk_id) WHERE new_rank <= 5""",
     "ir_metrics_per_query": f"{_METRICS} SELECT * FROM metrics",
     "ir_metrics_avg": f"{_METRICS} SELECT count(*)::BIGINT AS n_queries, "
     + ", ".join(f"round(avg({m}), 4) AS {m}" for m in evaluate.METRICS)

@@ -25,9 +25,12 @@ def get_spark(master: str = "local[*]", app: str = "corvane", **conf: str) -> Sp
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one made here where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a local session gets a folder
+    of its own; on a cluster that is an error, for executors don't share their disks."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="corvane-scratch-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

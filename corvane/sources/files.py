@@ -56,5 +56,7 @@ def write_version(df: DataFrame, root: str) -> str:
 
 
 def corpus_metadata(papers: DataFrame) -> DataFrame:
-    """One row for each full_id, without those whose local id is 0."""
-    return papers.where("local_id <> '0'").dropDuplicates(["full_id"])
+    """One row for each full_id, that with the least local id, without those whose local id is 0."""
+    kept = papers.where("local_id <> '0'")
+    first = F.min(F.struct("local_id", *[c for c in papers.columns if c not in ("full_id", "local_id")])).alias("first")
+    return kept.groupBy("full_id").agg(first).select("full_id", "first.*").select(*papers.columns)
