@@ -39,6 +39,7 @@ HOT_WORDS = 1 << 19  # so many words at most travel to all tasks,
 HOT_BYTES = 4_096  # none longer than this,
 HOT_TOTAL = 32 << 20  # and no more bytes of them
 LONG_LANES = 64  # longer words are dealt out to so many tasks, each of which encodes them once
+SHORT = 1 << 15  # taken off ids that travel, so that those of a vocabulary of twice as many fit into 16 bits
 FIRST = 1 << 30  # marks the first id of a word in a hole
 BATCH_ROWS = 512
 ENCODE_ROWS = 4_096
@@ -126,17 +127,17 @@ def _encoded(path: str):
 
 
 def _encoded_places(path: str):
-    """Places in order of their word: each word is encoded where it first comes."""
+    """Places in order of their word: each word is encoded where it first comes. Ids come less SHORT."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple[str, list[int]] | None = None
+        last: tuple[str, np.ndarray] | None = None
         for batch in batches:
             if not len(batch):
                 continue
             number, distinct = pd.factorize(batch["word"].to_numpy())
             words = distinct.tolist()
             known = last is not None and words[0] == last[0]
-            ids = ([last[1]] if known else []) + _ids(words[1:] if known else words, path)
+            ids = ([last[1]] if known else []) + [np.array(x, np.int32) - SHORT for x in _ids(words[1:] if known else words, path)]
             last = words[-1], ids[-1]
             yield batch[["n1", "tag"]].reset_index(drop=True).assign(ids=objects([ids[i] for i in number]))
 
@@ -164,7 +165,7 @@ def hot_words(texts: DataFrame, path: str) -> dict[str, np.ndarray]:
             break
         least, words, held = grade, words + n, held + size
     hot = short.where(_grade(F.col("n")) >= least).mapInPandas(_encoded(path), "h1 long, h2 long, n long, ids array<int>")
-    hot = joined_pieces(hot, "ids", ["h1", "h2"], path).toArrow()
+    hot = joined_pieces(hot, "ids", ["h1", "h2", "n"], path).toArrow()
     h1, h2, n = (hot[c].to_numpy() for c in ("h1", "h2", "n"))
     by_rank = np.lexsort((h2, h1, -n))  # rank 0 is the hole
     rank = np.empty(len(n), np.int32)
@@ -339,11 +340,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     sample = rows.where(F.pmod("n1", F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE_ROWS / max(1, n_rows))) + 1)
     broadcast = docs.sparkSession.sparkContext.broadcast(hot_words(sample, path))
     holes = rows.select("n1", "n2", "text").mapInArrow(_holes(path, broadcast), "n1 long, tag long, word string")
+    fits = _tokenizer(path).get_vocab_size(with_added_tokens=True) <= 2 * SHORT
     # a word too long to be hot may stand in most documents
     lane = F.when(F.octet_length("word") > HOT_BYTES, F.pmod("n1", F.lit(LONG_LANES))).otherwise(F.lit(0).cast("long"))
-    places = holes.repartition(F.col("word"), lane).sortWithinPartitions("word").mapInPandas(_encoded_places(path), "n1 long, tag long, ids array<int>")
+    places = holes.repartition(F.col("word"), lane).sortWithinPartitions("word").mapInPandas(_encoded_places(path), f"n1 long, tag long, ids array<{'smallint' if fits else 'int'}>")
     back = places.groupBy("n1", F.col("tag").bitwiseAND(F.lit(LOW)).alias("low")).agg(F.sort_array(F.collect_set(F.struct("tag", "ids"))).alias("s"))
-    mark = lambda s: F.transform(s["ids"], lambda x, i: F.when(i == 0, x.bitwiseOR(F.lit(FIRST))).otherwise(x))
+    mark = lambda s: F.transform(s["ids"], lambda x, i: (x.cast("int") + SHORT).bitwiseOR(F.when(i == 0, FIRST).otherwise(0)))
     back = back.select("n1", "low", F.flatten(F.transform("s", mark)).alias("codes"))
     # stays as it is dealt out, by text: no further exchange
     back = back.select("n1", "low", F.posexplode("codes").alias("at", "code")).withColumn("id", F.col("code").bitwiseAND(F.lit(FIRST - 1)))
@@ -370,19 +372,13 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def joined_pieces(encoded: DataFrame, ids_col: str, keys: list[str], path: str) -> DataFrame:
-    """``encoded`` with ``decoded``, the bytes of the ids in turn, by a join of ids with pieces. ``keys`` name a row; ids
-    that the vocabulary doesn't have, and nulls among them, count for nothing."""
-    spark, own = encoded.sparkSession, [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(keys)]
-    ids = encoded.select(*own, F.posexplode(F.col(f"`{ids_col}`")).alias("at", "id"))
-    named = [f"__{i}" for i in range(len(keys))]
-    pieces = ids.join(F.broadcast(piece_table(spark, path)), "id").groupBy(*named)
+    """``keys``, which name a row of ``encoded``, its ids and ``decoded``, their bytes in turn, by a join of ids with pieces.
+    Ids that the vocabulary doesn't have, and nulls among them, count for nothing; rows that have no others go."""
+    ids = encoded.select(*keys, F.posexplode(F.col(ids_col)).alias("at", "id"))
+    pieces = ids.join(F.broadcast(piece_table(encoded.sparkSession, path)), "id").groupBy(*keys)
+    pieces = pieces.agg(F.sort_array(F.collect_list(F.struct("at", "id", "piece"))).alias("s"))
     # hexadecimal, as arrays join strings only
-    pieces = pieces.agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda x: F.hex(x["piece"])), "")).alias("decoded"))
-    same = None
-    for i, c in enumerate(keys):
-        equal = F.col(f"`{c}`") == F.col(f"__{i}")
-        same = equal if same is None else same & equal
-    return encoded.join(pieces, same, "left").drop(*named)
+    return pieces.select(*keys, F.col("s.id").alias("ids"), F.unhex(F.array_join(F.transform("s", lambda x: F.hex(x["piece"])), "")).alias("decoded"))
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
