@@ -39,3 +39,9 @@ def document_of_chunk(source_ref: Column, document: Column, source_path: Column,
 
 def evidence_ids(text: Column) -> Column:
     return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(EVIDENCE_ID), F.lit(1)), F.regexp_extract_all(text, F.lit(DOCUMENT_ID), F.lit(1))))
+
+
+def normalized(ids: Column, most: int = 12) -> Column:
+    """Different ids that aren't blank, in their first order, ``most`` at most."""
+    kept = F.filter(F.transform(ids, lambda i: F.regexp_replace(i, r"^\s+|\s+\z", "")), lambda i: i != "")
+    return F.slice(F.array_distinct(kept), 1, most)

@@ -58,3 +58,8 @@ def stub_bins(text: Column, size: int = 384) -> Column:
     return F.filter(codes, lambda c: c["v"].isNotNull())
 
 
+def strict_cosine(a: Column, b: Column) -> Column:
+    """Dot product over the shorter vector's length by the norms of both whole vectors; zero for a zero vector."""
+    n = F.greatest(F.lit(0), F.least(F.size(a), F.size(b)))
+    norms = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
+    return F.when((n <= 0) | (norms == 0), 0.0).otherwise(_dot(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n)) / norms)

@@ -263,3 +263,65 @@ def has_citation(text: Column) -> Column:
 def title_case(path: Column) -> Column:
     stem = F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?\z", 1)
     return F.initcap(F.regexp_replace(stem, "[_-]", " "))
+
+
+def document_title(text: Column) -> Column:
+    """The first line in twenty that starts with ``# ``, else the first in ten that isn't blank, else null."""
+    lines = F.split(text, "\n")
+    headings = F.filter(F.slice(lines, 1, 20), lambda line: line.startswith("# "))
+    spoken = F.filter(F.slice(lines, 1, 10), lambda line: strip(line) != "")
+    return F.coalesce(strip(F.substr(F.get(headings, 0), F.lit(3))), strip(F.get(spoken, 0)))
+
+
+# How a page's text shows an image, or says that one was left out.
+MARKDOWN_IMAGE = r"!\[[^\]]*\]\([^)]*\)"
+OMITTED_IMAGE = r"\*\*==> picture [^\n]*? intentionally omitted <==\*\*"
+
+
+def image_total(text: Column, n_images: Column) -> Column:
+    """Images of a page: those it holds or those its text shows and leaves out, whichever are more."""
+    shown = F.regexp_count(text, F.lit(MARKDOWN_IMAGE)) + F.regexp_count(text, F.lit(OMITTED_IMAGE))
+    return F.greatest(n_images, shown)
+
+
+def with_image(text: Column, filename: Column, token: Column) -> Column:
+    """``token`` in place of one image: that with the file's name, else the first of any, else the first left out; with none
+    of these at the end."""
+    literal = lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
+    named = F.concat(F.lit(r"!\[[^\]]*\]\([^)\n]*"), literal(filename), F.lit(r"\)"))
+    safe = F.regexp_replace(token, r"([\\$])", r"\\$1")
+    once = lambda pattern: F.regexp_replace(text, F.concat(F.lit(r"(?s)\A(.*?)"), pattern), F.concat(F.lit("$1"), safe))
+    has = lambda pattern: F.regexp_like(text, pattern)
+    out = F.concat(text, F.lit("\n\n"), token)
+    for pattern in (F.lit(OMITTED_IMAGE), F.lit(MARKDOWN_IMAGE), named):
+        out = F.when(has(pattern), once(pattern)).otherwise(out)
+    return out
+
+
+def enrichment(response: Column) -> dict[str, Column]:
+    """title, summary and tags as a model was asked to give them; without a title Untitled, without a summary the start of
+    the response."""
+    one = lambda pattern: strip(F.regexp_extract(response, pattern, 1))
+    tags = F.transform(F.split(one(r"(?i)Tags:\s*([^\n]+)"), ","), strip)
+    return {
+        "title": F.coalesce(F.nullif(one(r"(?i)Title:\s*([^\n]+)"), F.lit("")), F.lit("Untitled")),
+        "summary": F.coalesce(F.nullif(one(r"(?is)Summary:\s*(.+?)(?:\n(?:Tags:|\z))"), F.lit("")), F.substring(response, 1, 500)),
+        "tags": F.filter(tags, lambda t: t != ""),
+    }
+
+
+def rerank_query(query: Column, expanded: Column, passage: Column) -> Column:
+    """A query with the first of its expansions (an array) and a passage that might answer it, each under its heading."""
+    first = F.nullif(strip(F.get(expanded, 0)), F.lit(""))
+    # The headings.
+    more = F.when(first.isNotNull(), F.concat(F.lit("Expanded query:\n"), first))
+    guess = F.when(F.length(passage) > 0, F.concat(F.lit("Hypothetical evidence passage:\n"), strip(passage)))
+    return F.concat_ws("\n", query, more, guess)
+
+
+def safe_int(value: Column, default: int = 10**9) -> Column:
+    return F.coalesce(value.try_cast("int"), F.lit(default))
+
+
+def stem(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?\z", 1)

@@ -81,6 +81,162 @@ def split_by_size(body: str, size: int, overlap: int, separators: tuple[str, ...
     return [p for p in [*out, current] if p.strip()]
 
 
+# What lines of figures, tables and headings look like.
+IMAGE_LINE = re.compile(r"\[IMAGE:\s*[^\]]+\]\s*\Z")
+PICTURE_START, PICTURE_END = "----- Start of picture text -----", "----- End of picture text -----"
+FIGURE_CAPTION = re.compile(r"(?:Figure|Fig\.)\s*\d+[A-Za-z]?\s*[:.]", re.IGNORECASE)
+TABLE_CAPTION = re.compile(r"Table\s*\d+[A-Za-z]?\s*[:.]", re.IGNORECASE)
+HEADING = re.compile(r"#{1,6}\s+")
+NUMBER = re.compile(r"(\d+(?:\.\d+)*)\b")
+SHORT_HEADING = 120
+LOOK_AHEAD = 4
+
+
+def line_kind(line: str) -> str:
+    """blank, image, heading, separator (of a table), row (of a table), figure or table (captions), or text."""
+    s = line.strip()
+    if not s:
+        return "blank"
+    if "|" in s and ("---" in s or not s.strip("|")):
+        return "separator"
+    for kind, pattern in (("image", IMAGE_LINE), ("heading", HEADING), ("figure", FIGURE_CAPTION), ("table", TABLE_CAPTION)):
+        if pattern.match(s):
+            return kind
+    return "row" if s.count("|") >= 2 else "text"
+
+
+def protected_blocks(body: str) -> list[tuple[str, str]]:
+    """(kind, text) of a section in order; kind is normal, image or table.
+
+    An image block is image lines, blank ones, text read from a picture, and a caption up to its blank line. A table
+    starts with a row that a separator follows within LOOK_AHEAD lines, and takes a caption behind it along.
+    """
+    lines = body.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    kinds = [line_kind(line) for line in lines]
+    pipes = [line.count("|") >= 2 for line in lines]
+
+    def opens_table(at: int) -> bool:
+        if at >= len(lines) or not pipes[at]:
+            return False
+        ahead = [k for k in range(at + 1, min(at + 1 + LOOK_AHEAD, len(lines))) if kinds[k] != "blank"]
+        for k in ahead:
+            if kinds[k] == "separator":
+                return True
+            if not pipes[k]:
+                return False
+        return False
+
+    def caption_end(at: int, stops: set[str]) -> int:
+        """Where a caption that starts at ``at`` is over: behind its blank line, or before what stops it."""
+        at += 1
+        while at < len(lines) and kinds[at] not in stops and not opens_table(at):
+            at += 1
+            if kinds[at - 1] == "blank":
+                break
+        return at
+
+    def image_end(at: int) -> int:
+        while at < len(lines):
+            if PICTURE_START in lines[at]:
+                at = next((k + 1 for k in range(at + 1, len(lines)) if PICTURE_END in lines[k]), len(lines))
+            elif kinds[at] == "figure":
+                return caption_end(at, {"heading"})
+            elif kinds[at] in ("image", "blank"):
+                at += 1
+            else:
+                break
+        return at
+
+    def table_end(at: int) -> int:
+        while at < len(lines) and (pipes[at] or kinds[at] == "blank"):
+            at += 1
+        return caption_end(at, {"heading", "image"}) if at < len(lines) and kinds[at] == "table" else at
+
+    out: list[tuple[str, str]] = []
+    start = at = 0
+    while at <= len(lines):
+        end, kind = at, ""
+        if at < len(lines) and kinds[at] == "image":
+            end, kind = image_end(at), "image"
+        elif opens_table(at):
+            end, kind = table_end(at), "table"
+        if kind or at == len(lines):
+            if normal := "\n".join(lines[start:at]).strip():
+                out.append(("normal", normal))
+            if kind:
+                out.append((kind, "\n".join(lines[at:end]).strip()))
+            start = end
+        at = max(at + 1, end)
+    return out
+
+
+def heading_number(line: str) -> str | None:
+    """The section number of a heading, as 4.2 of ``## **4.2 Setup**``."""
+    found = NUMBER.match(re.sub(r"[*_]", "", HEADING.sub("", line.strip(), count=1)).strip())
+    return found[1] if found else None
+
+
+def merged_headings(chunks: list[str]) -> list[str]:
+    """Chunks in which a short one of headings alone is joined with the next: with text, or with a section below its own.
+
+    A title of the whole document stays alone, and a chunk that has taken another along takes no more.
+    """
+    out: list[str] = []
+    waiting: str | None = None
+    for chunk in (c.strip() for c in chunks if c.strip()):
+        first = chunk.split("\n", 1)[0]
+        if waiting is not None:
+            head = waiting.split("\n", 1)[0]
+            above, below = heading_number(head), heading_number(first)
+            if not HEADING.match(first) or (above and below and below.startswith(above + ".")):
+                out.append(f"{waiting}\n\n{chunk}")
+                waiting = None
+                continue
+            out.append(waiting)
+        headings = all(HEADING.match(line.strip()) for line in chunk.split("\n") if line.strip())
+        waiting = chunk if headings and len(chunk) <= SHORT_HEADING and not re.match(r"#\s", first) else None
+        if waiting is None:
+            out.append(chunk)
+    return out + ([waiting] if waiting is not None else [])
+
+
+def section_pieces(sections: list[str], size: int = 1500, overlap: int = 200) -> list[str]:
+    """The chunks of a document's sections: no chunk reaches over a heading, and figures and tables stay whole where they fit."""
+    out: list[str] = []
+    for section in sections:
+        for kind, block in protected_blocks(section):
+            out += split_by_size(block, size, overlap) if kind == "normal" else [block] if len(block) <= size else split_by_size(block, size, 0)
+    cleaned = (re.sub(r"[ \t]{2,}", " ", re.sub(r"\n{3,}", "\n\n", re.sub(r"^[\s.,;:!?，。；：！？]+", "", c.strip()))) for c in out)
+    return merged_headings([c for c in cleaned if c])
+
+
+def split_documents(docs: DataFrame, size: int = 1500, overlap: int = 200, include_references: bool = False, include_appendix: bool = False) -> DataFrame:
+    """doc_id, chunk_index, text: documents by headings, without regions that are left out, then by blocks and size.
+
+    Sections are gathered for each document, which is what a chunk may not exceed anyway. A document without chunks has
+    no rows.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be smaller than the size")
+    kept = region_kept(sections(docs.select("doc_id", "text")), include_references, include_appendix)
+    gathered = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_index", "text"))).alias("s")).select("doc_id", F.col("s.text").alias("sections"))
+
+    def run(found: pd.Series) -> pd.Series:
+        return pd.Series([section_pieces(list(s), size, overlap) for s in found], dtype=object)
+
+    return gathered.select("doc_id", F.posexplode(F.pandas_udf(run, "array<string>")("sections")).alias("chunk_index", "text"))
+
+
+def chunk_records(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Chunks (doc_id, chunk_index, text) as they are stored: with their document's metadata but for its images, of which they
+    have those that they refer to, in the order of the references, and the page of the first."""
+    met = chunks.join(docs.drop("text"), "doc_id").withColumn("image_refs", text.image_refs(F.col("text")))
+    of = lambda ref: F.get(F.filter("images", lambda i: i["id"] == ref), 0)
+    own = F.filter(F.transform(F.array_distinct("image_refs"), of), lambda i: i.isNotNull())
+    met = met.withColumn("own", own).drop("images").withColumnRenamed("own", "images")
+    return met.withColumn("page_num", F.get("images", 0)["page"]).withColumn("source_ref", F.col("doc_id").cast("string"))
+
+
 _BLOCK = re.compile(r"(?:^[^\n]*\|[^\n]*\|[^\n]*(?:\n|\Z))+|(?:^\[IMAGE:[^\n]*(?:\n|\Z))+", re.MULTILINE)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,9 +81,20 @@ def statistics(chunks: DataFrame) -> DataFrame:
     )
 
 
-def structural(chunks: DataFrame, has_table: bool | None = None, has_image: bool | None = None, exclude_references: bool = False, exclude_appendix: bool = False, title: str | None = None) -> DataFrame:
-    """Chunks by what they hold; conditions that are not given don't filter."""
+def _holds(part: str) -> Callable[[Column], Column]:
+    return lambda tag: F.lower(tag).contains(part)
+
+
+def structural(chunks: DataFrame, has_table: bool | None = None, has_image: bool | None = None, exclude_references: bool = False, exclude_appendix: bool = False, title: str | None = None, doc_id: str | None = None, source_path: str | None = None, tags: Sequence[str] = ()) -> DataFrame:
+    """Chunks by what they hold; conditions that are not given don't filter. ``doc_id`` is a part of the chunk's id or of
+    its source_ref; path, title and tags match in part and in any case."""
     keep: Column = F.lit(True)
+    if doc_id:
+        keep = keep & (F.col("source_ref").contains(doc_id) | F.col("chunk_id").cast("string").contains(doc_id))
+    if source_path:
+        keep = keep & F.lower("source_path").contains(source_path.lower())
+    for tag in tags:
+        keep = keep & F.exists("tags", _holds(tag.lower()))
     body, heading = F.col("text"), F.coalesce("heading", F.lit(""))
     if has_table is not None:
         keep = keep & (text.has_table(body) == has_table)
@@ -94,3 +107,27 @@ def structural(chunks: DataFrame, has_table: bool | None = None, has_image: bool
     if title:
         keep = keep & F.lower(heading).contains(title.lower())
     return chunks.where(keep)
+
+
+def resolve(docs: DataFrame, asked: DataFrame, fields: Sequence[str] = ("doc_id", "source_ref", "source_path", "doc_hash")) -> DataFrame:
+    """asked_id, doc_id, how for each of ``asked`` (asked_id): the document with that source_ref (exact), else the one of
+    which a field contains it (partial); several are ambiguous and none is missing, both without a document."""
+    from corvane.operators import evidence
+
+    exact = asked.select("asked_id").distinct().join(docs.groupBy(F.col("source_ref").alias("asked_id")).agg(F.min("doc_id").alias("exact_id")), "asked_id", "left")
+    named = docs.select("doc_id", F.explode(F.array_distinct(F.array(*[F.col(c).cast("string") for c in fields]))).alias("chunk_id")).where("chunk_id is not null")
+    met = evidence.containing(exact.where("exact_id is null").select("asked_id"), named.select("chunk_id")).join(named, "chunk_id").groupBy("asked_id")
+    met = met.agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("part_id"))
+    out = exact.join(met, "asked_id", "left")
+    how = F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("n") == 1, "partial").when(F.col("n") > 1, "ambiguous").otherwise("missing")
+    return out.select("asked_id", F.coalesce("exact_id", F.when(F.col("n") == 1, F.col("part_id"))).alias("doc_id"), how.alias("how"))
+
+
+def detail(ledger: DataFrame, chunks: DataFrame, images: DataFrame) -> DataFrame:
+    """A row for each ledger entry with the ids of its document's chunks (file_hash, chunk_index, chunk_id) and images
+    (file_hash, image_id), in order."""
+    of_chunks = chunks.groupBy("file_hash").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id"))).alias("s")).select("file_hash", F.col("s.chunk_id").alias("chunk_ids"))
+    of_images = images.groupBy("file_hash").agg(F.array_sort(F.collect_set("image_id")).alias("image_ids"))
+    none = F.array().cast("array<string>")
+    met = ledger.join(of_chunks, "file_hash", "left").join(of_images, "file_hash", "left")
+    return met.withColumns({c: F.coalesce(c, none) for c in ("chunk_ids", "image_ids")})

@@ -81,17 +81,65 @@ def consistent(evaluations: DataFrame) -> DataFrame:
 GRAM = 6
 
 
-def resolve_ids(asked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """asked_id, chunk_id, exact for each id in ``asked`` (asked_id): the chunk with that id, else the first whose id
-    contains it, else null.
+def containing(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """asked_id, chunk_id: all ids of ``chunks`` that contain an asked one.
 
     Ids meet in the first GRAM characters of the asked one (all, if it is shorter), which a chunk's id has somewhere.
     """
-    wanted = asked.select("asked_id").distinct().where(F.length("asked_id") > 0)
-    keyed = wanted.select("asked_id", F.least(F.lit(GRAM), F.length("asked_id")).alias("n")).withColumn("gram", F.substring("asked_id", 1, GRAM))
+    keyed = asked.select("asked_id").distinct().where(F.length("asked_id") > 0)
+    keyed = keyed.select("asked_id", F.least(F.lit(GRAM), F.length("asked_id")).alias("n"), F.substring("asked_id", 1, GRAM).alias("gram"))
     sizes = [r[0] for r in keyed.select("n").distinct().collect()] or [GRAM]  # GRAM numbers at most
     ids = chunks.select("chunk_id").distinct().select("chunk_id", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n")).where(F.length("chunk_id") >= F.col("n"))
     grams = F.transform(F.sequence(F.lit(1), F.length("chunk_id") - F.col("n") + 1), lambda i: F.substr(F.col("chunk_id"), i, F.col("n")))
-    met = ids.select("chunk_id", "n", F.explode(F.array_distinct(grams)).alias("gram")).join(keyed, ["n", "gram"]).where(F.contains("chunk_id", "asked_id"))
+    met = ids.select("chunk_id", "n", F.explode(F.array_distinct(grams)).alias("gram")).join(keyed, ["n", "gram"])
+    return met.where(F.contains("chunk_id", "asked_id")).select("asked_id", "chunk_id")
+
+
+def resolve_ids(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """asked_id, chunk_id, exact for each id in ``asked`` (asked_id): the chunk with that id, else the first whose id
+    contains it, else null."""
+    met = containing(asked, chunks)
     best = met.groupBy("asked_id").agg(F.min(F.struct((F.col("chunk_id") != F.col("asked_id")).alias("partial"), "chunk_id")).alias("best"))
     return asked.select("asked_id").distinct().join(best, "asked_id", "left").select("asked_id", "best.chunk_id", (~F.col("best.partial")).alias("exact"))
+
+
+def stalls(steps: DataFrame, least: int = 1) -> DataFrame:
+    """``novelty`` with the number of steps up to each that bring nothing new, and whether ``least`` such stall the session."""
+    found = novelty(steps).where("step is not null")
+    session = Window.partitionBy("session").orderBy("step")
+    group = F.sum((F.col("n_new") > 0).cast("int")).over(session)
+    dry = F.count_if(F.col("n_new") == 0).over(Window.partitionBy("session", "group").orderBy("step"))
+    return found.withColumn("group", group).withColumn("dry", dry).select("session", "step", "n_ids", "n_new", "dry", (F.col("dry") >= least).alias("stalled"))
+
+
+def quick_rule(summaries: DataFrame, n: int = 3) -> DataFrame:
+    """session, status, score, passed, issues: sessions whose logs (session, position, line) have ``n`` errors in a row fail at
+    once; all others are still to be judged."""
+    streaks = error_streaks(summaries, n)
+    hard = F.col("streak")
+    return streaks.select("session", F.when(hard, "hard_fail").otherwise("ok").alias("status"), F.when(hard, 0.0).alias("score"), F.when(hard, False).alias("passed"), F.when(hard, F.concat(F.lit(f"{n} calls in a row failed, of "), F.col("longest").cast("string"))).alias("issues"))
+
+
+def observation(evaluations: DataFrame, most: int = 200) -> DataFrame:
+    """An evaluation (status, passed, score, require_more_tools, issues array) as one short line."""
+    from corvane.functions import text
+
+    issues = F.array_join(F.filter("issues", lambda i: i != ""), "; ")
+    parts = F.concat_ws("; ", F.concat(F.lit("status="), "status"), F.when(~F.col("passed"), "passed=False"), F.concat(F.lit("score="), F.format_number("score", 2)), F.when(F.col("require_more_tools"), "require_more_tools=True"), F.when(issues != "", F.concat(F.lit("issues: "), issues)))
+    return evaluations.withColumn("observation", text.bounded(parts, most))
+
+
+def normalised(results: DataFrame) -> DataFrame:
+    """result_id, position, chunk_id, source, text_snippet: the evidence of tool results (result_id, text, source, citations).
+
+    Citations with a body count, the snippet before the text before the body; a result that has no citations at all is one
+    piece of evidence itself, if it has text.
+    """
+    from corvane.functions import text
+
+    body = lambda c: F.coalesce(*[F.nullif(text.strip(c[k]), F.lit("")) for k in ("text_snippet", "text", "body")])
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    cited = F.transform("citations", lambda c: F.struct(blank(c["chunk_id"]).alias("chunk_id"), F.coalesce(F.nullif(c["source"], F.lit("")), c["doc_id"], F.lit("")).alias("source"), body(c).alias("text_snippet")))
+    own = F.array(F.struct(F.lit("").alias("chunk_id"), blank(F.col("source")).alias("source"), F.nullif(text.strip(F.col("text")), F.lit("")).alias("text_snippet")))
+    pieces = F.filter(F.when(F.size("citations") > 0, cited).otherwise(own), lambda c: c["text_snippet"].isNotNull())
+    return results.select("result_id", F.posexplode(pieces).alias("position", "c")).select("result_id", "position", "c.*")

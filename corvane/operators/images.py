@@ -34,3 +34,16 @@ def mime_of(path: Column, default: str = "image/png") -> Column:
     for name, mime in MIME.items():
         out = F.when(suffix == name, mime).otherwise(out)
     return out
+
+
+# How files of a type begin, in hexadecimal.
+MAGIC = {"89504E470D0A1A0A": "image/png", "FFD8FF": "image/jpeg", "47494638": "image/gif", "424D": "image/bmp"}
+
+
+def mime_of_content(content: Column, path: Column, default: str = "image/png") -> Column:
+    """The type by suffix, else by the first bytes, else ``default``."""
+    head = F.hex(F.substring(content, 1, 12))
+    by_bytes = F.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image/webp").otherwise(default)
+    for start, mime in MAGIC.items():
+        by_bytes = F.when(head.startswith(start), mime).otherwise(by_bytes)
+    return F.coalesce(F.nullif(mime_of(path, ""), F.lit("")), by_bytes)

@@ -33,8 +33,20 @@ def mark(ledger: DataFrame, news: DataFrame, at: Column) -> DataFrame:
 
 
 def successes(ledger: DataFrame, collection: str | None = None) -> DataFrame:
+    """Files ingested with success, the first processed first."""
     kept = ledger.where("status = 'success'")
-    return kept.where(F.col("collection") == collection) if collection else kept
+    return (kept.where(F.col("collection") == collection) if collection else kept).orderBy("processed_at", "file_path")
+
+
+def forget(ledger: DataFrame, gone: DataFrame) -> DataFrame:
+    """The ledger without the files in ``gone`` (file_hash)."""
+    return ledger.join(gone.select("file_hash").distinct(), "file_hash", "left_anti")
+
+
+def delete_where(store: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
+    """What is left of a store without the rows that meet a condition, and how many these were; a null keeps its row."""
+    hit = F.coalesce(condition, F.lit(False))
+    return store.where(~hit), store.where(hit).agg(F.count(F.lit(1)).alias("n_deleted"))
 
 
 def cascade_delete(stores: dict[str, tuple[DataFrame, str]], gone: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:

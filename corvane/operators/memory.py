@@ -65,3 +65,67 @@ def similarity(bodies: DataFrame, query: Column) -> DataFrame:
     one = F.least(F.lit(1.0), F.greatest(F.lit(0.0), scoring.cosine(F.col("embedding"), query)))
     mean = bodies.where(F.size("embedding") > 0).groupBy("item_id").agg(F.avg(one).alias("mean"))
     return mean.select("item_id", F.round(F.when(F.col("mean") == 0, 0.5).otherwise(F.col("mean")), 6).alias("score"))
+
+
+def without(items: DataFrame, gone: DataFrame, key: str = "event_id") -> DataFrame:
+    """A buffer without the items in ``gone``."""
+    return items.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def promotion_stores(items: DataFrame, as_of: Column, threshold: float = PASS) -> DataFrame:
+    """``items`` as they stand after a promotion: promoted ones in the long-term and the episodic store, all others in the
+    buffer (``store``)."""
+    judged = promoted(items, as_of, threshold)
+    stores = F.when(F.col("promoted"), F.array(F.lit("long_term"), F.lit("episodic"))).otherwise(F.array(F.lit("short_term")))
+    return judged.withColumn("store", F.explode(stores))
+
+
+def recall(short: DataFrame, long: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
+    """query_id, rank, store, item_id, similarity: the best k of both stores for each of ``queries`` (query_id, embedding).
+
+    An item of ``short`` (item_id, embedding, score) may have several rows, one a body: its best cosine counts, or its stored
+    score where no body has a vector. ``long`` has item_id and embedding. Queries are few and sent to all tasks; more than
+    10,000 are an error.
+    """
+    if queries.limit(10_001).count() > 10_000:
+        raise ValueError("recall takes 10,000 queries at a time")
+    asks = F.broadcast(queries.select("query_id", F.col("embedding").alias("ask")))
+    near = F.greatest(F.lit(0.0), scoring.cosine(F.col("embedding"), F.col("ask")))
+    own = short.join(asks).groupBy("query_id", "item_id").agg(F.coalesce(F.max(F.when(F.size("embedding") > 0, near)), F.max("score")).alias("similarity"))
+    others = long.join(asks).select("query_id", "item_id", near.alias("similarity"))
+    both = own.withColumn("store", F.lit("short")).unionByName(others.withColumn("store", F.lit("long")))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "store", "item_id")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "store", "item_id", F.round("similarity", 6).alias("similarity"))
+
+
+def episodic(events: DataFrame, vectors: DataFrame, queries: DataFrame, as_of: Column, days: int = 7, k: int = 2) -> DataFrame:
+    """session_id, rank, event_id, similarity, text: the k events of a session in the last days that are nearest to its query.
+
+    ``vectors`` (event_id, embedding) and ``events`` (session_id, event_id, ts, text) are two stores; an event has to be in
+    both. ``queries`` has session_id and embedding.
+    """
+    near = recent(events, as_of, days).select("session_id", "event_id").join(vectors, "event_id")
+    asked = near.join(queries.select("session_id", F.col("embedding").alias("ask")), "session_id")
+    asked = asked.withColumn("similarity", scoring.cosine(F.col("embedding"), F.col("ask")))
+    order = Window.partitionBy("session_id").orderBy(F.desc(F.round("similarity", 9)), "event_id")
+    best = asked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("session_id", "rank", "event_id", F.round("similarity", 6).alias("similarity")).join(events.select("event_id", "text"), "event_id")
+
+
+def assembled(parts: list[tuple[str, Column]]) -> Column:
+    """Sections of a context under their headings; those without a body are left out."""
+    return F.concat_ws("\n\n", *[F.when(F.length(body) > 0, F.concat(F.lit(f"## {name}\n"), body)) for name, body in parts])
+
+
+def context_items(items: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
+    """query_id, rank, item_id: for each query (query_id, embedding) the k nearest items (item_id, at, embedding); a query
+    without a vector has the newest ones, and with k below 1 there are none."""
+    from corvane.operators import search
+
+    if k < 1:
+        return queries.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id")).limit(0)
+    near = search.dense(items.select(F.col("item_id").alias("chunk_id"), "embedding"), queries.where("embedding is not null"), k).select("query_id", "rank", F.col("chunk_id").alias("item_id"))
+    newest_items = items.orderBy(F.desc("at"), F.desc("item_id")).limit(k).select("item_id", "at")
+    order = Window.orderBy(F.desc("at"), F.desc("item_id"))  # k rows
+    last = newest_items.select(F.row_number().over(order).alias("rank"), "item_id")
+    return near.unionByName(queries.where("embedding is null").select("query_id").join(F.broadcast(last)))
