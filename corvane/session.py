@@ -50,3 +50,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that ``staged`` has written and that no later step reads."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if not files:
+        return
+    folder = files[0].rsplit("/", 1)[0]
+    if "/corvane/" not in folder:
+        raise ValueError(f"{folder} is no staged table")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

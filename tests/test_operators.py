@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from hypothesis import given, settings
@@ -375,3 +376,15 @@ def test_no_shared_folder_on_a_cluster_is_an_error():
     cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.scratch_root(cluster)
+
+
+def test_discarded_tables_are_gone(spark, tmp_path):
+    from corvane import session
+
+    df = session.staged(spark.range(10), "numbers")
+    files = df.inputFiles()
+    session.discard(df)
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    spark.range(3).write.parquet(str(tmp_path / "own"))
+    with pytest.raises(ValueError):
+        session.discard(spark.read.parquet(str(tmp_path / "own")))
