@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import staged
+from corvane.session import discard, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and label, the smallest node of its component, for every node of ``edges`` (a, b: longs) that has an edge.
 
     Edges may repeat and run either way; loops count for nothing. No group is gathered: a step takes the
-    minimum of each node's neighbours and hands it to them by a join. Each round is written to shared storage.
+    minimum of each node's neighbours and hands it to them by a join. Each round is written to shared storage, and the one
+    before it removed.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct()
     pairs = staged(pairs, "edges")
@@ -24,8 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("m").alias("low"))
         met = large.join(least, "v")
         small = met.where("m <> low").select(F.col("m").alias("v"), F.col("low").alias("m")).union(least.select("v", F.col("low").alias("m")))
-        pairs = staged(small.distinct(), "edges")
+        before, pairs = pairs, staged(small.distinct(), "edges")
         now = _sum(pairs)
+        discard(before)
         if now == seen:
             break
         seen = now
