@@ -19,6 +19,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,7 @@ SHORT = 1 << 15  # taken off ids that travel, so that those of a vocabulary of t
 FIRST = 1 << 30  # marks the first id of a word in a hole
 BATCH_ROWS = 512
 ENCODE_ROWS = 4_096
+KNOWN = 1 << 18  # words that a task remembers
 LOW = 0xFFFFFFFF
 
 # The pattern of the vocabulary's words, and the same for texts whose letters are all in LETTERS.
@@ -208,36 +210,54 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, BATCH_ROWS)
 
 
-def _ranks(texts: list[str], path: str, hot: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Words per text, rank of every word in turn, the distinct words, and each word's number among them."""
-    numbers: defaultdict[str, int] = defaultdict()
-    numbers.default_factory = numbers.__len__  # a new word takes the next number
-    codes: list[int] = []
-    counts = []
-    for text in texts:
-        words = split_words(text, path)
-        counts.append(len(words))
-        codes += map(numbers.__getitem__, words)
-    distinct, code = list(numbers), np.array(codes, np.int64)
-    if not distinct or not len(hot["h1"]):
-        return np.array(counts, np.int64), np.zeros(len(code), np.int32), distinct, code
-    hashes = _word_hash(distinct)
-    at = np.minimum(np.searchsorted(hot["h1"], hashes[:, 0]), len(hot["h1"]) - 1)
-    known = (hot["h1"][at] == hashes[:, 0]) & (hot["h2"][at] == hashes[:, 1])
-    return np.array(counts, np.int64), np.where(known, hot["rank"][at], 0)[code], distinct, code
+class WordRanks:
+    """The words that a task has met, each hashed and looked up once; they are forgotten when they are more than KNOWN."""
+
+    def __init__(self, path: str, hot: dict[str, np.ndarray]) -> None:
+        self.path, self.hot = path, hot
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: list[str] = []  # by number
+        self.numbers: defaultdict[str, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__  # a new word takes the next number
+        self.ranks = np.zeros(0, np.int32)  # by number; 0 for words that aren't hot
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words per text, and in turn each word's number in ``words`` and its rank."""
+        if len(self.words) > KNOWN:
+            self.forget()
+        codes: list[int] = []
+        counts = []
+        for text in texts:
+            words = split_words(text, self.path)
+            counts.append(len(words))
+            codes += map(self.numbers.__getitem__, words)
+        fresh = list(islice(self.numbers, len(self.words), None))
+        self.words += fresh
+        ranks = np.zeros(len(fresh), np.int32)
+        if fresh and len(self.hot["h1"]):
+            hashes = _word_hash(fresh)
+            at = np.minimum(np.searchsorted(self.hot["h1"], hashes[:, 0]), len(self.hot["h1"]) - 1)
+            known = (self.hot["h1"][at] == hashes[:, 0]) & (self.hot["h2"][at] == hashes[:, 1])
+            ranks = np.where(known, self.hot["rank"][at], 0)
+        self.ranks = np.concatenate([self.ranks, ranks])
+        code = np.array(codes, np.int64)
+        return np.array(counts, np.int64), code, self.ranks[code]
 
 
 def _holes(path: str, broadcast):
     """Every word that isn't hot, with 96 bits of its text's name (n1, low half of tag) and its place (high half)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordRanks(path, broadcast.value)
         for part in _slices(batches):
-            counts, ranks, distinct, code = _ranks(part.column("text").to_pylist(), path, broadcast.value)
+            counts, code, ranks = known.of(part.column("text").to_pylist())
             hole = np.flatnonzero(ranks == 0)
             row = np.repeat(np.arange(len(counts)), counts)[hole]
             place = hole - (np.cumsum(counts) - counts)[row]
             n1, n2 = (part.column(c).to_numpy()[row] for c in ("n1", "n2"))
-            words = pa.array([distinct[c] for c in code[hole]], pa.string())
+            words = pa.array([known.words[c] for c in code[hole]], pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(n1), pa.array((place << 32) | (n2 & LOW)), words], ["n1", "tag", "word"])
 
     return run
@@ -270,9 +290,9 @@ def _packed(path: str, broadcast):
     """Each text as its words' packed ranks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress = zstandard.ZstdCompressor(level=3).compress
+        compress, known = zstandard.ZstdCompressor(level=3).compress, WordRanks(path, broadcast.value)
         for part in _slices(batches):
-            counts, ranks, _, _ = _ranks(part.column("text").to_pylist(), path, broadcast.value)
+            counts, _, ranks = known.of(part.column("text").to_pylist())
             raw, sizes = pack(ranks)
             ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
             packed = pa.array([compress(raw[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
