@@ -146,7 +146,8 @@ def near_pairs(prints: DataFrame) -> DataFrame:
     # a pair shares keys in several families; only its first counts
     first = (F.shiftright("key", FAMILY_SHIFT) == family) & (F.col("near").bitwiseAND(needed) == needed)
     close = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= MAX_DISTANCE)
-    return left.join(right, (F.col("key") == F.col("r_key")) & close & first).select("a", "b").distinct()
+    # each fingerprint has some 200 keys, which estimates of size don't know: no side is ever to be broadcast
+    return left.hint("merge").join(right.hint("merge"), (F.col("key") == F.col("r_key")) & close & first).select("a", "b").distinct()
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
