@@ -209,6 +209,8 @@ raw AS (SELECT doc_id, position, ' ,; ' || piece || repeat(chr(10), 4) || ' ' ||
 SELECT doc_id, position::INTEGER AS position, regexp_replace(regexp_replace(regexp_replace({sql.STRIP.format("t")}, '^[\s.,;:!?，。；：！？]+', ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g') AS chunk FROM raw""",
     "rule_refine": "WITH dirty AS (SELECT doc_id, '──────────── Page 3 ────────────' || chr(10) || '<b>' || text || '</b><br/>&amp;&nbsp;end <!-- note' || chr(10) || ' -->  ' || repeat(chr(10), 4) || '──────────' AS t FROM documents), "
     f"refined AS (SELECT doc_id, {_refined('t')} AS t FROM dirty) SELECT doc_id, sha256(t) AS refined_sha, length(t)::INTEGER AS n_chars FROM refined",
+    # no document has a fence of its own; the block's place is marked while the rest is refined
+    "fenced_refine": f"WITH marked AS (SELECT doc_id, '<i>a</i>   b' || chr(10) || chr(30) || chr(10) || text || '<br>   c' AS body FROM documents), refined AS (SELECT doc_id, replace({_refined('body')}, chr(30), '```' || chr(10) || '<keep>   this</keep>' || chr(10) || '```') AS t FROM marked) SELECT doc_id, sha256(t) AS refined_sha, length(t)::INTEGER AS n_chars FROM refined",
     "html_refine_pages": f"WITH refined AS (SELECT page_id, {_refined('html')} AS t FROM pages) SELECT page_id, sha256(t) AS refined_sha, length(t)::INTEGER AS n_chars FROM refined",
     "rule_title": f"SELECT doc_id, {TITLE} AS title FROM documents",
     "rule_summary": rf"""
