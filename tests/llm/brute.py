@@ -55,5 +55,19 @@ def base_spans(text):
     return sorted(spans)
 
 
+def targets(size):
+    """Words to take of each source, by its words."""
+    order = [*sorted(s for s in size if s is not None), *(s for s in size if s is None)]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    out, free = {}, set(order)
+    while free:
+        rest, total = 1.5 * sum(size.values()) - sum(out.values()), sum(weight[s] for s in free)
+        share = {s: rest * weight[s] / total for s in free}
+        over = {s for s in free if share[s] > 2 * size[s]}
+        out |= {s: 2.0 * size[s] for s in over} if over else share
+        free = free - over if over else set()
+    return out
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()

@@ -277,16 +277,8 @@ def test_equal_ids_and_rows_are_cut_alike_each_time(spark, monkeypatch):
 def test_sources_may_be_many(spark):
     rows = [(i, "w " * (i % 9 + 1), f"host{i:05}" if i else None) for i in range(3000)]
     got = {r["source"]: r["target"] for r in mixing.mix(docs(spark, rows)).collect()}
-    order = [*sorted(s for s in got if s), None]
-    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
-    size = {s: len(t.split()) for _, t, s in rows}
-    free, target = set(order), {}
-    while free:
-        rest, total = 1.5 * sum(size.values()) - sum(target.values()), sum(weight[x] for x in free)
-        over = {s for s in free if rest * weight[s] / total > 2 * size[s]}
-        target |= {s: 2.0 * size[s] for s in over} if over else {s: rest * weight[s] / total for s in free}
-        free = free - over if over else set()
-    assert all(got[s] == pytest.approx(target[s]) for s in order)
+    target = brute.targets({s: len(t.split()) for _, t, s in rows})
+    assert all(got[s] == pytest.approx(target[s]) for s in got)
 
 
 def test_url_filter(spark):

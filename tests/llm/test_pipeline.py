@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -40,6 +41,14 @@ def test_stages_take_effect(spark, tmp_path):
     for i in sorted(prints):
         firsts.setdefault(root[prints[i]], i)
     assert ids["simhash near-dedup"] == set(firsts.values())
+    size, mixed = Counter(), Counter()
+    for r in seen["simhash near-dedup"]:
+        size[r["source"]] += len(brute.WORD.findall(r["text"]))
+    whole = {(r["doc_id"], r["text"]) for r in seen["simhash near-dedup"]}
+    for r in seen["source mixing"]:
+        mixed[r["source"]] += len(brute.WORD.findall(r["text"]))
+        assert any(r["doc_id"] == i and t.startswith(r["text"]) for i, t in whole)
+    assert mixed == {s: math.floor(t + 1e-9) for s, t in brute.targets(size).items()}
     tokenizer = bpe._tokenizer(bpe.vocabulary_path())
     want = Counter((r["doc_id"], len(tokenizer.encode(r["text"], add_special_tokens=False).ids), brute.sha(r["text"])) for r in seen["source mixing"])
     assert Counter((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in seen["bpe encoding"]) == want
