@@ -34,8 +34,10 @@ CELLS = 8  # ranges of equal width in half a window, by which lists are cut
 SEED = 20240101
 BLOCK = 1024  # places of a list that are compared with each other at a time
 HOME_BYTES = 1 << 20  # vectors that are verified against each other at a time
+PART_ROWS = 50_000  # candidates between two homes that are verified in one place
 MOST_LISTS = 1 << 17
 PAIRS = 1024  # simulated pairs for calibration
+PLACE = ["home_a", "home_b", "part"]
 CHUNK = 1 << 12  # directions that are made at a time
 
 
@@ -157,7 +159,7 @@ def _collisions(lists: int, threshold: float):
 
 
 def _verified(threshold: float):
-    """Of rows in order of (home_a, home_b), vectors before candidates, the candidates whose cosine is high enough."""
+    """Of rows in order of PLACE, vectors before candidates, the candidates whose cosine is high enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -167,9 +169,9 @@ def _verified(threshold: float):
             vectors, asked = batch[batch["b"].isna()], batch[batch["b"].notna()]
             held = vectors if held is None else pd.concat([held, vectors])
             if len(asked):
-                at = {key: i for i, key in enumerate(zip(held["home_a"], held["home_b"], held["a"], strict=True))}
+                at = {key: i for i, key in enumerate(zip(*(held[c] for c in PLACE), held["a"], strict=True))}
                 units = held["unit"].to_numpy()
-                ends = [[at[key] for key in zip(asked["home_a"], asked["home_b"], asked[end].astype("int64"), strict=True)] for end in ("a", "b")]
+                ends = [[at[key] for key in zip(*(asked[c] for c in PLACE), asked[end].astype("int64"), strict=True)] for end in ("a", "b")]
                 cosine = np.empty(len(asked))
                 by_dim = np.array([len(units[i]) for i in ends[0]])
                 for dim in np.unique(by_dim):
@@ -180,7 +182,7 @@ def _verified(threshold: float):
                 a, b = near["a"].to_numpy(np.int64), near["b"].to_numpy(np.int64)
                 yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
             last = batch.iloc[-1]
-            held = held[(held["home_a"] == last["home_a"]) & (held["home_b"] == last["home_b"])]
+            held = held[np.logical_and.reduce([held[c] == last[c] for c in PLACE])]
 
     return run
 
@@ -226,11 +228,14 @@ def links(units: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
     dealt = dealt.join(meets, ["dim", "list", "block"])
     candidates = dealt.groupBy("dim", "list", "one", "two").applyInPandas(_collisions(lists, threshold), "a long, b long, home_a long, home_b long")
     candidates = staged(candidates, "candidates")
-    ends = [candidates.select("home_a", "home_b", F.col(end).alias("node")) for end in ("a", "b")]
+    # two homes with very many candidates, as a large group of near vectors makes, are verified in several places
+    parts = candidates.groupBy("home_a", "home_b").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("parts"))
+    candidates = candidates.join(parts, ["home_a", "home_b"]).withColumn("part", F.pmod(F.xxhash64("a", F.lit(5)), "parts"))
+    ends = [candidates.select(*PLACE, F.col(end).alias("node")) for end in ("a", "b")]
     needed = ends[0].union(ends[1]).distinct().join(units.select("node", "unit"), "node")
-    rows = needed.select("home_a", "home_b", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "unit")
-    rows = rows.union(candidates.select("home_a", "home_b", "a", "b", F.lit(None).cast("array<double>")))
-    rows = rows.repartition("home_a", "home_b").sortWithinPartitions("home_a", "home_b", F.col("b").asc_nulls_first())
+    rows = needed.select(*PLACE, F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "unit")
+    rows = rows.union(candidates.select(*PLACE, "a", "b", F.lit(None).cast("array<double>")))
+    rows = rows.repartition(*PLACE).sortWithinPartitions(*PLACE, F.col("b").asc_nulls_first())
     return rows.mapInPandas(_verified(threshold), "a long, b long")
 
 

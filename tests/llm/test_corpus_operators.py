@@ -618,6 +618,8 @@ def test_embeddings(spark, monkeypatch):
     rows += [(900, None, "z"), (901, [0.0] * 32, "z"), (902, [1.0, None] * 16, "z"), (903, [float("nan")] * 32, "z"), (904, [float("inf")] * 32, "z"), (905, [], "z"), (906, [1e300] * 32, "z"), (907, [1e-300] * 32, "z"), (3, rows[3][1], "z"), (None, rows[3][1], "z"), (908, [1.0, 2.0], "z"), (909, [2.0, 4.0], "z")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string")
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)  # lists longer than a block
+    monkeypatch.setattr(embedding_dedup, "PART_ROWS", 40)
+    monkeypatch.setattr(embedding_dedup, "HOME_BYTES", 64)
     got = embedding_dedup.near_embeddings(df).collect()
     assert len(got) == len(rows)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
