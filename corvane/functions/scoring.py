@@ -63,3 +63,15 @@ def strict_cosine(a: Column, b: Column) -> Column:
     n = F.greatest(F.lit(0), F.least(F.size(a), F.size(b)))
     norms = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
     return F.when((n <= 0) | (norms == 0), 0.0).otherwise(_dot(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n)) / norms)
+
+
+def stub_vector(text: Column, size: int = 384) -> Column:
+    """The vector of ``stub_bins``; a text that leaves all of it zero has 0.1 in its first place."""
+    bins = F.aggregate(stub_bins(text, size), F.array_repeat(F.lit(0.0), size), lambda v, c: F.transform(v, lambda x, i: x + F.when(i == c["bin"], c["v"]).otherwise(0.0)))
+    filled = F.when(F.length(text) > 0, bins).otherwise(F.array_repeat(F.lit(0.0), size))
+    return F.when(F.exists(filled, lambda x: x != 0), filled).otherwise(F.concat(F.array(F.lit(0.1)), F.array_repeat(F.lit(0.0), size - 1)))
+
+
+def flat_vector(size: int = 384) -> Column:
+    """The vector of a context without a model: 0.1 everywhere."""
+    return F.array_repeat(F.lit(0.1), size)

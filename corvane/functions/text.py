@@ -46,8 +46,8 @@ def query_tokens(text: Column) -> Column:
 
 
 def evidence_tokens(text: Column) -> Column:
-    """The set of lower-case words of three or more characters that are no stop words."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9][A-Za-z0-9_\-]{2,})"), F.lit(1)), F.lower)
+    """The set of lower-case words of three or more characters, and runs of two or more of Chinese, that are no stop words."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9][A-Za-z0-9_\-]{2,}|[一-鿿]{2,})"), F.lit(1)), F.lower)
     return F.array_except(F.array_distinct(found), F.array(*[F.lit(w) for w in STOPWORDS_EVIDENCE]))
 
 
@@ -325,3 +325,9 @@ def safe_int(value: Column, default: int = 10**9) -> Column:
 
 def stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?\z", 1)
+
+
+def tag_union(stored: Column, found: Column, most: int = 10) -> Column:
+    """Tags that a chunk has and those found for it, each once and in order, ``most`` at most."""
+    none = F.array().cast("array<string>")
+    return F.slice(F.array_sort(F.array_union(F.coalesce(stored, none), F.coalesce(found, none))), 1, most)

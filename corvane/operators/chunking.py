@@ -262,3 +262,13 @@ def recursive_chunks(docs: DataFrame, size: int = 1500, overlap: int = 200) -> D
 
     split = F.pandas_udf(run, "array<string>")
     return docs.select("doc_id", F.posexplode(split("text")).alias("chunk_index", "text"))
+
+
+def heading_links(parts: DataFrame) -> DataFrame:
+    """Sections (doc_id, section_index, text) with a heading, the next one's number, and whether that is a section below."""
+    from pyspark.sql import Window
+
+    number = F.nullif(F.regexp_extract(F.regexp_replace(F.regexp_replace(text.first_line(F.col("text")), r"^#{1,6}\s+", ""), "[*_]", ""), r"^\s*(\d+(?:\.\d+)*)\b", 1), F.lit(""))
+    met = parts.withColumn("number", number).withColumn("next_number", F.lead("number").over(Window.partitionBy("doc_id").orderBy("section_index")))
+    below = F.coalesce(F.startswith("next_number", F.concat("number", F.lit("."))), F.lit(False))
+    return met.where(F.col("number").isNotNull()).select("doc_id", "section_index", "number", "next_number", below.alias("is_parent"))

@@ -131,3 +131,11 @@ def detail(ledger: DataFrame, chunks: DataFrame, images: DataFrame) -> DataFrame
     none = F.array().cast("array<string>")
     met = ledger.join(of_chunks, "file_hash", "left").join(of_images, "file_hash", "left")
     return met.withColumns({c: F.coalesce(c, none) for c in ("chunk_ids", "image_ids")})
+
+
+def stored_summary(chunks: DataFrame) -> DataFrame:
+    """A document's first stored summary that isn't blank, else that of ``summary``; all its tags, types and chunks."""
+    first = F.min_by("summary", F.when(text.strip(F.coalesce("summary", F.lit(""))) != "", F.col("chunk_index")))
+    stored = chunks.groupBy("doc_id").agg(first.alias("stored"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"), F.min("doc_type").alias("doc_type"))
+    made = summary(chunks.drop("summary"))
+    return made.join(stored, "doc_id").select("doc_id", F.coalesce("stored", "summary").alias("summary"), "tags", "doc_type", "chunk_count")

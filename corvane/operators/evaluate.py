@@ -56,7 +56,7 @@ def averages(metrics: DataFrame) -> DataFrame:
 
 def answer_overlap(answers: DataFrame) -> DataFrame:
     """overlap and length of answers (answer_id, question, answer): shared words of the question."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit("([a-zA-Z]{3,})"), F.lit(1)))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit("([一-鿿]{2,}|[a-zA-Z]{3,})"), F.lit(1)))
     met = answers.withColumn("q", words("question")).withColumn("a", words("answer"))
     share = F.when(F.size("q") > 0, F.size(F.array_intersect("q", "a")) / F.size("q")).otherwise(0.0)
     return met.select("answer_id", F.length("answer").alias("n_chars"), F.round(share, 6).alias("overlap"))

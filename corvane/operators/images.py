@@ -47,3 +47,14 @@ def mime_of_content(content: Column, path: Column, default: str = "image/png") -
     for start, mime in MAGIC.items():
         by_bytes = F.when(head.startswith(start), mime).otherwise(by_bytes)
     return F.coalesce(F.nullif(mime_of(path, ""), F.lit("")), by_bytes)
+
+
+def listed(index: DataFrame, collection: str | None = None, doc_hash: str | None = None) -> DataFrame:
+    """Images of a collection, a document or both."""
+    found = index.where(F.col("collection") == collection) if collection else index
+    return found.where(F.col("doc_hash") == doc_hash) if doc_hash else found
+
+
+def removed(index: DataFrame, gone: DataFrame) -> DataFrame:
+    """The index without the images of the documents in ``gone`` (doc_hash)."""
+    return index.join(gone.select("doc_hash").distinct(), "doc_hash", "left_anti")

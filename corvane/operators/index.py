@@ -122,3 +122,15 @@ def remove(stored: Index, gone: DataFrame, root: str) -> Index:
     """A new version of an index without the chunks in ``gone`` (chunk_id); all statistics anew."""
     keys = gone.select("chunk_id").distinct()
     return _store(stored.postings().drop("bucket").join(keys, "chunk_id", "left_anti"), stored.lengths().join(keys, "chunk_id", "left_anti"), root)
+
+
+def upsert_batches(existing: DataFrame, batches: list[DataFrame], key: str = "chunk_id") -> DataFrame:
+    """One upsert of several batches; of rows with one key that of the last batch counts."""
+    if not batches:
+        return existing
+    rows = batches[0].withColumn("__batch", F.lit(0))
+    for number, batch in enumerate(batches[1:], 1):
+        rows = rows.unionByName(batch.withColumn("__batch", F.lit(number)))
+    names = [c for c in existing.columns if c != key]
+    last = rows.groupBy(key).agg(F.max(F.struct("__batch", *names)).alias("r")).select(key, *[F.col(f"r.`{c}`").alias(c) for c in names])
+    return upsert(existing, last.select(*existing.columns), key)

@@ -74,3 +74,13 @@ def tolerant_json(text: Column, schema: str) -> Column:
     bare = F.trim(F.regexp_replace(text, r"```(?:json)?", ""))
     inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     return F.coalesce(F.from_json(F.when(bare.startswith("{"), bare), schema), F.from_json(F.nullif(inner, F.lit("")), schema))
+
+
+def batch_outcomes(chunks: DataFrame, failed: Column, size: int = 10) -> DataFrame:
+    """doc_id, batch, n_texts, n_failed, ok: a document's chunks in batches of ``size``; a failed text fails its batch, for all
+    outputs alike."""
+    if size < 1:
+        raise ValueError("a batch holds one text at least")
+    batch = F.floor(F.col("chunk_index") / size).alias("batch")
+    counted = chunks.groupBy("doc_id", batch).agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(failed).alias("n_failed"))
+    return counted.withColumn("ok", F.col("n_failed") == 0)

@@ -129,3 +129,13 @@ def context_items(items: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame
     order = Window.orderBy(F.desc("at"), F.desc("item_id"))  # k rows
     last = newest_items.select(F.row_number().over(order).alias("rank"), "item_id")
     return near.unionByName(queries.where("embedding is null").select("query_id").join(F.broadcast(last)))
+
+
+def overview(stores: DataFrame, newest_short: int = 10, newest_long: int = 5) -> DataFrame:
+    """store, n_items, position, event_id: what an inspector shows of ``stores`` (store, event_id, ts): the newest items of the
+    buffer and of the long-term and episodic stores, and how many each store has."""
+    order = Window.partitionBy("store").orderBy(F.desc("ts"), F.desc("event_id"))
+    most = F.when(F.col("store") == "short_term", newest_short).otherwise(newest_long)
+    shown = stores.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)
+    counts = stores.groupBy("store").agg(F.count(F.lit(1)).alias("n_items"))
+    return shown.join(F.broadcast(counts), "store").select("store", "n_items", "position", "event_id")

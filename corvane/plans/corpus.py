@@ -367,7 +367,7 @@ SELECT session, coalesce(max(CASE WHEN bad THEN n END), 0)::BIGINT AS longest, c
 WITH raw AS (SELECT event_id, ['ok', 'needs_replan', 'hard_fail', 'ok'][(event_id % 4 + 1)::INT] AS status, greatest(0, least(1, value / 50)) AS s, event_id % 2 = 0 AS p, event_id % 3 = 0 AS m, repeat(props, 30) AS i FROM events)
 SELECT event_id, status, round(CASE WHEN status = 'hard_fail' THEN least(s, 0.2) ELSE s END, 6)::DOUBLE AS score, p AND status = 'ok' AS passed, m AND status = 'ok' AS require_more_tools, substr(i, 1, 200) AS issues FROM raw""",
     "answer_overlap": f"""WITH {_QA},
-w AS (SELECT conv_id * 1000 + turn AS answer_id, length(answer)::INTEGER AS n_chars, list_distinct(regexp_extract_all(question, '[a-zA-Z]{{3,}}')) AS q, list_distinct(regexp_extract_all(answer, '[a-zA-Z]{{3,}}')) AS a FROM pairs)
+w AS (SELECT conv_id * 1000 + turn AS answer_id, length(answer)::INTEGER AS n_chars, list_distinct(regexp_extract_all(question, '[一-鿿]{{2,}}|[a-zA-Z]{{3,}}')) AS q, list_distinct(regexp_extract_all(answer, '[一-鿿]{{2,}}|[a-zA-Z]{{3,}}')) AS a FROM pairs)
 SELECT answer_id, n_chars, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, a)) / len(q) ELSE 0 END, 6)::DOUBLE AS overlap FROM w""",
     "short_term_fifo": f"WITH {_ITEMS} SELECT session_id, event_id, age FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC)::INTEGER AS age FROM items) WHERE age <= 5",
     "access_counts": f"WITH {_ITEMS} SELECT session_id, event_id, least(10, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC))::INTEGER AS access_count FROM items",

@@ -101,7 +101,7 @@ best AS (SELECT asked_id, coalesce(min(CASE WHEN chunk_id = asked_id THEN chunk_
 SELECT asked_id, chunk_id, chunk_id = asked_id AS exact FROM asked LEFT JOIN best USING (asked_id)""",
     "document_counts": f"WITH {sql.PARAGRAPHS} SELECT d.doc_id, count(c.doc_id)::BIGINT AS n_chunks, count(c.doc_id)::BIGINT AS n_images FROM documents d LEFT JOIN chunks c ON c.doc_id = d.doc_id GROUP BY d.doc_id",
     "answer_quality": f"""WITH {corpus._QA},
-w AS (SELECT length(answer) AS n, list_distinct(regexp_extract_all(question, '[a-zA-Z]{{3,}}')) AS q, list_distinct(regexp_extract_all(answer, '[a-zA-Z]{{3,}}')) AS a,
+w AS (SELECT length(answer) AS n, list_distinct(regexp_extract_all(question, '[一-鿿]{{2,}}|[a-zA-Z]{{3,}}')) AS q, list_distinct(regexp_extract_all(answer, '[一-鿿]{{2,}}|[a-zA-Z]{{3,}}')) AS a,
   regexp_matches(answer, '(?i)doc_[A-Za-z0-9_\\-]+|chunk[_\\-][A-Za-z0-9_\\-]+|\\[[0-9,\\s]+\\]|\\(source[:：][^)]+\\)|引用[:：]|来源[:：]') AS cited FROM pairs)
 SELECT count(*)::BIGINT AS n_answers, round(avg((n >= 20)::INT), 4) AS success_rate, round(avg(n), 2) AS avg_chars, round(avg(round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, a)) / len(q) ELSE 0 END, 6)), 4) AS overlap_rate, round(avg(cited::INT), 4) AS citation_rate FROM w""",
     "memory_similarity": """WITH q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0),

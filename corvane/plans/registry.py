@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.plans import corpus, extras, retrieval, texts, tools
+from corvane.plans import corpus, extras, retrieval, stores, texts, tools
 
-QUERIES: dict = {**retrieval.QUERIES, **texts.QUERIES, **corpus.QUERIES, **extras.QUERIES, **tools.QUERIES}
-ORACLES: dict = {**retrieval.ORACLES, **texts.ORACLES, **corpus.ORACLES, **extras.ORACLES, **tools.ORACLES}
+QUERIES: dict = {**retrieval.QUERIES, **texts.QUERIES, **corpus.QUERIES, **extras.QUERIES, **tools.QUERIES, **stores.QUERIES}
+ORACLES: dict = {**retrieval.ORACLES, **texts.ORACLES, **corpus.ORACLES, **extras.ORACLES, **tools.ORACLES, **stores.ORACLES}

@@ -10,7 +10,7 @@ TOKENS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'), lam
 PATH = "('data/documents/' || source || '/' || doc_id::VARCHAR || '.md')"
 EVIDENCE_STOP = " ".join(text.STOPWORDS_EVIDENCE)
 EVIDENCE_TOKENS = (
-    r"list_filter(list_distinct(list_transform(regexp_extract_all({0}, '[A-Za-z0-9][A-Za-z0-9_\-]{{2,}}'), lambda t: lower(t))), lambda t: NOT list_contains(string_split('"
+    r"list_filter(list_distinct(list_transform(regexp_extract_all({0}, '[A-Za-z0-9][A-Za-z0-9_\-]{{2,}}|[一-鿿]{{2,}}'), lambda t: lower(t))), lambda t: NOT list_contains(string_split('"
     + EVIDENCE_STOP
     + "', ' '), t))"
 )
