@@ -136,9 +136,9 @@ def url_filter(
 ) -> DataFrame:
     """Judge every URL: id, host, path, rule (the longest host rule that fits, else null), verdict, glob_rule.
 
-    One row per input row, whatever repeats. A null or malformed URL has empty host and path, fits no host
-    rule and takes ``default`` unless a glob matches. ``glob_rule`` names the glob that decided, else null. Rows
-    stay where they are: no shuffle, and only the rules travel with the tasks.
+    One row per input row, whatever repeats; an empty table gives none, and URLs may have any length. A null or malformed
+    URL has empty host and path, fits no host rule and takes ``default`` unless a glob matches. ``glob_rule`` names the
+    glob that decided, else null. Rows stay where they are: no shuffle, and only the rules travel with the tasks.
     """
     ranked = sorted(host_rules, key=lambda r: (-len(r[1]), r[1])) + list(globs)
     n_rules = len(host_rules)
