@@ -43,11 +43,14 @@ def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
     keyed = passages.select("query_id", F.col("text").alias("passage"), words("text").alias("w")).where(F.size("w") > 2)
     keyed = keyed.select("query_id", "passage", F.slice("w", F.lit(2), F.least(F.lit(KEY_WORDS), F.size("w") - 2)).alias("k"))
     keyed = keyed.select("query_id", "passage", F.size("k").alias("n"), F.array_join("k", " ").alias("key"))
-    lengths = F.array(*[F.lit(r[0]) for r in keyed.select("n").distinct().collect()])  # KEY_WORDS numbers at most
-    found = docs.select("chunk_id", "text", words("text").alias("w"), F.explode(lengths).alias("n")) if keyed.take(1) else docs.select("chunk_id", "text", words("text").alias("w"), F.lit(1).alias("n")).limit(0)
+    sizes = [r[0] for r in keyed.select("n").distinct().collect()] or [KEY_WORDS]  # KEY_WORDS numbers at most
+    found = docs.select("chunk_id", words("text").alias("w"), F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n"))
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))
-    found = found.where(F.size("w") >= F.col("n")).select("chunk_id", "text", "n", F.explode(F.array_distinct(runs)).alias("key"))
-    return found.join(keyed, ["n", "key"]).where(F.contains("text", "passage")).select("query_id", "chunk_id").distinct()
+    found = found.where(F.size("w") >= F.col("n")).select("chunk_id", "n", F.explode(F.array_distinct(runs)).alias("key"))
+    met = found.join(keyed.select("n", "key", "query_id"), ["n", "key"]).select("query_id", "chunk_id").distinct()
+    # whole texts join what has met, not every run of words
+    whole = met.join(docs.select("chunk_id", "text"), "chunk_id").join(keyed.select("query_id", "passage"), "query_id")
+    return whole.where(F.contains("text", "passage")).select("query_id", "chunk_id").distinct()
 
 
 def averages(metrics: DataFrame) -> DataFrame:
