@@ -271,8 +271,12 @@ def _aligned(earlier: pd.Series, later: pd.Series) -> pd.Series:
 
 
 def _cut_texts(texts: pd.Series, edges: pd.Series) -> pd.DataFrame:
-    found = []
+    """Texts without the words in their cuts, and the number of lines that lose any; a null text has no cuts."""
+    found: list[tuple[str | None, int]] = []
     for text, cuts in zip(texts, edges, strict=True):
+        if text is None:
+            found.append((None, 0))
+            continue
         gone = np.zeros(len(text.encode().split()), bool)
         for cut in cuts:
             for start, stop in zip(cut[::2], cut[1::2], strict=True):
@@ -287,14 +291,14 @@ def _key(id_col: Column, text: Column) -> Column:
 
 
 def line_cuts(rows: DataFrame) -> DataFrame:
-    """key, new_text, n_cut, owners: for each document of ``rows`` (key, text) that loses words, what is left of it, the
-    number of lines that lose any and the ids of the documents that have them first."""
+    """key, cuts, owners: for each document of ``rows`` (key, text) that loses words, the numbers of these words and the ids of
+    the documents that have them first."""
     found = staged(rows.select("key", F.pandas_udf(_looked_up, "array<long>")("text").alias("runs")), "runs")
     # of one type with what is read again, so that texts are dealt out by key once for all joins
     rows = rows.withColumn("key", F.col("key").cast(found.schema["key"].dataType))
     runs = found.where("key is not null").select("key", F.explode("runs").alias("run"))
     # summed up before they are dealt out, so that a run that most documents have is a row a task
-    owners = runs.groupBy("run").agg(F.min("key").alias("owner"), F.max("key").alias("last")).where("owner <> last").select("run", "owner")
+    owners = runs.groupBy("run").agg(F.min("key").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "owner")
     pairs = staged(runs.join(owners, "run").where("key <> owner").select(F.col("key").alias("later"), "owner").distinct(), "pairs")
     # the first document of a passage that many have is in many pairs: they go to several tasks, with a copy of its text each
     shares = pairs.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / OWNER_PAIRS).cast("int").alias("shares"))
@@ -304,10 +308,14 @@ def line_cuts(rows: DataFrame) -> DataFrame:
     dealt = pairs.join(shares, "owner").withColumn("share", F.pmod(F.xxhash64("later"), F.col("shares")).cast("int")).drop("shares")
     a = dealt.join(firsts, ["owner", "share"]).drop("share")
     both = a.join(rows.select(F.col("key").alias("later"), F.col("text").alias("b")), "later").groupBy("later", "owner").agg(F.first("a").alias("a"), F.first("b").alias("b"))
-    cuts = both.select("later", F.col("owner.id").alias("owner_id"), "b", F.pandas_udf(_aligned, "array<int>").asNondeterministic()("a", "b").alias("cut")).where(F.size("cut") > 0)
-    cuts = cuts.groupBy("later").agg(F.first("b").alias("b"), F.collect_list("cut").alias("cuts"), F.array_sort(F.collect_set("owner_id")).alias("owners"))
-    cuts = cuts.select(F.col("later").alias("key"), F.pandas_udf(_cut_texts, CUT).asNondeterministic()("b", "cuts").alias("new"), "owners")
-    return cuts.select("key", F.col("new.text").alias("new_text"), F.col("new.n_cut").alias("n_cut"), "owners")
+    cuts = both.select("later", F.col("owner.id").alias("owner_id"), F.pandas_udf(_aligned, "array<int>").asNondeterministic()("a", "b").alias("cut")).where(F.size("cut") > 0)
+    # numbers alone travel on: the words go where the whole text is again
+    return cuts.groupBy(F.col("later").alias("key")).agg(F.collect_list("cut").alias("cuts"), F.array_sort(F.collect_set("owner_id")).alias("owners"))
+
+
+def _shortened(text: Column) -> Column:
+    """text and n_cut of a document with the column cuts; of one without, nothing is handed to Python."""
+    return F.pandas_udf(_cut_texts, CUT).asNondeterministic()(F.when(F.col("cuts").isNotNull(), text), F.col("cuts"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,12 +332,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     cuts = line_cuts(rows)
     # as line_cuts has them, so that its exchange of texts serves here as well
     found = rows.select(F.col("key").cast(cuts.schema["key"].dataType).alias("key"), F.col("text").alias("whole")).join(cuts, "key", "left")
+    found = found.select("key", "whole", "cuts", "owners", _shortened(F.col("whole")).alias("new"))
     return found.select(
         F.col("key.id").alias("doc_id"),
         F.coalesce(F.size(F.split("whole", "\n", -1)), F.lit(0)).alias("n_lines"),
-        F.coalesce("n_cut", F.lit(0)).alias("n_cut"),
+        F.coalesce("new.n_cut", F.lit(0)).alias("n_cut"),
         F.coalesce("owners", F.array().cast(f"array<{docs.schema[id_col].dataType.simpleString()}>")).alias("owners"),
-        F.when(F.col("n_cut").isNull(), F.col("whole")).otherwise(F.col("new_text")).alias("text"),
+        F.when(F.col("cuts").isNull(), F.col("whole")).otherwise(F.col("new.text")).alias("text"),
     )
 
 
@@ -342,13 +351,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = packed(docs, key=_key(doc, text))
     cuts = line_cuts(docs.select(_key(doc, text).alias("key"), text.alias("text")))
     found = rows.join(cuts, "key", "left")
-    found = found.where(F.col("n_cut").isNull() | F.col("new_text").rlike(WORD))
+    found = found.select(ROW, "cuts", _shortened(F.col(f"{ROW}.`{text_col}`")).alias("new"))
+    whole, new_text = F.col("cuts").isNull(), F.col("new.text")
+    found = found.where(whole | new_text.rlike(WORD))
     columns = []
     for name in docs.columns:
         if name == text_col:
-            columns.append(F.when(F.col("n_cut").isNull(), F.col(f"{ROW}.`{name}`")).otherwise(F.col("new_text")).alias(name))
+            columns.append(F.when(whole, F.col(f"{ROW}.`{name}`")).otherwise(new_text).alias(name))
         elif name == chars_col:
-            columns.append(F.when(F.col("n_cut").isNull(), F.col(f"{ROW}.`{name}`")).otherwise(F.length("new_text")).cast(docs.schema[name].dataType).alias(name))
+            columns.append(F.when(whole, F.col(f"{ROW}.`{name}`")).otherwise(F.length(new_text)).cast(docs.schema[name].dataType).alias(name))
         else:
             columns.append(F.col(f"{ROW}.`{name}`").alias(name))
     return found.select(*columns)
