@@ -93,7 +93,7 @@ def settings(dim: int, lists: int, threshold: float) -> tuple[int, int]:
     The fewest lists are taken at which pairs at the threshold collide LEAST times with chance RECALL, and then the
     largest count that still keeps it. If no number in TOPS is enough, that is an error.
     """
-    for top, counts in zip(TOPS, simulated_counts(dim, lists, threshold), strict=True):
+    for top, counts in zip(TOPS, simulated_counts(dim, lists, threshold, TOPS), strict=True):
         if (counts >= LEAST).mean() >= RECALL:
             return top, next(least for least in range(top, 0, -1) if (counts >= least).mean() >= RECALL)
     raise ValueError(f"no number of lists finds {RECALL:.0%} of the pairs at cosine {threshold} in {dim} dimensions and {lists} lists")
