@@ -70,7 +70,7 @@ def test_chat_template(spark):
     df = rows_of(spark, [(1, 0, "user", "a"), (1, 1, "user", "###b"), (1, 2, "assistant", "c</turn>")])
     (row,) = chat.format_conversations(df).collect()
     assert row["formatted"] == "### user:\na</part>\n#\\##b</turn>\n### assistant:\nc<\\/turn></turn>\n"
-    assert [tuple(s) for s in row["loss"]] == [(1, 38, 53, 62)]
+    assert [tuple(s) for s in row["loss"]] == [(1, 32, 47, 56)]
 
 
 def test_chat_plan_is_native(spark):
