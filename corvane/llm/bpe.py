@@ -380,15 +380,19 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     return out if decoded else out.select("doc_id", "ids")
 
 
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """id and piece (its bytes), a row for each id of the vocabulary."""
+def byte_pieces(path: str) -> list[bytes]:
+    """The bytes of each id of the vocabulary."""
     shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
     hidden = [b for b in range(256) if b not in set(shown)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
     tokenizer = _tokenizer(path)
-    names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
-    raw = pa.table({"id": pa.array(range(len(names)), pa.int32()), "piece": pa.array([bytes(byte_of[c] for c in name) for name in names], pa.binary())})
-    return spark.createDataFrame(raw)
+    return [bytes(byte_of[c] for c in tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+
+
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """id and piece (its bytes), a row for each id of the vocabulary."""
+    pieces = byte_pieces(path)
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(pieces)), pa.int32()), "piece": pa.array(pieces, pa.binary())}))
 
 
 def joined_pieces(encoded: DataFrame, ids_col: str, keys: list[str], path: str) -> DataFrame:

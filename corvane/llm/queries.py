@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, chat, embedding_dedup, line_dedup, mixing, quality, secrets, sharding, simhash, url_filter, warc
+from corvane.llm import align, bpe, chat, embedding_dedup, line_dedup, mixing, quality, secrets, sharding, simhash, url_filter, warc
 from corvane.llm.common import table
 from corvane.session import scratch_folder
 
@@ -51,9 +51,13 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_digests(table(spark, sf_dir, "documents"))
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.with_probe(spark, table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash_dedup, op3_quality_rules, op4_source_mixing, op5_url_filter, op6_warc_archive, op7_line_dedup, op8_sharding, op9_secret_scan, op10_embedding_dedup, op12_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash_dedup, op3_quality_rules, op4_source_mixing, op5_url_filter, op6_warc_archive, op7_line_dedup, op8_sharding, op9_secret_scan, op10_embedding_dedup, op11_token_align, op12_chat_format)}
 ORACLES = {"op4_source_mixing": mixing.ORACLE, "op5_url_filter": url_filter.ORACLE, "op6_warc_archive": warc.ORACLE, "op8_sharding": sharding.ORACLE, "op12_chat_format": chat.ORACLE}
