@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvane.llm import align, bpe, chat, embedding_dedup, line_dedup, mixing, quality, secrets, sharding, simhash, url_filter, warc
+from corvane.llm import align, bpe, chat, embedding_dedup, hard_negatives, line_dedup, mixing, quality, secrets, sharding, simhash, url_filter, warc
 from corvane.llm.common import table
 from corvane.session import scratch_folder
 
@@ -59,5 +60,11 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.with_probe(spark, table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash_dedup, op3_quality_rules, op4_source_mixing, op5_url_filter, op6_warc_archive, op7_line_dedup, op8_sharding, op9_secret_scan, op10_embedding_dedup, op11_token_align, op12_chat_format)}
-ORACLES = {"op4_source_mixing": mixing.ORACLE, "op5_url_filter": url_filter.ORACLE, "op6_warc_archive": warc.ORACLE, "op8_sharding": sharding.ORACLE, "op12_chat_format": chat.ORACLE}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", noisy), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash_dedup, op3_quality_rules, op4_source_mixing, op5_url_filter, op6_warc_archive, op7_line_dedup, op8_sharding, op9_secret_scan, op10_embedding_dedup, op11_token_align, op12_chat_format, op13_hard_negatives)}
+ORACLES = {"op4_source_mixing": mixing.ORACLE, "op5_url_filter": url_filter.ORACLE, "op6_warc_archive": warc.ORACLE, "op8_sharding": sharding.ORACLE, "op12_chat_format": chat.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
