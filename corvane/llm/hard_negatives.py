@@ -145,36 +145,40 @@ def _coded(axes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
     return run
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _blocks(size: int, shelf: int):
     """Rows in order, as blocks of one label and one length of vectors."""
-    first, number, held = TaskContext.get().partitionId() << 32, 0, None
-
-    def block(rows: pd.DataFrame) -> dict:
-        nonlocal number
-        label, dim = rows["label"].iloc[0], int(rows["dim"].iloc[0])
-        codes = np.stack([unpacked(raw, 1, dim)[0] for raw in rows["codes"]])
-        ids = rows["vec_id"].to_numpy(np.int64)
-        out = {"shelf": first + number // SHELF, "block": first + number, "label": label, "dim": dim, "n": len(rows), "min_id": ids.min(), "low": codes.min(0), "high": codes.max(0)}
-        number += 1
-        return out | {"ids": ids.tobytes(), "asks": rows["asks"].to_numpy(bool).tobytes(), "codes": packed(codes)}
-
-    for batch in batches:
-        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        out = []
-        while len(held):
-            same = ((held["label"] == held["label"].iloc[0]) & (held["dim"] == held["dim"].iloc[0])).to_numpy()
-            n = min(BLOCK, len(held) if same.all() else int(np.argmin(same)))
-            if n == len(held) and n < BLOCK:
-                break  # may go on in the next batch
-            out.append(block(held.iloc[:n]))
-            held = held.iloc[n:]
-        if out:
-            yield pd.DataFrame(out)
-    if held is not None and len(held):
-        yield pd.DataFrame([block(held)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, number, held = TaskContext.get().partitionId() << 32, 0, None
+
+        def block(rows: pd.DataFrame) -> dict:
+            nonlocal number
+            label, dim = rows["label"].iloc[0], int(rows["dim"].iloc[0])
+            codes = np.stack([unpacked(raw, 1, dim)[0] for raw in rows["codes"]])
+            ids = rows["vec_id"].to_numpy(np.int64)
+            out = {"shelf": first + number // shelf, "block": first + number, "label": label, "dim": dim, "n": len(rows), "min_id": ids.min(), "low": codes.min(0), "high": codes.max(0)}
+            number += 1
+            return out | {"ids": ids.tobytes(), "asks": rows["asks"].to_numpy(bool).tobytes(), "codes": packed(codes)}
+
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            out = []
+            while len(held):
+                same = ((held["label"] == held["label"].iloc[0]) & (held["dim"] == held["dim"].iloc[0])).to_numpy()
+                n = min(size, len(held) if same.all() else int(np.argmin(same)))
+                if n == len(held) and n < size:
+                    break  # may go on in the next batch
+                out.append(block(held.iloc[:n]))
+                held = held.iloc[n:]
+            if out:
+                yield pd.DataFrame(out)
+        if held is not None and len(held):
+            yield pd.DataFrame([block(held)])
+
+    return run
 
 
-def _anchors(positives: int):
+def _anchors(positives: int, size: int):
     """The anchors of each block, with the floor that their own block gives to their positives."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,7 +195,7 @@ def _anchors(positives: int):
                     if len(other) >= positives:
                         best = other[np.lexsort((ids[other], -found[k, other]))[positives - 1]]
                         lo[k], lo_id[k] = found[k, best], ids[best]
-                yield pd.DataFrame({"anchor": row.block * BLOCK + at, "anchor_id": ids[at], "label": row.label, "dim": row.dim, "codes": objects([packed(codes[i]) for i in at]), "lo": lo, "lo_id": lo_id})
+                yield pd.DataFrame({"anchor": row.block * size + at, "anchor_id": ids[at], "label": row.label, "dim": row.dim, "codes": objects([packed(codes[i]) for i in at]), "lo": lo, "lo_id": lo_id})
 
     return run
 
@@ -335,7 +339,7 @@ def blocks_of(vectors: DataFrame, anchor: Column, id_col: str = "vec_id", vector
     coded = staged(coded.dropDuplicates(), "codes")
     order = ("label", "dim", "key", "vec_id")
     schema = f"shelf long, block long, label {label}, dim int, n int, min_id long, low array<int>, high array<int>, ids binary, asks binary, codes binary"
-    blocks = Blocks(staged(coded.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_blocks, schema), "blocks"))
+    blocks = Blocks(staged(coded.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_blocks(BLOCK, SHELF), schema), "blocks"))
     discard(coded)
     return blocks
 
@@ -354,7 +358,7 @@ def hard_negatives(vectors: DataFrame, anchor: Column, id_col: str = "vec_id", v
     """
     blocks = blocks_of(vectors, anchor, id_col, vector_col, label_col)
     label = blocks.table.schema["label"].dataType.simpleString()
-    anchors = staged(blocks.table.mapInPandas(_anchors(POSITIVES), f"anchor long, anchor_id long, label {label}, dim int, codes binary, lo long, lo_id long"), "anchors")
+    anchors = staged(blocks.table.mapInPandas(_anchors(POSITIVES, BLOCK), f"anchor long, anchor_id long, label {label}, dim int, codes binary, lo long, lo_id long"), "anchors")
     n_anchors = anchors.count()
     window = lambda p, lo, lo_id, hi, k, other: F.struct(F.lit(p).cast("int").alias("p"), lo.cast("long").alias("lo"), lo_id.cast("long").alias("lo_id"), hi.cast("long").alias("hi"), F.lit(k).alias("k"), F.lit(other).alias("other"))
     largest = F.lit((1 << 63) - 1)
