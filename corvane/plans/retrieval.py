@@ -8,24 +8,18 @@ from pyspark.sql import functions as F
 from corvane.functions import scoring, text
 from corvane.operators import evaluate, index, search
 from corvane.plans import sql
-from corvane.session import scratch_folder
-from corvane.sources.tables import spread, table
+from corvane.session import scratch_folder, scratch_root
+from corvane.sources.tables import fingerprint, spread, table
 
 DEPTH = 20  # candidates of each list that are fused
 TERMS = ("the", "hethly", "anlynt", "rean", "the")  # repeats count
 
 
-#: Folders of the indexes that this process has stored, by session and tables: an index is built once, then read.
-_STORED: dict[tuple[str, str], str] = {}
-
-
 def stored_index(spark: SparkSession, sf_dir: str) -> index.Index:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        root = scratch_folder(spark, "index")
-        index.build(_stats(spark, sf_dir), root)
-        _STORED[key] = root
-    return index.Index(spark, _STORED[key])
+    """The index of a table as its files are now: its folder is named by their names, sizes and times, so it is built once for all
+    sessions that share the scratch folder, and anew when the table changes."""
+    root = f"{scratch_root(spark)}/corvane/index-{fingerprint(spark, f'{sf_dir}/documents.parquet')}"
+    return index.Index(spark, root) if index.versions(spark, root) else index.build(_stats(spark, sf_dir), root)
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +63,23 @@ def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored index, read back."""
+    """The stored index, read back: a row for each term, with a sum over its postings that no one of them can change unseen."""
     stored = stored_index(spark, sf_dir)
-    return stored.postings().join(stored.weights(), "term").select("term", F.round("idf", 6).alias("idf"), "df", "chunk_id", "tf", "doc_length")
+    name = F.concat_ws(":", F.col("chunk_id").cast("string"), F.col("tf").cast("string"), F.col("doc_length").cast("string"))
+    digest = F.sum(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"))
+    per_term = stored.postings().groupBy("term").agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("times"), digest.alias("digest"))
+    return per_term.join(stored.weights(), "term").select("term", F.round("idf", 6).alias("idf"), "df", "n_postings", "times", "digest")
+
+
+def _short_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third to the sixth word of each passage, and the third twice."""
+    words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.tokens(F.col("text")).alias("w"))
+    return words.select("query_id", F.explode(F.concat(F.slice("w", 3, 4), F.slice("w", 3, 1))).alias("term"))
+
+
+def bm25_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short queries, of whose blocks only those are read that can hold one of the best chunks."""
+    return search.bm25(stored_index(spark, sf_dir), _short_queries(spark, sf_dir), prune=True)
 
 
 def _statistics(stored: index.Index) -> DataFrame:
@@ -98,6 +106,15 @@ def index_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _statistics(index.remove(stored_index(spark, sf_dir), gone, scratch_folder(spark, "index")))
 
 
+def index_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics after chunks have been removed, added again with other terms, and all segments made one."""
+    stats = _stats(spark, sf_dir)
+    first = index.build(stats.where("chunk_id % 4 <> 0"), scratch_folder(spark, "index"))
+    left = index.remove(first, stats.where("chunk_id % 3 = 0").select("chunk_id"))
+    news = stats.where("chunk_id % 6 = 0").withColumn("terms", F.slice("terms", 1, 50))
+    return _statistics(index.compact(index.add(left, news)))
+
+
 def top_terms_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.top_terms(index.postings(_stats(spark, sf_dir)))
 
@@ -192,7 +209,7 @@ def ir_metrics_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_topk, term_frequency, document_frequency, corpus_stats, idf_table, inverted_index, index_build, index_add, index_remove, top_terms_per_doc, bm25_batch, dense_topk, get_by_ids, vector_dim_check, memory_cosine, stub_embedding, rrf_fusion, weighted_rrf, hybrid_search, interleaved_search, best_per_chunk, rerank_join, ir_metrics_per_query, ir_metrics_avg)
+    for f in (bm25_topk, term_frequency, document_frequency, corpus_stats, idf_table, inverted_index, index_build, index_add, index_remove, index_segments, top_terms_per_doc, bm25_batch, bm25_pruned, dense_topk, get_by_ids, vector_dim_check, memory_cosine, stub_embedding, rrf_fusion, weighted_rrf, hybrid_search, interleaved_search, best_per_chunk, rerank_join, ir_metrics_per_query, ir_metrics_avg)
 }
 
 _LISTS = f"WITH {sql.bm25(sql.BENCH_TERMS, DEPTH)}, {sql.dense(sql.BENCH_VECTORS, DEPTH)}"
@@ -221,7 +238,10 @@ ORACLES = {
     "document_frequency": f"WITH {sql.POSTINGS} SELECT term, df FROM weights",
     "corpus_stats": f"WITH {sql.POSTINGS} SELECT num_docs, total_terms, round(avg_doc_length, 6) AS avg_doc_length FROM corpus",
     "idf_table": f"WITH {sql.POSTINGS} SELECT term, df, round(idf, 6) AS idf FROM weights",
-    "inverted_index": f"WITH {sql.POSTINGS} SELECT term, round(idf, 6) AS idf, df, chunk_id, tf, doc_length FROM posted JOIN weights USING (term)",
+    "inverted_index": f"""WITH {sql.POSTINGS},
+digests AS (SELECT term, count(*)::BIGINT AS n_postings, sum(tf)::BIGINT AS times, sum(('0x' || substr(md5(chunk_id || ':' || tf || ':' || doc_length), 1, 8))::BIGINT)::BIGINT AS digest FROM posted GROUP BY term)
+SELECT term, round(idf, 6) AS idf, df, n_postings, times, digest FROM digests JOIN weights USING (term)""",
+    "bm25_pruned": f"WITH {sql.bm25('SELECT item_id AS query_id, unnest(list_concat(w[3:6], w[3:3])) AS term FROM (SELECT item_id, ' + sql.TOKENS.format('text') + ' AS w FROM benchmark)')} SELECT query_id, rank, chunk_id, score FROM sparse",
     "top_terms_per_doc": f"WITH {sql.POSTINGS} SELECT chunk_id, rank, term, tf FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY tf DESC, term)::INTEGER AS rank FROM posted) WHERE rank <= 10",
     "bm25_batch": f"WITH {sql.bm25(sql.BENCH_TERMS)} SELECT query_id, rank, chunk_id, score FROM sparse",
     "dense_topk": f"WITH {sql.dense('SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0')} SELECT query_id, rank, chunk_id, score FROM dense",
@@ -241,6 +261,7 @@ UNION ALL SELECT query_id, rank, chunk_id, score FROM sparse WHERE rank <= 10 AN
     "index_build": f"WITH {sql.POSTINGS} SELECT term, df, round(idf, 6) AS idf, num_docs, round(avg_doc_length, 6) AS avg_doc_length FROM weights, corpus",
     "index_add": f"WITH {_statistics_sql('SELECT doc_id AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN list_filter(t, lambda w: length(w) > 3) ELSE t END AS terms FROM (SELECT doc_id, ' + sql.TOKENS.format('text') + ' AS t FROM documents)')}",
     "index_remove": f"WITH {_statistics_sql('SELECT doc_id AS chunk_id, ' + sql.TOKENS.format('text') + ' AS terms FROM documents WHERE source <> ' + repr('src1'))}",
+    "index_segments": f"WITH {_statistics_sql('SELECT doc_id AS chunk_id, CASE WHEN doc_id % 6 = 0 THEN t[1:50] ELSE t END AS terms FROM (SELECT doc_id, ' + sql.TOKENS.format('text') + ' AS t FROM documents) WHERE doc_id % 6 = 0 OR (doc_id % 4 <> 0 AND doc_id % 3 <> 0)')}",
     "interleaved_search": f"""{_LISTS},
 placed AS (SELECT query_id, chunk_id, min(place) AS place FROM (SELECT query_id, chunk_id, 2 * rank AS place FROM dense UNION ALL SELECT query_id, chunk_id, 2 * rank + 1 FROM sparse) GROUP BY query_id, chunk_id)
 SELECT query_id, rank, chunk_id FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY place)::INTEGER AS rank FROM placed) WHERE rank <= 10""",

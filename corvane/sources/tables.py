@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A name for the present state of a table's files: their names, sizes and times of change."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    state = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
+    return hashlib.sha256(repr(state).encode()).hexdigest()[:24]
+
+
 def source_path(source: Column, doc_id: Column) -> Column:
     return F.concat(F.lit("data/documents/"), source, F.lit("/"), doc_id.cast("string"), F.lit(".md"))
 
