@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import scoring, text
-from corvane.operators import evaluate, index, search
+from corvane.operators import evaluate, index, search, vector_index
 from corvane.plans import sql
 from corvane.session import scratch_folder, scratch_root
-from corvane.sources.tables import fingerprint, spread, table
+from corvane.sources.tables import exists, fingerprint, spread, table
 
 DEPTH = 20  # candidates of each list that are fused
 TERMS = ("the", "hethly", "anlynt", "rean", "the")  # repeats count
@@ -128,6 +128,28 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.dense(vectors, vectors.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id"))
 
 
+def stored_vectors(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
+    """The vector index of a table as its files are now, built once for all sessions that share the scratch folder."""
+    root = f"{scratch_root(spark)}/corvane/vectors-{fingerprint(spark, f'{sf_dir}/embeddings.parquet')}"
+    return vector_index.VectorIndex(spark, root) if exists(spark, f"{root}/about/_SUCCESS") else vector_index.build(_vectors(spark, sf_dir), root)
+
+
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+
+
+def vector_index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search in the stored index with all cells probed: the rows of exact search, by codes and verification."""
+    stored = stored_vectors(spark, sf_dir)
+    return vector_index.nearest(stored, _asked_vectors(spark, sf_dir), probes=len(stored.centroids))
+
+
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the calibrated number of probes finds 95 % of the exact answers of this query set."""
+    found = vector_index.recall(stored_vectors(spark, sf_dir), _vectors(spark, sf_dir), _asked_vectors(spark, sf_dir))
+    return found.select("n_queries", "n_true", (F.col("recall") >= 0.95).alias("reached"))
+
+
 def get_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document asks for itself, its double, and an id that may not exist, in that order."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
@@ -209,7 +231,7 @@ def ir_metrics_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_topk, term_frequency, document_frequency, corpus_stats, idf_table, inverted_index, index_build, index_add, index_remove, index_segments, top_terms_per_doc, bm25_batch, bm25_pruned, dense_topk, get_by_ids, vector_dim_check, memory_cosine, stub_embedding, rrf_fusion, weighted_rrf, hybrid_search, interleaved_search, best_per_chunk, rerank_join, ir_metrics_per_query, ir_metrics_avg)
+    for f in (bm25_topk, term_frequency, document_frequency, corpus_stats, idf_table, inverted_index, index_build, index_add, index_remove, index_segments, top_terms_per_doc, bm25_batch, bm25_pruned, dense_topk, vector_index_all, vector_index_recall, get_by_ids, vector_dim_check, memory_cosine, stub_embedding, rrf_fusion, weighted_rrf, hybrid_search, interleaved_search, best_per_chunk, rerank_join, ir_metrics_per_query, ir_metrics_avg)
 }
 
 _LISTS = f"WITH {sql.bm25(sql.BENCH_TERMS, DEPTH)}, {sql.dense(sql.BENCH_VECTORS, DEPTH)}"
@@ -245,6 +267,8 @@ SELECT term, round(idf, 6) AS idf, df, n_postings, times, digest FROM digests JO
     "top_terms_per_doc": f"WITH {sql.POSTINGS} SELECT chunk_id, rank, term, tf FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY tf DESC, term)::INTEGER AS rank FROM posted) WHERE rank <= 10",
     "bm25_batch": f"WITH {sql.bm25(sql.BENCH_TERMS)} SELECT query_id, rank, chunk_id, score FROM sparse",
     "dense_topk": f"WITH {sql.dense('SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0')} SELECT query_id, rank, chunk_id, score FROM dense",
+    "vector_index_all": f"WITH {sql.dense('SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0')} SELECT query_id, rank, chunk_id, score FROM dense",
+    "vector_index_recall": "SELECT count(*)::BIGINT AS n_queries, (count(*) * 10)::BIGINT AS n_true, true AS reached FROM embeddings WHERE vec_id % 50 = 0",
     "get_by_ids": """
 SELECT request_id, position::INTEGER AS position, asked AS chunk_id, lang
 FROM (SELECT doc_id AS request_id, unnest([0, 1, 2]) AS position, unnest([doc_id, doc_id * 2, doc_id + 1000000]) AS asked FROM documents)

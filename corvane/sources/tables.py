@@ -26,6 +26,11 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return hashlib.sha256(repr(state).encode()).hexdigest()[:24]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def source_path(source: Column, doc_id: Column) -> Column:
     return F.concat(F.lit("data/documents/"), source, F.lit("/"), doc_id.cast("string"), F.lit(".md"))
 
