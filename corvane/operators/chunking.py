@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from corvane.functions import ids, text
@@ -176,38 +177,95 @@ def heading_number(line: str) -> str | None:
     return found[1] if found else None
 
 
-def merged_headings(chunks: list[str]) -> list[str]:
-    """Chunks in which a short one of headings alone is joined with the next: with text, or with a section below its own.
+class HeadingMerger:
+    """Joins a short chunk of headings alone with the next: with text, or with a section below its own. Chunks go in one by one.
 
     A title of the whole document stays alone, and a chunk that has taken another along takes no more.
     """
-    out: list[str] = []
-    waiting: str | None = None
-    for chunk in (c.strip() for c in chunks if c.strip()):
+
+    def __init__(self) -> None:
+        self.waiting: str | None = None
+
+    def take(self, chunk: str) -> list[str]:
+        """The chunks that are done once ``chunk`` has come."""
+        out: list[str] = []
+        chunk = chunk.strip()
+        if not chunk:
+            return out
         first = chunk.split("\n", 1)[0]
-        if waiting is not None:
-            head = waiting.split("\n", 1)[0]
+        if self.waiting is not None:
+            head = self.waiting.split("\n", 1)[0]
             above, below = heading_number(head), heading_number(first)
+            waiting, self.waiting = self.waiting, None
             if not HEADING.match(first) or (above and below and below.startswith(above + ".")):
-                out.append(f"{waiting}\n\n{chunk}")
-                waiting = None
-                continue
+                return [f"{waiting}\n\n{chunk}"]
             out.append(waiting)
         headings = all(HEADING.match(line.strip()) for line in chunk.split("\n") if line.strip())
-        waiting = chunk if headings and len(chunk) <= SHORT_HEADING and not re.match(r"#\s", first) else None
-        if waiting is None:
-            out.append(chunk)
-    return out + ([waiting] if waiting is not None else [])
+        if headings and len(chunk) <= SHORT_HEADING and not re.match(r"#\s", first):
+            self.waiting = chunk
+            return out
+        return [*out, chunk]
 
+    def end(self) -> list[str]:
+        out, self.waiting = [self.waiting] if self.waiting is not None else [], None
+        return out
 
-def section_pieces(sections: list[str], size: int = 1500, overlap: int = 200) -> list[str]:
-    """The chunks of a document's sections: no chunk reaches over a heading, and figures and tables stay whole where they fit."""
+
+def merged_headings(chunks: list[str]) -> list[str]:
+    """Chunks as HeadingMerger joins them."""
+    merger = HeadingMerger()
+    return [done for chunk in chunks for done in merger.take(chunk)] + merger.end()
+
+
+def pieces_of(section: str, size: int, overlap: int) -> list[str]:
+    """The chunks of one section before headings are merged."""
     out: list[str] = []
-    for section in sections:
-        for kind, block in protected_blocks(section):
-            out += split_by_size(block, size, overlap) if kind == "normal" else [block] if len(block) <= size else split_by_size(block, size, 0)
+    for kind, block in protected_blocks(section):
+        out += split_by_size(block, size, overlap) if kind == "normal" else [block] if len(block) <= size else split_by_size(block, size, 0)
     cleaned = (re.sub(r"[ \t]{2,}", " ", re.sub(r"\n{3,}", "\n\n", re.sub(r"^[\s.,;:!?，。；：！？]+", "", c.strip()))) for c in out)
-    return merged_headings([c for c in cleaned if c])
+    return [c for c in cleaned if c]
+
+
+def section_pieces(sections: list[str], size: int = 1500, overlap: int = 200) -> list[str]:
+    """The chunks of a document's sections: no chunk reaches over a heading, and figures and tables stay whole where they fit."""
+    return merged_headings([piece for section in sections for piece in pieces_of(section, size, overlap)])
+
+
+class SplitSections:
+    """A table function over sections (doc_id, section_index, text), partitioned by document and ordered: their chunks one after the other.
+
+    It holds one section and one waiting chunk, never a whole document.
+    """
+
+    def __init__(self) -> None:
+        self.merger, self.doc, self.n = HeadingMerger(), None, 0
+
+    def _out(self, done: list[str]) -> Iterator[tuple]:
+        for chunk in done:
+            yield self.doc, self.n, chunk
+            self.n += 1
+
+    def eval(self, row: Row, size: int, overlap: int) -> Iterator[tuple]:
+        self.doc = row["doc_id"]
+        for piece in pieces_of(row["text"], size, overlap):
+            yield from self._out(self.merger.take(piece))
+
+    def terminate(self) -> Iterator[tuple]:
+        yield from self._out(self.merger.end())
+
+
+def split_function(id_type: str = "bigint"):
+    """The table function that splits sections, for ``spark.udtf.register`` or for calls on a table; ``id_type`` is that of doc_id."""
+    return F.udtf(SplitSections, returnType=f"doc_id {id_type}, chunk_index int, text string")
+
+
+def split_by_function(docs: DataFrame, size: int = 1500, overlap: int = 200, include_references: bool = False, include_appendix: bool = False) -> DataFrame:
+    """The rows of ``split_documents`` by the table function: sections stream by in order, and none are gathered."""
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be smaller than the size")
+    kept = region_kept(sections(docs.select("doc_id", "text")), include_references, include_appendix).select("doc_id", "section_index", "text")
+    table = kept.asTable().partitionBy("doc_id").orderBy("section_index")
+    return split_function(docs.schema["doc_id"].dataType.simpleString())(table, F.lit(size), F.lit(overlap))
 
 
 def split_documents(docs: DataFrame, size: int = 1500, overlap: int = 200, include_references: bool = False, include_appendix: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -22,9 +22,10 @@ BUCKET_POSTINGS = 1 << 20
 COUNTS = "array<struct<term:string,tf:bigint>>"
 
 
-def term_stats(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """chunk_id and its terms, one row per chunk; chunks without terms stay, so they count in the corpus."""
-    return chunks.select(F.col(id_col).alias("chunk_id"), text.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
+def term_stats(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", tokens: Callable[[Column], Column] = text.tokens) -> DataFrame:
+    """chunk_id and its terms, one row per chunk; chunks without terms stay, so they count in the corpus. ``tokens`` cuts texts, those of
+    queries alike: ``Lexicon.tokens`` where words have no spaces between them."""
+    return chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
 
 
 def postings(stats: DataFrame) -> DataFrame:

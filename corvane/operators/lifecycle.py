@@ -84,3 +84,21 @@ def batch_outcomes(chunks: DataFrame, failed: Column, size: int = 10) -> DataFra
     batch = F.floor(F.col("chunk_index") / size).alias("batch")
     counted = chunks.groupBy("doc_id", batch).agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(failed).alias("n_failed"))
     return counted.withColumn("ok", F.col("n_failed") == 0)
+
+
+def batch_totals(outcomes: DataFrame) -> DataFrame:
+    """One row over all ``batch_outcomes``: batches and texts, those that failed and their share, the mean and the largest batch, and documents
+    of which a batch failed."""
+    texts = F.sum("n_texts")
+    lost = F.coalesce(F.sum(F.when(~F.col("ok"), F.col("n_texts"))), F.lit(0))
+    return outcomes.agg(
+        F.count(F.lit(1)).alias("n_batches"),
+        F.count_if(~F.col("ok")).alias("failed_batches"),
+        F.coalesce(texts, F.lit(0)).alias("n_texts"),
+        F.coalesce(F.sum("n_failed"), F.lit(0)).alias("failed_texts"),
+        lost.alias("lost_texts"),
+        F.round(F.coalesce(1 - lost / texts, F.lit(0.0)), 6).alias("success_rate"),
+        F.round(F.avg("n_texts"), 4).alias("mean_batch"),
+        F.max("n_texts").alias("largest_batch"),
+        F.countDistinct(F.when(~F.col("ok"), F.col("doc_id"))).alias("touched_documents"),
+    )
