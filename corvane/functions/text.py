@@ -248,8 +248,15 @@ def is_references(title: Column, text: Column) -> Column:
     return F.lower(title).contains("references") | F.lower(first_line(text)).rlike(r"^(## \*\*|## |# )references")
 
 
-def is_appendix(title: Column, text: Column) -> Column:
-    return F.lower(title).contains("appendix") | F.lower(first_line(text)).rlike(r"^(## \*\*|## |# )appendix")
+def is_appendix(title: Column, text: Column, single_hash: bool = True) -> Column:
+    """Outlines and evidence checks take ``# appendix`` as well, the search by metadata doesn't (``single_hash`` false)."""
+    heads = r"## \*\*|## |# " if single_hash else r"## \*\*|## "
+    return F.lower(title).contains("appendix") | F.lower(first_line(text)).rlike(f"^({heads})appendix")
+
+
+def section_kind(title: Column, text: Column) -> Column:
+    """references, appendix, or null, as a check of evidence leaves both out."""
+    return F.when(is_references(title, text), "references").when(is_appendix(title, text), "appendix")
 
 
 # What stands for a citation in an answer.

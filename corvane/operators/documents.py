@@ -21,6 +21,55 @@ def list_documents(chunks: DataFrame) -> DataFrame:
     return grouped.select("doc_id", "source_path", "doc_type", "chunk_count", text.rule_title(F.col("first.text")).alias("title"))
 
 
+LISTED, MOST_LISTED = 50, 500
+
+
+def listed(chunks: DataFrame, collection: str | None = None, limit: int = LISTED) -> DataFrame:
+    """position and the columns of ``list_documents``: the first ``limit`` documents (1 to MOST_LISTED) by path, title and id, of one
+    collection if it is given. A document without a path comes first."""
+    limit = max(1, min(int(limit), MOST_LISTED))
+    own = chunks.where(F.col("collection") == collection) if collection else chunks
+    path = F.coalesce("source_path", F.lit(""))
+    first = list_documents(own).orderBy(path, "title", F.col("doc_id").cast("string")).limit(limit)
+    order = Window.orderBy(path, "title", F.col("doc_id").cast("string"))  # MOST_LISTED rows
+    return first.withColumn("position", F.row_number().over(order) - 1).select("position", "doc_id", "source_path", "doc_type", "chunk_count", "title")
+
+
+def located(chunks: DataFrame, requests: DataFrame, hits: DataFrame) -> DataFrame:
+    """request_id, how, doc_id, n_matched: the document that each of ``requests`` (request_id, doc_id, query, source_path, title) means.
+
+    An id says it itself (given). A query means the document of its ``hits`` (request_id, doc_id) if they are all of one (searched). Without
+    both, path and title, each a part in any case, mean the one document of the listing that has them (matched). Several documents are
+    ambiguous, none is missing, and a request that says nothing is empty; these have no document.
+    """
+    blank = lambda c: F.nullif(text.strip(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(""))
+    asked = requests.select("request_id", blank("doc_id").alias("given"), blank("query").alias("query"), blank("source_path").alias("path"), blank("title").alias("heading"))
+    kind = F.when(F.col("given").isNotNull(), "given").when(F.col("query").isNotNull(), "searched").when(F.coalesce("path", "heading").isNotNull(), "matched").otherwise("empty")
+    asked = asked.withColumn("kind", kind)
+    found = hits.groupBy("request_id").agg(F.countDistinct("doc_id").alias("n_found"), F.min("doc_id").alias("found_id"))
+    listing = listed(chunks, limit=MOST_LISTED).select("doc_id", F.lower(F.coalesce("source_path", F.lit(""))).alias("own_path"), F.lower("title").alias("own_title"))
+    holds = lambda own, part: F.col(part).isNull() | F.contains(own, F.lower(F.col(part)))
+    # the listing has MOST_LISTED rows at most, which bounds what is sent
+    met = asked.where("kind = 'matched'").join(F.broadcast(listing), holds(F.col("own_path"), "path") & holds(F.col("own_title"), "heading"))
+    met = met.groupBy("request_id").agg(F.countDistinct("doc_id").alias("n_met"), F.min("doc_id").alias("met_id"))
+    out = asked.join(found, "request_id", "left").join(met, "request_id", "left")
+    n = F.coalesce(F.when(F.col("kind") == "searched", F.col("n_found")).when(F.col("kind") == "matched", F.col("n_met")).when(F.col("kind") == "given", F.lit(1)), F.lit(0)).cast("long")
+    one = F.when(F.col("kind") == "given", F.col("given")).when((F.col("kind") == "searched") & (n == 1), F.col("found_id").cast("string")).when((F.col("kind") == "matched") & (n == 1), F.col("met_id").cast("string"))
+    how = F.when((F.col("kind") == "empty") | (F.col("kind") == "given") | (n == 1), F.col("kind")).when(n > 1, "ambiguous").otherwise("missing")
+    return out.select("request_id", how.alias("how"), one.alias("doc_id"), n.alias("n_matched"))
+
+
+def located_texts(chunks: DataFrame, requests: DataFrame, hits: DataFrame, most: int = 120_000) -> DataFrame:
+    """``located`` with the full text of the document (``full_text``) and its number of chunks; an id that no document has is missing."""
+    where = located(chunks, requests, hits)
+    wanted = where.where("doc_id is not null").select("doc_id").distinct()
+    own = chunks.withColumn("doc_id", F.col("doc_id").cast("string")).join(wanted, "doc_id", "left_semi")
+    known = own.select("doc_id").distinct().withColumn("known", F.lit(True))
+    out = where.join(full_text(own, most), "doc_id", "left").join(known, "doc_id", "left")
+    how = F.when((F.col("how") == "given") & F.col("known").isNull(), "missing").otherwise(F.col("how"))
+    return out.select("request_id", how.alias("how"), F.when(how != "missing", F.col("doc_id")).alias("doc_id"), "n_matched", "n_chunks", "full_text")
+
+
 def summary(chunks: DataFrame) -> DataFrame:
     """A document's first lines that are no headings, up to 500 characters, with its number of chunks."""
     body = F.filter(F.transform(F.split("text", "\n"), text.strip), lambda line: (line != "") & ~line.rlike("^#{1,6}\\s"))
@@ -103,7 +152,7 @@ def structural(chunks: DataFrame, has_table: bool | None = None, has_image: bool
     if exclude_references:
         keep = keep & ~text.is_references(heading, body)
     if exclude_appendix:
-        keep = keep & ~text.is_appendix(heading, body)
+        keep = keep & ~text.is_appendix(heading, body, single_hash=False)
     if title:
         keep = keep & F.lower(heading).contains(title.lower())
     return chunks.where(keep)

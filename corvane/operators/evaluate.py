@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METRICS = ("hit_rate", "mrr", "hit_at_1", "hit_at_5", "recall_at_5", "recall_at_10")
@@ -30,21 +34,54 @@ def per_query(results: DataFrame, truth: DataFrame, queries: DataFrame) -> DataF
 
 
 KEY_WORDS = 5  # words of a passage by which texts are found
+SENT_PASSAGES = 20_000  # passages that are sent to all tasks, by their first NEEDLE characters
+NEEDLE = 48
+
+
+def _words(c) -> Column:
+    return F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
 def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """query_id, chunk_id: the texts of ``docs`` (chunk_id, text) that hold a whole passage of ``passages`` (query_id, text).
 
-    Texts meet passages in KEY_WORDS words in a row, those behind a passage's first word, and are then searched for all of
-    it. A passage of fewer than KEY_WORDS + 2 words meets them in as many of its inner words as it has; one of two words or
-    fewer in none, and is not found.
+    Up to SENT_PASSAGES passages are looked for in each text where it stands, all at once by an automaton of how they begin, and compared
+    whole where one begins. More of them meet the texts in a join. A passage of two words or fewer is not found.
     """
-    words = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    keyed = passages.select("query_id", F.col("text").alias("passage"), words("text").alias("w")).where(F.size("w") > 2)
+    wanted = passages.where(F.size(_words("text")) > 2).select("query_id", "text")
+    n = wanted.count()
+    if n > SENT_PASSAGES:
+        return _joined_holders(docs, wanted)
+    id_type, query_type = docs.schema["chunk_id"].dataType.simpleString(), passages.schema["query_id"].dataType.simpleString()
+    held = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in wanted.collect()])
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begins: dict[str, list[tuple]] = {}
+        for query, passage in held.value:
+            begins.setdefault(passage[:NEEDLE], []).append((query, passage))
+        machine = ahocorasick.Automaton()
+        for begin, own in begins.items():
+            machine.add_word(begin, own)
+        if begins:
+            machine.make_automaton()
+        for batch in batches:
+            pairs = set()
+            for chunk, body in zip(batch["chunk_id"], batch["text"], strict=True):
+                for end, own in machine.iter(body) if begins and body else ():
+                    pairs |= {(query, chunk) for query, passage in own if body.startswith(passage, end + 1 - min(NEEDLE, len(passage)))}
+            yield pd.DataFrame({"query_id": pd.Series([q for q, _ in pairs], dtype=object), "chunk_id": pd.Series([c for _, c in pairs], dtype=object)})
+
+    return docs.select("chunk_id", "text").mapInPandas(found, f"query_id {query_type}, chunk_id {id_type}").distinct()
+
+
+def _joined_holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """Texts meet passages in KEY_WORDS words in a row, those behind a passage's first word, or in as many inner words as it has, and are then
+    searched for all of it."""
+    keyed = passages.select("query_id", F.col("text").alias("passage"), _words("text").alias("w"))
     keyed = keyed.select("query_id", "passage", F.slice("w", F.lit(2), F.least(F.lit(KEY_WORDS), F.size("w") - 2)).alias("k"))
     keyed = keyed.select("query_id", "passage", F.size("k").alias("n"), F.array_join("k", " ").alias("key"))
     sizes = [r[0] for r in keyed.select("n").distinct().collect()] or [KEY_WORDS]  # KEY_WORDS numbers at most
-    found = docs.select("chunk_id", words("text").alias("w"), F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n"))
+    found = docs.select("chunk_id", _words("text").alias("w"), F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n"))
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))
     found = found.where(F.size("w") >= F.col("n")).select("chunk_id", "n", F.explode(F.array_distinct(runs)).alias("key"))
     met = found.join(keyed.select("n", "key", "query_id"), ["n", "key"]).select("query_id", "chunk_id").distinct()

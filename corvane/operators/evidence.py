@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text
@@ -81,18 +81,26 @@ def consistent(evaluations: DataFrame) -> DataFrame:
 GRAM = 6
 
 
+def _grams(name: str, n) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substr(F.col(name), i, n)))
+
+
 def containing(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     """asked_id, chunk_id: all ids of ``chunks`` that contain an asked one.
 
-    Ids meet in the first GRAM characters of the asked one (all, if it is shorter), which a chunk's id has somewhere.
+    Ids meet in GRAM characters of the asked one (all, if it is shorter): those that the fewest chunks' ids have, so that ids which
+    begin alike don't meet all. One of whose grams no id has is contained in none.
     """
     keyed = asked.select("asked_id").distinct().where(F.length("asked_id") > 0)
-    keyed = keyed.select("asked_id", F.least(F.lit(GRAM), F.length("asked_id")).alias("n"), F.substring("asked_id", 1, GRAM).alias("gram"))
+    keyed = keyed.withColumn("n", F.least(F.lit(GRAM), F.length("asked_id")))
     sizes = [r[0] for r in keyed.select("n").distinct().collect()] or [GRAM]  # GRAM numbers at most
+    keyed = keyed.select("asked_id", "n", F.explode(_grams("asked_id", F.col("n"))).alias("gram"))
     ids = chunks.select("chunk_id").distinct().select("chunk_id", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n")).where(F.length("chunk_id") >= F.col("n"))
-    grams = F.transform(F.sequence(F.lit(1), F.length("chunk_id") - F.col("n") + 1), lambda i: F.substr(F.col("chunk_id"), i, F.col("n")))
-    met = ids.select("chunk_id", "n", F.explode(F.array_distinct(grams)).alias("gram")).join(keyed, ["n", "gram"])
-    return met.where(F.contains("chunk_id", "asked_id")).select("asked_id", "chunk_id")
+    have = ids.select("chunk_id", "n", F.explode(_grams("chunk_id", F.col("n"))).alias("gram"))
+    counts = have.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("times"))
+    rarest = keyed.join(counts, ["n", "gram"], "left").groupBy("asked_id", "n").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "gram")).alias("g"))
+    rarest = rarest.where("g.times > 0").select("asked_id", "n", F.col("g.gram").alias("gram"))
+    return have.join(rarest, ["n", "gram"]).where(F.contains("chunk_id", "asked_id")).select("asked_id", "chunk_id")
 
 
 def resolve_ids(asked: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -143,3 +151,37 @@ def normalised(results: DataFrame) -> DataFrame:
     own = F.array(F.struct(F.lit("").alias("chunk_id"), blank(F.col("source")).alias("source"), F.nullif(text.strip(F.col("text")), F.lit("")).alias("text_snippet")))
     pieces = F.filter(F.when(F.size("citations") > 0, cited).otherwise(own), lambda c: c["text_snippet"].isNotNull())
     return results.select("result_id", F.posexplode(pieces).alias("position", "c")).select("result_id", "position", "c.*")
+
+
+# How a tool result is summed up.
+ERROR_MARK, IMAGE_NOTE, CUT_MARK = "[error]", ("[含 ", " 张图，未展开]"), "…[truncated]"
+
+
+def capped(body: Column, most: int) -> Column:
+    """A text of more than ``most`` characters cut, with a mark; 0 is no bound."""
+    if not most:
+        return body
+    return F.when(F.length(body) > most, F.concat(F.substring(body, 1, most - 13), F.lit(CUT_MARK))).otherwise(body)
+
+
+def result_summary(content: Column, is_error: Column, most: int = 0) -> Column:
+    """A tool's result (array of struct type, text) as one text: a mark if it is an error, its texts, and how many images it has."""
+    from corvane.functions import text
+
+    texts = F.transform(F.filter(content, lambda b: (b["type"] == "text") & (F.length(b["text"]) > 0)), lambda b: b["text"])
+    n_images = F.size(F.filter(content, lambda b: b["type"] == "image"))
+    none = F.array().cast("array<string>")
+    note = F.when(n_images > 0, F.concat(F.lit(IMAGE_NOTE[0]), n_images.cast("string"), F.lit(IMAGE_NOTE[1])))
+    mark = F.when(F.coalesce(is_error, F.lit(False)), F.array(F.lit(ERROR_MARK))).otherwise(none)
+    parts = F.concat(mark, F.coalesce(texts, none), F.when(note.isNotNull(), F.array(note)).otherwise(none))
+    return capped(text.strip(F.array_join(parts, " ")), most)
+
+
+def trace_text(steps: DataFrame, by: str = "task_id", most: int = 4_000) -> DataFrame:
+    """``by`` and trace: the steps (by, position, tool_name, summary) of each task, a line each, up to ``most`` characters."""
+    line = F.concat(F.coalesce("tool_name", F.lit("")), F.lit(": "), F.coalesce("summary", F.lit("")))
+    order = Window.partitionBy(by).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    # lines that begin behind the bound need not be gathered, but one tells that there are more
+    near = steps.withColumn("line", line).withColumn("before", F.coalesce(F.sum(F.length("line") + 1).over(order), F.lit(0))).where(F.col("before") <= most + 1)
+    joined = near.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("position", "line"))).alias("s"))
+    return joined.select(by, capped(F.array_join(F.col("s.line"), "\n"), most).alias("trace"))

@@ -54,6 +54,17 @@ def compressed(body: Column, most_sentences: int = 5, most_chars: int = 2048) ->
     return F.substring(F.array_join(F.slice(text.plain_sentences(body), 1, most_sentences), ". "), 1, most_chars)
 
 
+def compressed_many(bodies: DataFrame, by: str, most_chars: int = 2048) -> DataFrame:
+    """``by`` and text: without a model, the bodies (by, position, text, score) of each group, the highest score first, up to ``most_chars``. Bodies without
+    text go, a missing score is 0.5, and equal scores keep their order."""
+    kept = bodies.withColumn("text", text.strip(F.coalesce("text", F.lit("")))).where("text <> ''").withColumn("score", F.coalesce("score", F.lit(0.5)))
+    order = Window.partitionBy(by).orderBy(F.desc("score"), "position").rowsBetween(Window.unboundedPreceding, -1)
+    # what stands behind the bound need not be gathered
+    needed = kept.withColumn("before", F.coalesce(F.sum(F.length("text") + 1).over(order), F.lit(0))).where(F.col("before") < most_chars)
+    joined = needed.groupBy(by).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "position", "text"))).alias("parts"))
+    return joined.select(by, text.strip(F.substring(F.array_join(F.col("parts.text"), " "), 1, most_chars)).alias("text"))
+
+
 def lookup(items: DataFrame, query: Column, k: int = 8) -> DataFrame:
     """The k items (item_id, embedding, score) closest to a vector, those without a vector by their stored score."""
     near = F.when(F.size("embedding") > 0, F.greatest(F.lit(0.0), scoring.cosine(F.col("embedding"), query))).otherwise(F.col("score"))
@@ -84,15 +95,20 @@ def recall(short: DataFrame, long: DataFrame, queries: DataFrame, k: int = 8) ->
     """query_id, rank, store, item_id, similarity: the best k of both stores for each of ``queries`` (query_id, embedding).
 
     An item of ``short`` (item_id, embedding, score) may have several rows, one a body: its best cosine counts, or its stored
-    score where no body has a vector. ``long`` has item_id and embedding. Queries are few and sent to all tasks; more than
-    10,000 are an error.
+    score where no body has a vector. ``long`` has item_id and embedding. Both stores are searched as ``search.best_pairs`` does, so queries
+    may be many; vectors of another length than a query's are no match.
     """
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("recall takes 10,000 queries at a time")
-    asks = F.broadcast(queries.select("query_id", F.col("embedding").alias("ask")))
-    near = F.greatest(F.lit(0.0), scoring.cosine(F.col("embedding"), F.col("ask")))
-    own = short.join(asks).groupBy("query_id", "item_id").agg(F.coalesce(F.max(F.when(F.size("embedding") > 0, near)), F.max("score")).alias("similarity"))
-    others = long.join(asks).select("query_id", "item_id", near.alias("similarity"))
+    from corvane.operators import search
+
+    asks = queries.select("query_id", "embedding")
+    vectors = lambda store: store.where(F.size("embedding") > 0).select(F.col("item_id").alias("chunk_id"), "embedding")
+    cosine = F.greatest(F.lit(0.0), 2 * F.col("score") - 1).alias("similarity")  # of a score, which is (1 + cosine) / 2
+    own = search.best_pairs(vectors(short), asks, k, distinct=True).groupBy("query_id", F.col("chunk_id").alias("item_id")).agg(F.max("score").alias("score")).select("query_id", "item_id", cosine)
+    # items without any vector: the best k of them are the same for all queries
+    bare = short.groupBy("item_id").agg(F.max(F.when(F.size("embedding") > 0, True)).alias("has"), F.max("score").alias("similarity")).where("has is null")
+    bare = bare.orderBy(F.desc(F.round("similarity", 9)), "item_id").limit(k).select("item_id", "similarity")
+    own = own.unionByName(asks.select("query_id").join(F.broadcast(bare)).select("query_id", "item_id", "similarity"))  # k rows are sent
+    others = search.best_pairs(vectors(long), asks, k).select("query_id", F.col("chunk_id").alias("item_id"), cosine)
     both = own.withColumn("store", F.lit("short")).unionByName(others.withColumn("store", F.lit("long")))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "store", "item_id")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "store", "item_id", F.round("similarity", 6).alias("similarity"))

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from corvane.functions import ids, text
 from corvane.operators import documents, evaluate, evidence, lifecycle, memory, search
 from corvane.plans import retrieval, sql, texts
-from corvane.session import scratch_folder
+from corvane.session import scratch_folder, staged
 from corvane.sources.tables import source_path, spread, table
 from corvane.streaming import memory as stream_memory
 
@@ -93,7 +93,11 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Benchmark passages as answers, the documents that they name as evidence."""
     answers = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("answer_id"), "text")
-    return answers, _asked(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return answers, _evidence(spark, sf_dir, _asked(spark, sf_dir))
+
+
+def _evidence(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    return asked.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def evidence_support(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,12 +105,14 @@ def evidence_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers, chunks = _answers(spark, sf_dir)
+    answers = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("answer_id"), "text")
+    asked = staged(_asked(spark, sf_dir), "asked")  # searched once
+    chunks = _evidence(spark, sf_dir, asked)
     weak = evidence.support(answers, chunks).groupBy("answer_id").agg(F.count_if("unsupported").alias("n_unsupported"))
     found = chunks.groupBy("answer_id").agg(F.count(F.lit(1)).alias("n_found"), F.count_if(text.is_references(F.lit(""), F.col("text"))).alias("n_references"))
     facts = answers.select("answer_id", F.size(text.sentences(F.col("text"))).alias("n_sentences"), text.has_citation(F.col("text")).alias("cited"))
     known = table(spark, sf_dir, "documents").select("doc_id").distinct()
-    missing = _asked(spark, sf_dir).join(known, "doc_id", "left_anti").groupBy("answer_id").agg(F.count(F.lit(1)).alias("n_missing"))
+    missing = asked.join(known, "doc_id", "left_anti").groupBy("answer_id").agg(F.count(F.lit(1)).alias("n_missing"))
     facts = facts.join(weak, "answer_id", "left").join(found, "answer_id", "left").join(missing, "answer_id", "left").na.fill(0)
     return evidence.verdicts(facts, 2).select("answer_id", "n_found", "n_missing", "n_sentences", "n_unsupported", "score", "passed")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import ids, scoring, text
 from corvane.operators import chunking, documents, evidence, images, lifecycle, memory, search
 from corvane.plans import corpus, retrieval, sql
+from corvane.session import staged
 from corvane.sources.tables import source_path, spread, table
 
 
@@ -18,6 +19,12 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("chunk_id"), "text", path.alias("source_path"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_ref"), F.array("lang", "source").alias("tags"), F.lit("").alias("heading"))
 
 
+def _staged_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The candidates, searched once for the ranking and the reranker."""
+    dense, sparse = retrieval._lists(spark, sf_dir)
+    return staged(dense, "dense"), staged(sparse, "sparse")
+
+
 def _rerank_scores(spark: SparkSession, sf_dir: str, lists: tuple[DataFrame, DataFrame]) -> DataFrame:
     """Lengths of documents stand for a reranker's scores."""
     asked = lists[0].select("query_id", "chunk_id").union(lists[1].select("query_id", "chunk_id")).distinct()
@@ -29,12 +36,12 @@ SHOWN_COLUMNS = ("query_id", "index", "chunk_id", "source", "score", "rerank_sco
 
 def knowledge_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark passage asked as a question, eight answers each."""
-    lists = retrieval._lists(spark, sf_dir)
+    lists = _staged_lists(spark, sf_dir)
     return search.knowledge_query(*lists, _chunks(spark, sf_dir), _rerank_scores(spark, sf_dir, lists), 8).select(*SHOWN_COLUMNS)
 
 
 def metadata_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = retrieval._lists(spark, sf_dir)
+    lists = _staged_lists(spark, sf_dir)
     found = search.metadata_search(*lists, _chunks(spark, sf_dir), _rerank_scores(spark, sf_dir, lists), 5, source_path="/SRC", tags=["EN"], has_image=False, exclude_references=True)
     return found.select(*SHOWN_COLUMNS)
 
