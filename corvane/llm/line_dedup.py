@@ -6,8 +6,8 @@ SPAN - MIN_WORDS + 1 runs in a row the one with the least hash, so that two text
 one run alike. A run's hash is rare enough to tell where a passage was taken from, and its owner is the first
 document that has it. A document is paired with the owners of its runs, so pairs number no more than runs, however
 many documents share a passage. Each pair is aligned by patience diff on its common runs, aligned runs grow to common
-blocks, compared word by word, and these are cut from the later document. The alignment decides: of what both have,
-runs below SPAN words that no alignment brings into order stay. The first document to have a run never loses it.
+blocks, compared word by word, and these are cut from the later document. What is left in common has moved, and is
+aligned again, and at last block by block, until nothing is left: one law for passages of any length. The first document to have a run never loses it.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ MIN_WORDS = 20
 #: A passage of this many words is looked up wherever it stands.
 SPAN = 50
 CHANCE_WORDS = 2
-#: Alignments of a pair: the first finds what stands in order, the others blocks that moved.
-ROUNDS = 4
-#: Divisions of a part of two texts in one alignment.
+#: Alignments of a pair as a whole: the first finds what stands in order, the others blocks that moved together.
+ROUNDS = 8
+#: Divisions of a part of two texts in one alignment; what it leaves is aligned in the next.
 DEPTH = 40
 #: Pairs with one owner that go to a task together.
 OWNER_PAIRS = 500
@@ -96,7 +96,7 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
 
     Equal ends are matched first. What is left is divided at items that are unique in both, by the longest rising
     sequence of them; where there is none, at the first places of the item that is least frequent. A part that has
-    been divided DEPTH times is left as it is, so that the work stays below DEPTH passes over both.
+    been divided DEPTH times is left to a further alignment, so that the work of one stays below DEPTH passes over both.
     """
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b), 0)]
@@ -177,35 +177,37 @@ def aligned_words(earlier: tuple[list[bytes], np.ndarray], later: tuple[list[byt
 
     Of each stretch of runs that both have, the first is an anchor. Anchors are aligned by patience diff; each aligned
     pair grows to a block as long as the words themselves agree, backwards and forwards. Blocks that moved are out of
-    order and come with a further alignment of what is left, ROUNDS in all. What then still stands out of order
-    stays, except passages of SPAN words or more, which go wherever they stand. Every block is compared word by
-    word, not by hash.
+    order; they come with ROUNDS further alignments of what is left in common. Blocks that are then still in order with no
+    other are aligned one by one, so that no run that both have stays. Every block is compared word by word, not by hash: an anchor
+    whose words differ is none.
     """
     (a, a_hashes), (b, b_hashes) = earlier, later
     a_runs, b_runs = run_hashes(a_hashes, least), run_hashes(b_hashes, least)
     gone = np.zeros(len(b), bool)
     common = np.flatnonzero(np.isin(b_runs, a_runs))
+    a_places = np.flatnonzero(np.isin(a_runs, b_runs[common]))  # where anchors can be, for all alignments
     for _ in range(ROUNDS):
         if not len(common):
-            break
+            return gone
         heads = common[np.diff(common, prepend=-2) > 1]
-        places = np.flatnonzero(np.isin(a_runs, b_runs[heads]))
+        places = a_places[np.isin(a_runs[a_places], b_runs[heads])]
+        differ = []
         for x, y in patience(a_runs[places].tolist(), b_runs[heads].tolist()):
             i, j = int(places[x]), int(heads[y])
             n = _agreeing(a, b, i, j)
             if n >= least:
                 gone[j - _agreeing(a, b, i, j, -1) : j + n] = True
+            else:
+                differ.append(j)
         before = np.concatenate([[0], np.cumsum(gone)])
-        common = common[before[common + least] - before[common] < least]
-    if len(common):
-        spans = run_hashes(a_hashes, SPAN)
-        values, first = np.unique(spans, return_index=True)
-        here = run_hashes(b_hashes, SPAN)
-        for j in np.flatnonzero(np.isin(here, spans)).tolist():
-            if not gone[j : j + SPAN].all():
-                i = int(first[np.searchsorted(values, here[j])])
-                if a[i : i + SPAN] == b[j : j + SPAN]:
-                    gone[j : j + SPAN] = True
+        common = common[(before[common + least] - before[common] < least) & ~np.isin(common, differ)]
+    place = dict(zip(a_runs[a_places[::-1]].tolist(), a_places[::-1].tolist(), strict=True))
+    for j in common.tolist():
+        if not gone[j : j + least].all():
+            i = place[int(b_runs[j])]
+            n = _agreeing(a, b, i, j)
+            if n >= least:
+                gone[j - _agreeing(a, b, i, j, -1) : j + n] = True
     return gone
 
 
