@@ -11,6 +11,7 @@ It is matched against the whole canonical URL: a dot, the host in lower case, th
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,7 @@ GLOBS = [
     ("block", "**.ads-track.**"),
 ]
 DEFAULT = "allow"
+LONG = 4_096  # bytes of a URL that is walked by itself
 
 
 def host_of(url: Column) -> Column:
@@ -103,8 +105,30 @@ class ShiftAnd:
             start[state // 64] |= np.uint64(1) << np.uint64(state % 64)
         return ShiftAnd(accept, loop, start, np.array(finals, dtype=np.int64))
 
+    @cached_property
+    def _whole(self) -> tuple[list[int], list[int], int]:
+        """The masks of each byte and the start, all words of them as one number."""
+        number = lambda row: int.from_bytes(np.ascontiguousarray(row).astype("<u8").tobytes(), "little")
+        return [number(r) for r in self.accept], [number(r) for r in self.loop], number(self.start)
+
+    def _walked(self, subject: bytes) -> int:
+        """``first_match`` of one subject, by itself."""
+        accept, loop, state = self._whole
+        for byte in subject:
+            state = ((state << 1) & accept[byte]) | (state & loop[byte])
+        return next((glob for glob, bit in enumerate(self.finals.tolist()) if state >> bit & 1), -1)
+
     def first_match(self, subjects: list[bytes]) -> np.ndarray:
-        """For each subject the number of the first glob that matches all of it, or -1."""
+        """For each subject the number of the first glob that matches all of it, or -1. Subjects of up to LONG bytes step together, longer ones
+        are walked one by one, so that none holds up the others."""
+        found = np.full(len(subjects), -1, np.int64)
+        for i in [i for i, s in enumerate(subjects) if len(s) > LONG]:
+            found[i] = self._walked(subjects[i])
+        short = [i for i, s in enumerate(subjects) if len(s) <= LONG]
+        found[short] = self._stepped([subjects[i] for i in short])
+        return found
+
+    def _stepped(self, subjects: list[bytes]) -> np.ndarray:
         found = np.full(len(subjects), -1, np.int64)
         order = np.argsort([-len(s) for s in subjects], kind="stable")
         lengths = np.array([len(subjects[i]) for i in order], dtype=np.int64)

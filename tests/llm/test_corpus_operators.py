@@ -331,6 +331,30 @@ def test_warc(spark, tmp_path):
     assert warc.read_records(spark, none).count() == 0
 
 
+def test_very_long_urls(spark):
+    """A URL of a megabyte is walked like any other and holds up none."""
+    long = "a" * 1_000_000
+    urls = [f"http://b.com/{long}", f"http://www.cheap-pills.net/{long}", f"http://{long}.casino-x/{long}", f"http://a.org/{long}", "http://www.cheap-pills.net/x", "http://plain.net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    start = time.perf_counter()
+    got = {r["page_id"]: (r["rule"], r["verdict"], len(r["path"])) for r in url_filter.url_filter(pages).collect()}
+    assert time.perf_counter() - start < 60
+    assert got == {0: (None, "allow", 1_000_001), 1: (None, "block", 1_000_001), 2: (None, "block", 1_000_001), 3: ("org/", "allow", 1_000_001), 4: (None, "block", 2), 5: (None, "allow", 1)}
+    machine = url_filter.ShiftAnd.compile([g for _, g in url_filter.GLOBS])
+    subjects = [u.encode() for u in ("b.com/x", "www.cheap-pills.net/", "a.casino-q/x", "x.adult-z.y", "", "casino-/")]
+    assert [machine._walked(s) for s in subjects] == machine._stepped(subjects).tolist()
+
+
+def test_very_large_pages(spark, tmp_path):
+    body = "<p>é large</p>\r\n" * 400_000  # 6 MB, twice
+    pages = spark.createDataFrame([(1, "u1", body), (2, "u2", body), (3, "u3", body + "x")], "page_id long, url string, html string")
+    path = str(tmp_path / "w")
+    warc.write_archive(pages, path)
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_records(spark, path).collect()}
+    size = len(body.encode())
+    assert got == {1: (size, "response", None), 2: (size, "revisit", 1), 3: (size + 1, "response", None)}
+
+
 def test_urls_come_back_as_they_were(spark, tmp_path):
     urls = ["http://a/x\u2028tail", "http://b/y\u0085tail", "http://c/a b", "http://d/%20+%2B", "http://d/%20 +%2B\r\nWARC-Type: x", "", None, "\x00\t\x7fé", "http://e/?q=: x"]
     pages = spark.createDataFrame([(i, u, f"page {i % 2}") for i, u in enumerate(urls)], "page_id long, url string, html string")
