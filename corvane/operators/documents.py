@@ -172,6 +172,13 @@ def resolve(docs: DataFrame, asked: DataFrame, fields: Sequence[str] = ("doc_id"
     return out.select("asked_id", F.coalesce("exact_id", F.when(F.col("n") == 1, F.col("part_id"))).alias("doc_id"), how.alias("how"))
 
 
+def counts(docs: DataFrame, chunks: DataFrame, images: DataFrame) -> DataFrame:
+    """doc_id, n_chunks, n_images for each of ``docs`` (doc_id), none counting as 0, from its ``chunks`` and ``images`` (doc_id)."""
+    per_doc = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
+    met = docs.select("doc_id").join(per_doc(chunks, "n_chunks"), "doc_id", "left").join(per_doc(images, "n_images"), "doc_id", "left")
+    return met.na.fill(0, ["n_chunks", "n_images"])
+
+
 def detail(ledger: DataFrame, chunks: DataFrame, images: DataFrame) -> DataFrame:
     """A row for each ledger entry with the ids of its document's chunks (file_hash, chunk_index, chunk_id) and images
     (file_hash, image_id), in order."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text
-from corvane.operators import chunking, documents, evidence, lexicon, lifecycle, memory, stages
+from corvane.operators import chunking, documents, evidence, lexicon, lifecycle, memory, search, stages
 from corvane.plans import corpus, retrieval, sql, stores, texts, tools
 from corvane.session import scratch_folder, staged
 from corvane.sources import files
@@ -142,9 +142,47 @@ def splitter_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count_if(F.col("streamed").isNull()).alias("only_gathered"), F.count_if(F.col("gathered").isNull()).alias("only_streamed"), (F.count(F.lit(1)) > 0).alias("any"))
 
 
+def episodic_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As of the middle of the events: what came in the seven days before it, and nothing after."""
+    e = corpus._events(spark, sf_dir)
+    low, high = e.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()
+    as_of = F.timestamp_seconds(F.lit(int(low + 0.6 * (high - low))))
+    v = table(spark, sf_dir, "embeddings")
+    events = e.select(F.col("user_id").alias("session_id"), "event_id", "ts", F.col("props").alias("text"))
+    return memory.episodic(events, v.select((F.col("vec_id") + 1).alias("event_id"), "embedding"), v.select(F.col("vec_id").alias("session_id"), "embedding"), as_of).select("session_id", "rank", "event_id", "similarity")
+
+
+def evidence_ids_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks by their whole id, by a part from its middle, and by an id that no chunk has."""
+    chunks = corpus.paragraphs(spark, sf_dir).select("chunk_id").distinct()
+    asked = chunks.select(F.explode(F.array("chunk_id", F.substring("chunk_id", 6, 11), F.concat(F.lit("no"), "chunk_id"))).alias("asked_id"))
+    return evidence.resolve_ids(asked, chunks)
+
+
+def second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a second run over the ledger of the first: those done before are skipped, the others succeed or fail."""
+    ledger = corpus._ledger(spark, sf_dir).select("file_hash", "status")
+    found = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).groupBy(F.sha2("text", 256).alias("file_hash")).agg(F.min("doc_id").alias("doc_id"))
+    todo = lifecycle.pending(found, ledger)
+    ran = todo.select("file_hash", F.when(F.col("doc_id") % 5 == 0, "failed").otherwise("success").alias("status"))
+    skipped = found.join(todo.select("file_hash"), "file_hash", "left_anti").select("file_hash", F.lit("skipped").alias("status"))
+    new = corpus.paragraphs(spark, sf_dir).join(todo.where("doc_id % 5 <> 0").select("doc_id"), "doc_id", "left_semi")
+    return lifecycle.ingestion_summary(ran.unionByName(skipped), new)
+
+
+def knowledge_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with their images; a question in three has no rerank scores and falls back on the order of retrieval."""
+    lists = tools._staged_lists(spark, sf_dir)
+    marked = F.concat(F.lit("[IMAGE: i"), (F.col("chunk_id") % 5).cast("string"), F.lit("] "), "text", F.lit(" [IMAGE: z]"))
+    chunks = tools._chunks(spark, sf_dir).withColumn("text", marked)
+    scores = tools._rerank_scores(spark, sf_dir, lists).where("query_id % 3 > 0")
+    found = search.knowledge_query(*lists, chunks, scores, 4)
+    return found.select("query_id", "index", "chunk_id", "score", "rerank_score", "fallback", F.array_join("images", ",").alias("images"), "shown", "n_more")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (listed_documents, full_text_located, section_kinds, compressed_memories, result_summaries, trace_texts, batch_totals, stage_outcomes, stage_totals, golden_cases, paper_metadata, lexicon_words, lexicon_terms, splitter_function)
+    for f in (episodic_week, evidence_ids_all, second_run, knowledge_response, listed_documents, full_text_located, section_kinds, compressed_memories, result_summaries, trace_texts, batch_totals, stage_outcomes, stage_totals, golden_cases, paper_metadata, lexicon_words, lexicon_terms, splitter_function)
 }
 
 _P = f"WITH {sql.PARAGRAPHS}"
@@ -156,6 +194,26 @@ e AS (SELECT *, NOT long AND regexp_matches(refined, '[0-9]') AS digit FROM r)""
 _LISTED = f"""firsts AS (SELECT doc_id, source_path, source, count(*)::BIGINT AS chunk_count, arg_min(text, chunk_index) AS text FROM chunks GROUP BY doc_id, source_path, source),
 listing AS (SELECT doc_id, source_path, source, chunk_count, {texts.TITLE} AS title FROM firsts)"""
 ORACLES = {
+    "episodic_week": """WITH b AS (SELECT to_timestamp(floor(min(epoch(ts)) + 0.6 * (max(epoch(ts)) - min(epoch(ts)))))::TIMESTAMP AS as_of FROM events),
+near AS (SELECT e.user_id AS session_id, e.event_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s
+  FROM events e JOIN b ON e.ts <= as_of AND e.ts >= as_of - INTERVAL 7 DAYS JOIN embeddings v ON v.vec_id + 1 = e.event_id JOIN embeddings q ON q.vec_id = e.user_id)
+SELECT session_id, rank, event_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY round(s, 9) DESC, event_id)::INTEGER AS rank FROM near) WHERE rank <= 2""",
+    "evidence_ids_all": f"""{_P},
+ids AS (SELECT DISTINCT chunk_id FROM chunks),
+asked AS (SELECT DISTINCT unnest([chunk_id, substr(chunk_id, 6, 11), 'no' || chunk_id]) AS asked_id FROM ids),
+keys AS (SELECT chunk_id, unnest(list_transform(range(1, length(chunk_id) - 9), lambda i: substr(chunk_id, i, 11))) AS asked_id FROM ids UNION ALL SELECT chunk_id, chunk_id FROM ids),
+best AS (SELECT asked_id, coalesce(min(CASE WHEN chunk_id = asked_id THEN chunk_id END), min(chunk_id)) AS chunk_id FROM keys GROUP BY asked_id)
+SELECT asked_id, chunk_id, chunk_id = asked_id AS exact FROM asked LEFT JOIN best USING (asked_id)""",
+    "second_run": f"""WITH {corpus._LEDGER}, {sql.PARAGRAPHS},
+r AS (SELECT f.file_hash, f.doc_id, CASE WHEN l.status = 'success' THEN 'skipped' WHEN f.doc_id % 5 = 0 THEN 'failed' ELSE 'success' END AS status FROM firsts f LEFT JOIN ledger l USING (file_hash))
+SELECT count_if(status = 'success')::BIGINT AS n_success, count_if(status = 'failed')::BIGINT AS n_failed, count_if(status = 'skipped')::BIGINT AS n_skipped, (SELECT count(*) FROM chunks WHERE doc_id IN (SELECT doc_id FROM r WHERE status = 'success'))::BIGINT AS n_chunks FROM r""",
+    "knowledge_response": f"""{retrieval._LISTS}, {sql.RRF.format("1.0::DOUBLE", "1.0::DOUBLE").replace("rank <= 10", "rank <= 8")},
+cand AS (SELECT query_id, rank, chunk_id, score FROM fused_top WHERE query_id IN (SELECT query_id FROM dense) AND query_id IN (SELECT query_id FROM sparse)
+  UNION ALL SELECT query_id, rank, chunk_id, score FROM dense WHERE rank <= 8 AND query_id NOT IN (SELECT query_id FROM sparse)
+  UNION ALL SELECT query_id, rank, chunk_id, score FROM sparse WHERE rank <= 8 AND query_id NOT IN (SELECT query_id FROM dense)),
+met AS (SELECT query_id, chunk_id, score, CASE WHEN query_id % 3 > 0 THEN n_chars::DOUBLE END AS rerank_score, query_id % 3 = 0 AS fallback, 'i' || (doc_id % 5) || ',z' AS images, rank FROM cand JOIN documents ON doc_id = chunk_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, rank, chunk_id)::INTEGER AS index FROM met)
+SELECT query_id, index, chunk_id, score, rerank_score, fallback, images, index <= 5 AS shown, greatest(0, count(*) OVER (PARTITION BY query_id) - 5)::BIGINT AS n_more FROM placed WHERE index <= 4""",
     "listed_documents": f"{_P}, {_LISTED} SELECT (row_number() OVER (ORDER BY source_path, title, doc_id::VARCHAR) - 1)::INTEGER AS position, doc_id, source_path, chunk_count, title FROM listing WHERE source = 'src1' ORDER BY position LIMIT 40",
     "full_text_located": rf"""{_P}, {sql.bm25(sql.BENCH_TERMS)}, {_LISTED},
 near AS (SELECT * FROM listing ORDER BY source_path, title, doc_id::VARCHAR LIMIT 500),

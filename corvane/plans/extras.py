@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import evaluate, evidence, images, memory
+from corvane.operators import documents, evaluate, evidence, images, memory
 from corvane.plans import corpus, retrieval, sql
 from corvane.sources.tables import table
 
@@ -42,10 +42,8 @@ def evidence_id_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ledger entry's document with its chunks and images, none counting as 0."""
     chunks = corpus.paragraphs(spark, sf_dir)
-    per_doc = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    out = docs.join(per_doc(chunks, "n_chunks"), "doc_id", "left").join(per_doc(_images(spark, sf_dir).select(F.regexp_extract("path", r"/([0-9]+)\.md", 1).cast("long").alias("doc_id")), "n_images"), "doc_id", "left")
-    return out.na.fill(0)
+    shown = _images(spark, sf_dir).select(F.regexp_extract("path", r"/([0-9]+)\.md", 1).cast("long").alias("doc_id"))
+    return documents.counts(table(spark, sf_dir, "documents"), chunks, shown)
 
 
 def answer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

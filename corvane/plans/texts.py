@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text
-from corvane.operators import chunking
+from corvane.operators import chunking, search
 from corvane.plans import sql
 from corvane.sources import tables
 from corvane.sources.tables import spread, table
@@ -110,11 +110,8 @@ def keyword_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as queries: of those alike but for case and spaces the first stays."""
-    from pyspark.sql import Window
-
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.collapse(F.col("text")).alias("query"))
-    first = F.row_number().over(Window.partitionBy("conv_id", F.lower("query")).orderBy("turn"))
-    return turns.withColumn("n", first).where("n = 1").select("conv_id", "turn", F.sha2("query", 256).alias("query_sha"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("query"))
+    return search.distinct_queries(turns, "conv_id", "turn").select("conv_id", "turn", F.sha2("query", 256).alias("query_sha"))
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
