@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import bpe, line_dedup, mixing, quality, simhash
 from corvane.llm.common import table
-from corvane.session import staged
+from corvane.session import discard, staged
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over all documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        out = staged(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if before is not None:
+            discard(before)  # what a stage has left goes once the next one has read it
+        docs = before = out
     return docs

@@ -153,6 +153,22 @@ def normalised(results: DataFrame) -> DataFrame:
     return results.select("result_id", F.posexplode(pieces).alias("position", "c")).select("result_id", "position", "c.*")
 
 
+def checked(answers: DataFrame, asked: DataFrame, chunks: DataFrame, least: int = 2) -> DataFrame:
+    """The verdict on each of ``answers`` (answer_id, text) by the evidence that it names in ``asked`` (answer_id, asked_id), of which each may be a
+    part of a chunk's id: answer_id, n_found, n_missing, n_sentences, n_unsupported, score, passed.
+
+    Ids are resolved once for all answers; a chunk that an answer names twice counts once, and an id that no chunk has is missing.
+    """
+    named = asked.select("answer_id", "asked_id").distinct().join(resolve_ids(asked.select("asked_id"), chunks.select("chunk_id")).select("asked_id", "chunk_id"), "asked_id")
+    met = named.where("chunk_id is not null").select("answer_id", "chunk_id").distinct().join(chunks.select("chunk_id", "text"), "chunk_id")
+    weak = support(answers, met.select("answer_id", "text")).groupBy("answer_id").agg(F.count_if("unsupported").alias("n_unsupported"))
+    found = met.groupBy("answer_id").agg(F.count(F.lit(1)).alias("n_found"), F.count_if(text.section_kind(F.lit(""), F.col("text")).isNotNull()).alias("n_references"))
+    missing = named.where("chunk_id is null").groupBy("answer_id").agg(F.countDistinct("asked_id").alias("n_missing"))
+    facts = answers.select("answer_id", F.size(text.sentences(F.col("text"))).alias("n_sentences"), text.has_citation(F.col("text")).alias("cited"))
+    facts = facts.join(weak, "answer_id", "left").join(found, "answer_id", "left").join(missing, "answer_id", "left").na.fill(0)
+    return verdicts(facts, least).select("answer_id", "n_found", "n_missing", "n_sentences", "n_unsupported", "score", "passed")
+
+
 # How a tool result is summed up.
 ERROR_MARK, IMAGE_NOTE, CUT_MARK = "[error]", ("[含 ", " 张图，未展开]"), "…[truncated]"
 

@@ -159,6 +159,14 @@ def evidence_ids_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.resolve_ids(asked, chunks)
 
 
+def evidence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts of ``evidence_verdict`` where evidence is named by parts of its ids."""
+    named = lambda tail: F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(tail))
+    chunks = table(spark, sf_dir, "documents").select(named("-end").alias("chunk_id"), "text")
+    asked = corpus._asked(spark, sf_dir).select("answer_id", named("-e").alias("asked_id"))
+    return evidence.checked(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("answer_id"), "text"), staged(asked, "asked"), chunks)
+
+
 def second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of a second run over the ledger of the first: those done before are skipped, the others succeed or fail."""
     ledger = corpus._ledger(spark, sf_dir).select("file_hash", "status")
@@ -182,7 +190,7 @@ def knowledge_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (episodic_week, evidence_ids_all, second_run, knowledge_response, listed_documents, full_text_located, section_kinds, compressed_memories, result_summaries, trace_texts, batch_totals, stage_outcomes, stage_totals, golden_cases, paper_metadata, lexicon_words, lexicon_terms, splitter_function)
+    for f in (episodic_week, evidence_ids_all, evidence_check, second_run, knowledge_response, listed_documents, full_text_located, section_kinds, compressed_memories, result_summaries, trace_texts, batch_totals, stage_outcomes, stage_totals, golden_cases, paper_metadata, lexicon_words, lexicon_terms, splitter_function)
 }
 
 _P = f"WITH {sql.PARAGRAPHS}"
@@ -204,6 +212,7 @@ asked AS (SELECT DISTINCT unnest([chunk_id, substr(chunk_id, 6, 11), 'no' || chu
 keys AS (SELECT chunk_id, unnest(list_transform(range(1, length(chunk_id) - 9), lambda i: substr(chunk_id, i, 11))) AS asked_id FROM ids UNION ALL SELECT chunk_id, chunk_id FROM ids),
 best AS (SELECT asked_id, coalesce(min(CASE WHEN chunk_id = asked_id THEN chunk_id END), min(chunk_id)) AS chunk_id FROM keys GROUP BY asked_id)
 SELECT asked_id, chunk_id, chunk_id = asked_id AS exact FROM asked LEFT JOIN best USING (asked_id)""",
+    "evidence_check": corpus.ORACLES["evidence_verdict"],
     "second_run": f"""WITH {corpus._LEDGER}, {sql.PARAGRAPHS},
 r AS (SELECT f.file_hash, f.doc_id, CASE WHEN l.status = 'success' THEN 'skipped' WHEN f.doc_id % 5 = 0 THEN 'failed' ELSE 'success' END AS status FROM firsts f LEFT JOIN ledger l USING (file_hash))
 SELECT count_if(status = 'success')::BIGINT AS n_success, count_if(status = 'failed')::BIGINT AS n_failed, count_if(status = 'skipped')::BIGINT AS n_skipped, (SELECT count(*) FROM chunks WHERE doc_id IN (SELECT doc_id FROM r WHERE status = 'success'))::BIGINT AS n_chunks FROM r""",

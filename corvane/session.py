@@ -33,6 +33,7 @@ def scratch_root(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="corvane-scratch-")
         spark.sparkContext.setCheckpointDir(root)
+        root = spark.sparkContext.getCheckpointDir()  # as later calls find it
     return root.rstrip("/")
 
 
