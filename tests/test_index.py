@@ -105,6 +105,8 @@ def test_short_queries_prune_by_themselves(spark, large, monkeypatch):
     asked, calls = spark.createDataFrame([(1, "w3")], "query_id int, term string"), []
     plain = search.needed_blocks
     monkeypatch.setattr(search, "needed_blocks", lambda *a: calls.append(1) or plain(*a))
+    assert search.bm25(stored, asked).count() == 10 and not calls  # so few postings are sooner read
+    monkeypatch.setattr(search, "PRUNED_POSTINGS", 10)
     assert search.bm25(stored, asked).count() == 10 and calls
     many = spark.createDataFrame([(1, f"w{i}") for i in range(30)], "query_id int, term string")
     assert search.bm25(stored, many).count() == 10 and len(calls) == 1
