@@ -97,6 +97,15 @@ def stage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def discovered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as text files, a file for each remainder of their ids, found again below their folder among others, with their hashes."""
+    path = scratch_folder(spark, "files")
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 61).alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    docs.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
+    found = files.file_hashes(files.discover_files(spark, path, (".TXT",)))
+    return found.select(F.regexp_extract("path", r"part=(\d+)/", 1).cast("long").alias("part"), "file_hash", "length")
+
+
 def golden_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages written as a golden set in JSON lines, and read as one."""
     items = table(spark, sf_dir, "benchmark")
@@ -190,7 +199,7 @@ def knowledge_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (episodic_week, evidence_ids_all, evidence_check, second_run, knowledge_response, listed_documents, full_text_located, section_kinds, compressed_memories, result_summaries, trace_texts, batch_totals, stage_outcomes, stage_totals, golden_cases, paper_metadata, lexicon_words, lexicon_terms, splitter_function)
+    for f in (discovered_files, episodic_week, evidence_ids_all, evidence_check, second_run, knowledge_response, listed_documents, full_text_located, section_kinds, compressed_memories, result_summaries, trace_texts, batch_totals, stage_outcomes, stage_totals, golden_cases, paper_metadata, lexicon_words, lexicon_terms, splitter_function)
 }
 
 _P = f"WITH {sql.PARAGRAPHS}"
@@ -212,6 +221,7 @@ asked AS (SELECT DISTINCT unnest([chunk_id, substr(chunk_id, 6, 11), 'no' || chu
 keys AS (SELECT chunk_id, unnest(list_transform(range(1, length(chunk_id) - 9), lambda i: substr(chunk_id, i, 11))) AS asked_id FROM ids UNION ALL SELECT chunk_id, chunk_id FROM ids),
 best AS (SELECT asked_id, coalesce(min(CASE WHEN chunk_id = asked_id THEN chunk_id END), min(chunk_id)) AS chunk_id FROM keys GROUP BY asked_id)
 SELECT asked_id, chunk_id, chunk_id = asked_id AS exact FROM asked LEFT JOIN best USING (asked_id)""",
+    "discovered_files": "SELECT doc_id % 61 AS part, sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS file_hash, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS length FROM documents GROUP BY doc_id % 61",
     "evidence_check": corpus.ORACLES["evidence_verdict"],
     "second_run": f"""WITH {corpus._LEDGER}, {sql.PARAGRAPHS},
 r AS (SELECT f.file_hash, f.doc_id, CASE WHEN l.status = 'success' THEN 'skipped' WHEN f.doc_id % 5 = 0 THEN 'failed' ELSE 'success' END AS status FROM firsts f LEFT JOIN ledger l USING (file_hash))
