@@ -19,11 +19,11 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import ROW, WORD, WORDS, objects, packed, text_key
-from corvane.session import staged
+from corvane.session import discard, staged
 
 MIN_WORDS = 20
 #: A passage of this many words is looked up wherever it stands.
@@ -292,16 +292,24 @@ def _key(id_col: Column, text: Column) -> Column:
     return F.struct(id_col.isNull().alias("nul"), id_col.alias("id"), *text_key(text))
 
 
+def run_pairs(found: DataFrame) -> DataFrame:
+    """later, owner: each document of ``found`` (key, runs) with the first documents of its runs, itself left out.
+
+    Runs are most of what is dealt out, and are dealt out once: their owner is found where all places of a run meet.
+    """
+    runs = found.where("key is not null").select("key", F.explode("runs").alias("run"))
+    owned = runs.select(F.col("key").alias("later"), F.min("key").over(Window.partitionBy("run")).alias("owner"))
+    return owned.where("later <> owner").distinct()
+
+
 def line_cuts(rows: DataFrame) -> DataFrame:
     """key, cuts, owners: for each document of ``rows`` (key, text) that loses words, the numbers of these words and the ids of
     the documents that have them first."""
     found = staged(rows.select("key", F.pandas_udf(_looked_up, "array<long>")("text").alias("runs")), "runs")
     # of one type with what is read again, so that texts are dealt out by key once for all joins
     rows = rows.withColumn("key", F.col("key").cast(found.schema["key"].dataType))
-    runs = found.where("key is not null").select("key", F.explode("runs").alias("run"))
-    # summed up before they are dealt out, so that a run that most documents have is a row a task
-    owners = runs.groupBy("run").agg(F.min("key").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "owner")
-    pairs = staged(runs.join(owners, "run").where("key <> owner").select(F.col("key").alias("later"), "owner").distinct(), "pairs")
+    pairs = staged(run_pairs(found), "pairs")
+    discard(found)  # only pairs are read from here on, and runs are a third of what the texts take
     # the first document of a passage that many have is in many pairs: they go to several tasks, with a copy of its text each
     shares = pairs.groupBy("owner").agg(F.ceil(F.count(F.lit(1)) / OWNER_PAIRS).cast("int").alias("shares"))
     # equal rows (id and text) are one document

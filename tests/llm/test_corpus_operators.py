@@ -6,12 +6,14 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, embedding_dedup, line_dedup, mixing, quality, queries, secrets, sharding, simhash, url_filter, warc
+from corvane.session import scratch_root
 from tests.compare import agrees
 from tests.llm import brute
 
@@ -536,6 +538,21 @@ def test_a_passage_of_many_documents_is_dealt_out(spark, monkeypatch):
     assert got == {0: rows[0][1]} | {i: f"head {i}\nfoot {i}" for i in range(1, 50)}
 
 
+def test_runs_are_dealt_out_once_and_removed(spark, capsys):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(3, passage, "a"), (2, f"{passage} x", "a"), (1, f"y\n{passage}", "a"), (None, passage, "a"), (4, "own words", "a"), (5, None, "a")]
+    staged_runs = lambda: set(Path(scratch_root(spark).removeprefix("file:")).glob("corvane/*/runs"))
+    before = staged_runs()
+    got = {r["doc_id"]: (r["text"], r["owners"]) for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    assert got == {1: (rows[2][1], []), 2: ("x", [1]), 3: ("", [1]), None: ("", [1]), 4: ("own words", []), 5: (None, [])}
+    assert staged_runs() == before
+    found = spark.createDataFrame([((1,), [7, 8]), ((2,), [8, 9]), ((3,), [9, 8, 7])], "key struct<id: int>, runs array<long>")
+    pairs = line_dedup.run_pairs(found)
+    pairs.explain()
+    assert len(re.findall(r"Exchange hashpartitioning\(run", capsys.readouterr().out)) == 1
+    assert sorted((r["later"]["id"], r["owner"]["id"]) for r in pairs.collect()) == [(2, 1), (3, 1), (3, 2)]
+
+
 def test_patience_pairs_rise():
     rng = random.Random(6)
     for _ in range(300):
