@@ -19,11 +19,12 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -44,7 +45,8 @@ SHORT = 1 << 15  # taken off ids that travel, so that those of a vocabulary of t
 FIRST = 1 << 30  # marks the first id of a word in a hole
 BATCH_ROWS = 512
 ENCODE_ROWS = 4_096
-KNOWN = 1 << 18  # words that a task remembers
+KNOWN = 1 << 18  # stretches of text between spaces that a task remembers,
+KNOWN_CHARS = 1 << 24  # and their characters
 LOW = 0xFFFFFFFF
 
 # The pattern of the vocabulary's words, and the same for texts whose letters are all in LETTERS.
@@ -55,6 +57,9 @@ FAST = rf" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(
 #: Other characters may be letters, digits or spaces, and take the full pattern.
 PLAIN = re.compile(rf"[\n\t\r\x20-\x7E¡-©«-±´¶-¸»¿×÷{LETTERS}–—‘’“”•…€]*")
 
+#: A word always starts at a space between two characters that are none (\s is more than White_Space).
+BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
+
 _full, _fast = regex.compile(PATTERN), re.compile(FAST)
 
 
@@ -112,7 +117,7 @@ def _word_hash(words: list[str]) -> np.ndarray:
 def _ids(words: list[str], path: str) -> list[list[int]]:
     out: list[list[int]] = []
     for at in range(0, len(words), ENCODE_ROWS):
-        out += [e.ids for e in _tokenizer(path).encode_batch(words[at : at + ENCODE_ROWS], add_special_tokens=False)]
+        out += [e.ids for e in _tokenizer(path).encode_batch_fast(words[at : at + ENCODE_ROWS], add_special_tokens=False)]
     return out
 
 
@@ -128,24 +133,31 @@ def _encoded(path: str):
     return run
 
 
-def _encoded_places(path: str):
+def _encoded_places(path: str, kind: pa.DataType):
     """Places in order of their word: each word is encoded where it first comes. Ids come less SHORT."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple[str, np.ndarray] | None = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str, list[int]] | None = None
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            number, distinct = pd.factorize(batch["word"].to_numpy())
-            words = distinct.tolist()
+            word = batch.column("word").dictionary_encode()
+            words = _strings(word.dictionary)
             known = last is not None and words[0] == last[0]
-            ids = ([last[1]] if known else []) + [np.array(x, np.int32) - SHORT for x in _ids(words[1:] if known else words, path)]
+            ids = ([last[1]] if known else []) + _ids(words[1:] if known else words, path)
             last = words[-1], ids[-1]
-            yield batch[["n1", "tag"]].reset_index(drop=True).assign(ids=objects([ids[i] for i in number]))
+            ends = np.cumsum([0, *map(len, ids)])
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1]) - SHORT
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat).cast(kind))
+            yield pa.RecordBatch.from_arrays([batch.column("n1"), batch.column("tag"), lists.take(word.indices)], ["n1", "tag", "ids"])
 
     return run
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _grade(n: Column) -> Column:
     """Counts in steps of a sixteenth of a power of 2: below 1,024 grades for any count."""
     return F.floor(F.log2(n) * 16).cast("int")
@@ -184,8 +196,13 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 def _binaries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Lengths of binaries, null counting as empty, and all their bytes in turn."""
-    values = column.to_pylist()
-    return np.array([len(v or b"") for v in values], np.int64), np.frombuffer(b"".join(v or b"" for v in values), np.uint8)
+    column = column.cast(pa.binary())
+    column = column.fill_null(b"") if column.null_count else column
+    if not len(column):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    _, ends, raw = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.diff(ends), np.frombuffer(raw or b"", np.uint8)[ends[0] : ends[-1]]
 
 
 def _by_rank(lengths: np.ndarray, items: np.ndarray, by_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,39 +228,96 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class WordRanks:
-    """The words that a task has met, each hashed and looked up once; they are forgotten when they are more than KNOWN."""
+    """The stretches between spaces that a task has met, each split, hashed and looked up once with the space before it. They are
+    forgotten when they are more than KNOWN or have more than KNOWN_CHARS characters."""
 
     def __init__(self, path: str, hot: dict[str, np.ndarray]) -> None:
         self.path, self.hot = path, hot
+        self.undivided = any(" " in name for name in _specials(path)[0])  # a special token could reach over a space
         self.forget()
 
     def forget(self) -> None:
-        self.words: list[str] = []  # by number
         self.numbers: defaultdict[str, int] = defaultdict()
-        self.numbers.default_factory = self.numbers.__len__  # a new word takes the next number
-        self.ranks = np.zeros(0, np.int32)  # by number; 0 for words that aren't hot
+        self.numbers.default_factory = self.numbers.__len__  # a new stretch takes the next number
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)  # by number: its words in ``words``
+        self.words: list[str] = []
+        self.ranks = np.zeros(0, np.int32)  # of each in ``words``; 0 for words that aren't hot
+        self.chars = 0
 
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words per text, and in turn each word's number in ``words`` and its rank."""
-        if len(self.words) > KNOWN:
+        if len(self.numbers) > KNOWN or self.chars > KNOWN_CHARS:
             self.forget()
-        codes: list[int] = []
-        counts = []
-        for text in texts:
-            words = split_words(text, self.path)
-            counts.append(len(words))
-            codes += map(self.numbers.__getitem__, words)
-        fresh = list(islice(self.numbers, len(self.words), None))
-        self.words += fresh
-        ranks = np.zeros(len(fresh), np.int32)
-        if fresh and len(self.hot["h1"]):
-            hashes = _word_hash(fresh)
+        counts, stretches = self._stretches(texts)
+        sizes = self.sizes[stretches]
+        code = _spread(self.starts[stretches], sizes)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        return np.diff(ends), code, self.ranks[code]
+
+    def _stretches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Stretches per text, and in turn their numbers. A text with white space at the edge of one is divided by BOUNDARY."""
+        parts = pc.split_pattern(texts, " ")
+        counts = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        distinct, codes = coded.dictionary, coded.indices.to_numpy()
+        trimmed = pc.binary_length(pc.utf8_trim_whitespace(distinct)).to_numpy()
+        odd = (trimmed == 0) | (trimmed < pc.binary_length(distinct).to_numpy())
+        number, ends = self.numbers.__getitem__, np.cumsum(counts)
+        firsts = ends - counts
+        by_hand = np.add.reduceat(odd[codes], firsts, dtype=np.int64) > 0 if len(counts) else np.zeros(0, bool)
+        if self.undivided:
+            by_hand[:] = True
+        used = np.zeros(len(distinct), bool)
+        used[codes[~np.repeat(by_hand, counts)]] = True
+        numbers = np.zeros(len(distinct), np.int64)
+        numbers[used] = list(map(number, _strings(pc.binary_join_element_wise("", distinct.filter(pa.array(used)), " "))))
+        self._learn(joined=True)
+        out = numbers[codes]
+        even = np.flatnonzero(~by_hand)
+        out[firsts[even]] = list(map(number, _strings(coded.take(pa.array(firsts[even])).cast(pa.string()))))
+        self._learn(joined=False)
+        if not by_hand.any():
+            return counts, out
+        found = np.split(out, ends[:-1])
+        for i in np.flatnonzero(by_hand).tolist():
+            text = texts[i].as_py()
+            first, *others = [text] if self.undivided else BOUNDARY.split(text)
+            found[i] = np.array([number(first), *(number(f" {x}") for x in others)], np.int64)
+        self._learn(joined=False)
+        return np.array(list(map(len, found)), np.int64), np.concatenate(found)
+
+    def _learn(self, joined: bool) -> None:
+        """The words of new stretches, and their ranks. With ``joined`` all start at a space and end before one, and are split as one text."""
+        fresh = list(islice(self.numbers, len(self.sizes), None))
+        if not fresh:
+            return
+        lengths = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        if not joined:
+            groups = [np.array([k]) for k in range(len(fresh))]
+        else:
+            plain = np.ones(len(fresh), bool)
+            if not PLAIN.fullmatch("".join(fresh)):
+                plain = np.array([PLAIN.fullmatch(x) is not None for x in fresh])
+            groups = [np.flatnonzero(plain), np.flatnonzero(~plain)]
+        sizes = np.zeros(len(fresh), np.int64)
+        words: list[str] = []
+        for group in groups:
+            found = split_words("".join(fresh if len(group) == len(fresh) else [fresh[k] for k in group]), self.path)
+            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+            sizes[group] = np.diff(np.searchsorted(ends, np.cumsum(lengths[group]), side="right"), prepend=0)
+            words += found
+        order = np.concatenate(groups)
+        starts = np.zeros(len(fresh), np.int64)
+        starts[order] = len(self.words) + np.cumsum(sizes[order]) - sizes[order]
+        ranks = np.zeros(len(words), np.int32)
+        if words and len(self.hot["h1"]):
+            hashes = _word_hash(words)
             at = np.minimum(np.searchsorted(self.hot["h1"], hashes[:, 0]), len(self.hot["h1"]) - 1)
             known = (self.hot["h1"][at] == hashes[:, 0]) & (self.hot["h2"][at] == hashes[:, 1])
             ranks = np.where(known, self.hot["rank"][at], 0)
-        self.ranks = np.concatenate([self.ranks, ranks])
-        code = np.array(codes, np.int64)
-        return np.array(counts, np.int64), code, self.ranks[code]
+        self.starts, self.sizes, self.ranks = (np.concatenate(x) for x in ((self.starts, starts), (self.sizes, sizes), (self.ranks, ranks)))
+        self.words += words
+        self.chars += int(lengths.sum())
 
 
 def _holes(path: str, broadcast):
@@ -252,7 +326,7 @@ def _holes(path: str, broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordRanks(path, broadcast.value)
         for part in _slices(batches):
-            counts, code, ranks = known.of(part.column("text").to_pylist())
+            counts, code, ranks = known.of(part.column("text"))
             hole = np.flatnonzero(ranks == 0)
             row = np.repeat(np.arange(len(counts)), counts)[hole]
             place = hole - (np.cumsum(counts) - counts)[row]
@@ -292,7 +366,7 @@ def _packed(path: str, broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress, known = zstandard.ZstdCompressor(level=3).compress, WordRanks(path, broadcast.value)
         for part in _slices(batches):
-            counts, _, ranks = known.of(part.column("text").to_pylist())
+            counts, _, ranks = known.of(part.column("text"))
             raw, sizes = pack(ranks)
             ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
             packed = pa.array([compress(raw[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
@@ -363,7 +437,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     fits = _tokenizer(path).get_vocab_size(with_added_tokens=True) <= 2 * SHORT
     # a word too long to be hot may stand in most documents
     lane = F.when(F.octet_length("word") > HOT_BYTES, F.pmod("n1", F.lit(LONG_LANES))).otherwise(F.lit(0).cast("long"))
-    places = holes.repartition(F.col("word"), lane).sortWithinPartitions("word").mapInPandas(_encoded_places(path), f"n1 long, tag long, ids array<{'smallint' if fits else 'int'}>")
+    places = holes.repartition(F.col("word"), lane).sortWithinPartitions("word").mapInArrow(_encoded_places(path, pa.int16() if fits else pa.int32()), f"n1 long, tag long, ids array<{'smallint' if fits else 'int'}>")
     back = places.groupBy("n1", F.col("tag").bitwiseAND(F.lit(LOW)).alias("low")).agg(F.sort_array(F.collect_set(F.struct("tag", "ids"))).alias("s"))
     mark = lambda s: F.transform(s["ids"], lambda x, i: (x.cast("int") + SHORT).bitwiseOR(F.when(i == 0, FIRST).otherwise(0)))
     back = back.select("n1", "low", F.flatten(F.transform("s", mark)).alias("codes"))

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,43 @@ def test_long_words_of_many_documents_are_dealt_out(spark, monkeypatch):
     assert got == {i: (tokenizer.encode(t, add_special_tokens=False).ids, t) for i, t, _ in rows}
 
 
+def test_stretches_between_spaces_are_split_once(monkeypatch):
+    path = bpe.vocabulary_path()
+    rng = random.Random(3)
+    white = [chr(c) for c in (9, 10, 11, 12, 13, 28, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)]
+    parts = ["it's", "a,b", "'re", "x1", "½", "é", "日本", "<|endoftext|>", "ab<|endoftext|>'s", "\u200b", "!", "\n\n", *white]
+    texts = ["", " ", "  ", " a", "a ", "a  b", "a \nb"]
+    texts += ["".join(rng.choice(parts) + rng.choice(["", " ", " ", " ", "  "]) for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    texts += [" ".join(rng.choice(parts[:11]) for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    hot_words = ["a", " it", "'s", ","]
+    hashes = bpe._word_hash(hot_words)
+    order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+    hot = {"h1": hashes[order, 0], "h2": hashes[order, 1], "rank": (order + 1).astype(np.int32)}
+    ranks = {w: i + 1 for i, w in enumerate(hot_words)}
+    monkeypatch.setattr(bpe, "KNOWN", 300)
+    known = bpe.WordRanks(path, hot)
+    for start in range(0, len(texts), 64):
+        some = pa.array(["sliced off", *texts[start : start + 64]], pa.string()).slice(1)
+        counts, code, rank = known.of(some)
+        want = [bpe.split_words(t, path) for t in some.to_pylist()]
+        assert counts.tolist() == [len(x) for x in want]
+        assert [known.words[c] for c in code] == [w for x in want for w in x]
+        assert rank.tolist() == [ranks.get(w, 0) for x in want for w in x]
+    assert [x.tolist() for x in known.of(pa.array([], pa.string()))] == [[], [], []]
+    seen, split = [], bpe.split_words
+    monkeypatch.setattr(bpe, "split_words", lambda text, path: seen.append(len(text)) or split(text, path))
+    text = " ".join(f"word{i % 50}," for i in range(20_000))
+    counts, _, _ = bpe.WordRanks(path, hot).of(pa.array([text] * 3))
+    assert counts.tolist() == [len(split(text, path))] * 3 and sum(seen) < 1_000
+
+
+def test_bytes_of_slices_and_nulls():
+    column = pa.array([b"out", b"ab", None, b"", b"\xff\x00c", b"out"], pa.binary()).slice(1, 4)
+    lengths, raw = bpe._binaries(column)
+    assert (lengths.tolist(), raw.tobytes()) == ([2, 0, 0, 3], b"ab\xff\x00c")
+    assert [len(x) for x in bpe._binaries(column.slice(0, 0))] == [0, 0]
+
+
 def test_decode_joins_any_ids(spark):
     lists = [[1, 2, 3], None, [], [50256], [-1, 99_999_999, 5, None, 6], [160], [1, 2, 3]]
     tokenizer = bpe._tokenizer(bpe.vocabulary_path())
