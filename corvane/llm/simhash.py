@@ -17,6 +17,7 @@ from itertools import combinations, permutations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +39,10 @@ SPREAD = len(EXACT_FUZZY)  # the family of pairs that differ in all three segmen
 FAMILY_SHIFT = 40
 
 
-def fingerprint(text: str | None) -> int:
-    """The SimHash of a text's word shingles, as a signed 64-bit integer; no words: zero."""
-    words = WORDS_BYTES.findall((text or "").encode().lower())  # on bytes, lower() changes A-Z alone
+def fingerprint(text: str | bytes | None) -> int:
+    """The SimHash of the word shingles of a text (as bytes: its UTF-8), as a signed 64-bit integer; no words: zero."""
+    raw = text.encode() if isinstance(text, str) else text or b""
+    words = WORDS_BYTES.findall(raw.lower())  # on bytes, lower() changes A-Z alone
     if not words:
         return 0
     joined = b" ".join(words)
@@ -61,8 +63,10 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(t) for t in texts], dtype="int64")
+def _fingerprints(texts: pa.Array) -> pa.Array:
+    """Texts are taken from Arrow's memory one by one: a worker holds a copy of one text, not of a batch."""
+    found = (fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None) for t in texts)
+    return pa.array(np.fromiter(found, np.int64, len(texts)))
 
 
 @cache
@@ -152,7 +156,7 @@ def near_pairs(prints: DataFrame) -> DataFrame:
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(f"`{text_col}`")
-    printed = F.pandas_udf(_fingerprints, "long")(text)
+    printed = F.arrow_udf(_fingerprints, "long")(text.cast("string"))
     prints = staged(docs.select(F.col(f"`{id_col}`").alias("doc_id"), printed.alias("fp"), *text_key(text)), "prints")
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     labels = components(near_pairs(nodes)).withColumnRenamed("node", "fp")
