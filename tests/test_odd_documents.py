@@ -30,3 +30,8 @@ def check(spark, name, sf_dir):
 def test_images_of_documents_whose_hashes_begin_alike(spark, tmp_path):
     rows = [(10_324, "a\nb", "en", "src4"), (251_058, "c\n\nd\ne", "en", "src0"), (7, "f", "en", None), (8, None, "en", "src1"), (9, " ", "en", "src1")]
     check(spark, "document_counts", with_documents(tmp_path, rows))
+
+
+def test_first_letters_without_a_plain_capital(spark, tmp_path):
+    lines = [c + "x y" for c in "aßŉǰΐևᾳᾈᾲﬁﬃƛɤéǆⅷ"] + ["", "a \x0b b", "ß", "  ß  z", "ß 7"]
+    check(spark, "stage_outcomes", with_documents(tmp_path, [(1, "\n".join(lines), "de", "src1"), (2, "ßa\nb", "de", None), (3, None, "de", "src1")]))
