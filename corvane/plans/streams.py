@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,16 +13,24 @@ from corvane.sources.tables import table
 from corvane.streaming import buffer, ingest, traces
 
 SLICES = 4
+MOST_FILES = 1 << 30
 CAPACITY, LIVES = 12, 36
 
 
-def _slices(rows: DataFrame, by: str, name: str) -> str:
-    """A folder to which ``rows`` have come in SLICES slices of ``by``, one after the other."""
-    folder = scratch_folder(rows.sparkSession, name)
+def _arriving(rows: DataFrame, by: str, folder: str) -> Iterator[int]:
+    """The number of each of SLICES slices of ``by`` of ``rows``, once it has come to ``folder``; an empty one is a file without rows."""
     low, high = rows.agg(F.min(F.col(by).cast("double")), F.max(F.col(by).cast("double"))).first()
     place = F.least(F.lit(SLICES - 1), F.floor((F.col(by).cast("double") - low) / max(high - low, 1e-9) * SLICES))
     for number in range(SLICES):
         rows.where(place == number).write.mode("append").parquet(folder)
+        yield number
+
+
+def _slices(rows: DataFrame, by: str, name: str) -> str:
+    """A folder to which ``rows`` have come in SLICES slices of ``by``, one after the other."""
+    folder = scratch_folder(rows.sparkSession, name)
+    for _ in _arriving(rows, by, folder):
+        pass
     return folder
 
 
@@ -59,7 +69,7 @@ def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger and chunks of documents that came in slices; the run stops once between chunks and entries of its second batch and
     goes on. Documents of one source fail while it is busy, those of another always."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    root, source = scratch_folder(spark, "ledger"), _slices(docs, "doc_id", "documents")
+    root, source = scratch_folder(spark, "ledger"), scratch_folder(spark, "documents")
     stopped: list[int] = []
 
     def stop(number: int) -> None:
@@ -70,15 +80,15 @@ def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     def problem(number: int) -> F.Column:
         return F.when((F.col("source") == "src1") & F.lit(number < SLICES - 1), "busy").when(F.col("source") == "src2", "closed")
 
-    # a batch for each slice; files of one slice are as many as the table has partitions
-    per_batch = -(-len(spark.read.parquet(source).inputFiles()) // SLICES)
-    for _ in range(2):
-        try:
-            ingest.ingest_by_ledger(spark, "doc_id long, text string, source string", source, root, problem, stop, per_batch)
-            break
-        except Exception as error:
-            if "stopped between" not in str(error):
-                raise
+    for _ in _arriving(docs, "doc_id", source):
+        for _ in range(2):
+            try:
+                # all that has come makes one batch, however many files a slice has
+                ingest.ingest_by_ledger(spark, "doc_id long, text string, source string", source, root, problem, stop, MOST_FILES)
+                break
+            except Exception as error:
+                if "stopped between" not in str(error):
+                    raise
     shown = ingest.chunks_of(spark, root).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_shown"))
     found = ingest.ledger(spark, root).withColumn("doc_id", F.regexp_extract("file_path", r"(\d+)$", 1).cast("long"))
     return found.join(shown, "doc_id", "left").select("file_hash", "status", "error_msg", (F.col("n_chunks") == F.coalesce("n_shown", F.lit(0).cast("long"))).alias("whole"), (F.col("n_chunks") > 0).alias("has_chunks"))

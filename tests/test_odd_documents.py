@@ -35,3 +35,16 @@ def test_images_of_documents_whose_hashes_begin_alike(spark, tmp_path):
 def test_first_letters_without_a_plain_capital(spark, tmp_path):
     lines = [c + "x y" for c in "aßŉǰΐևᾳᾈᾲﬁﬃƛɤéǆⅷ"] + ["", "a \x0b b", "ß", "  ß  z", "ß 7"]
     check(spark, "stage_outcomes", with_documents(tmp_path, [(1, "\n".join(lines), "de", "src1"), (2, "ßa\nb", "de", None), (3, None, "de", "src1")]))
+
+
+def test_slices_of_uneven_files_through_the_ledger(spark, tmp_path):
+    # few documents with low ids, many with high ones, the highest first, and equal texts of several sources
+    ids = [*range(0, 300, 60), *range(300, 500, 5), *range(800, 1_000)][::-1]
+    rows = [(i, f"text {i % 80} " + "word " * 200, "en", f"src{i % 3}") for i in ids]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        check(spark, "stream_ledger", with_documents(tmp_path, rows, row_group_size=10, compression="none", use_dictionary=False))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
