@@ -101,3 +101,24 @@ def test_batch_totals_and_distinct_queries(spark):
     assert (row["n_batches"], row["failed_batches"], row["n_texts"], row["failed_texts"], row["lost_texts"], row["success_rate"], row["largest_batch"], row["touched_documents"]) == (6, 1, 10, 1, 2, 0.8, 2, 1)
     asked = spark.createDataFrame([(1, 0, "A  b"), (1, 1, "a B "), (1, 2, " "), (2, 0, "a b")], "s int, turn int, query string")
     assert sorted(map(tuple, search.distinct_queries(asked, "s", "turn").collect())) == [(1, 0, "A b"), (2, 0, "a b")]
+
+
+def test_located_texts_of_more_documents_than_are_named(spark, chunks, monkeypatch):
+    asked = spark.createDataFrame([(i, str(i), None, None, None) for i in range(10)], "request_id int, doc_id string, query string, source_path string, title string")
+    none = spark.createDataFrame([], "request_id int, doc_id long")
+    got = lambda: sorted(tuple(r) for r in documents.located_texts(chunks, asked, none).collect())
+    named = got()
+    monkeypatch.setattr(documents, "NAMED", 3)
+    assert got() == named and [r[1] for r in named] == ["given"] * 8 + ["missing"] * 2
+
+
+def test_texts_are_not_moved_to_be_located_or_shown(spark, chunks):
+    """What meets few requests or answers is filtered or cut where it stands: no exchange has the texts of all chunks."""
+    asked = spark.createDataFrame([(1, "3", None, None, None)], "request_id int, doc_id string, query string, source_path string, title string")
+    found = documents.located_texts(chunks, asked, spark.createDataFrame([], "request_id int, doc_id long"))
+    assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
+    answers = spark.createDataFrame([(1, 1, "c1_1", 0.5, 0.5, False)], "query_id int, index int, chunk_id string, score double, rerank_score double, fallback boolean")
+    shown = search.response(answers, chunks)
+    plan = shown._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("AS text_snippet") < plan.index("Join")  # the plan's last steps come first
+    assert [(r["chunk_id"], r["source"], r["text_snippet"]) for r in shown.collect()] == [("c1_1", "data/b/Paper1.md", "part 1")]
